@@ -58,19 +58,19 @@ def neighbours(df: DataFrame, key: str, cls: str, x: str, k: int, slice_rows: in
         .select(cls, "i", "j", "_si", "_sj")
     )
     left = match(base, meet.withColumnRenamed("i", "_cell"), [cls, "_cell"]).select(
-        cls, F.col("_cell").alias("i"), "j", F.pmod(F.xxhash64(key), F.col("_si")).cast("int").alias("s"),
+        F.col(cls).alias("c"), F.col("_cell").alias("i"), F.col("j").alias("j"), F.pmod(F.xxhash64(key), F.col("_si")).cast("int").alias("s"),
         F.explode(F.sequence(F.lit(0), F.col("_sj") - 1)).alias("t"), F.col(key).alias("a"), F.col(x).alias("x"),
     )
     right = match(base, meet.withColumnRenamed("j", "_cell"), [cls, "_cell"]).select(
-        cls, "i", F.col("_cell").alias("j"), F.explode(F.sequence(F.lit(0), F.col("_si") - 1)).alias("s"),
+        F.col(cls).alias("c"), F.col("i").alias("i"), F.col("_cell").alias("j"), F.explode(F.sequence(F.lit(0), F.col("_si") - 1)).alias("s"),
         F.pmod(F.xxhash64(key), F.col("_sj")).cast("int").alias("t"), F.col(key).alias("b"), F.col(x).alias("x"),
     )
-    unit = [cls, "i", "j", "s", "t"]
+    unit = ["c", "i", "j", "s", "t"]
     key_type, cls_type = df.schema[key].dataType.simpleString(), df.schema[cls].dataType.simpleString()
 
     def meeting(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         if one.empty or two.empty:
-            return pd.DataFrame({cls: [], "a": [], "b": [], "distance": []})
+            return pd.DataFrame({"c": [], "a": [], "b": [], "distance": []})
         two = two.sort_values("b", kind="stable")
         p, q = np.stack(one["x"].to_numpy()), np.stack(two["x"].to_numpy())
         a, b = one["a"].to_numpy(), two["b"].to_numpy()
@@ -86,12 +86,12 @@ def neighbours(df: DataFrame, key: str, cls: str, x: str, k: int, slice_rows: in
             ok = np.isfinite(dist)
             out.append(pd.DataFrame({"a": a[at + rows[ok]], "b": b[cols[ok]], "distance": dist[ok]}))
         result = pd.concat(out)
-        result.insert(0, cls, one[cls].iloc[0])
+        result.insert(0, "c", one["c"].iloc[0])
         return result
 
     found = left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInPandas(
-        meeting, f"`{cls}` {cls_type}, a {key_type}, b {key_type}, distance DOUBLE"
-    )
+        meeting, f"c {cls_type}, a {key_type}, b {key_type}, distance DOUBLE"
+    ).withColumnRenamed("c", cls)
     place = F.row_number().over(W.partitionBy("a").orderBy("distance", "b"))
     return found.withColumn("place", place).where(F.col("place") <= k)
 
