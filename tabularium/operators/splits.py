@@ -79,9 +79,10 @@ def stage_subset(df: DataFrame, key: str, cls: str, percent: int, stage: int, se
     return rows.withColumns({"stage_id": F.lit(stage), "stage_fraction": F.lit(percent / 100)})
 
 
-def holdout_validation(df: DataFrame, key: str, cls: str, percent: int = 20, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
-    """``subset``: validation is the percentage rounded up, the rest trains; at least two classes."""
-    return _labelled(df, key, cls, share_up(percent), seed, "subset", "validation", "train", by).withColumns(
+def holdout_validation(df: DataFrame, key: str, cls: str, percent: int | Column = 20, seed=42, by: Sequence[str] = ()) -> DataFrame:
+    """``subset``: validation is the percentage rounded up (or a target expression), the rest trains."""
+    target = percent if isinstance(percent, Column) else share_up(percent)
+    return _labelled(df, key, cls, target, seed, "subset", "validation", "train", by).withColumns(
         {"repeat_id": F.lit(0), "fold_id": F.lit(0)}
     )
 
@@ -92,7 +93,11 @@ def require_two_classes(df: DataFrame, cls: str) -> DataFrame:
     return df
 
 
-def item_folds(df: DataFrame, key: str, cls: str, n_splits: int, n_repeats: int = 1, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
+def _column(value) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def item_folds(df: DataFrame, key: str, cls: str, n_splits, n_repeats=1, seed=42, by: Sequence[str] = ()) -> DataFrame:
     """One row per item and repeat with ``item_fold``, the fold in which the item validates.
 
     Items are numbered in hash order inside their class; each class starts where the previous one
@@ -102,19 +107,19 @@ def item_folds(df: DataFrame, key: str, cls: str, n_splits: int, n_repeats: int
     counts = df.groupBy(*by, cls).agg(F.count("*").alias("_n"))
     before = W.partitionBy(*by).orderBy(F.col(cls).asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
     starts, _ = small_table(counts.select(*by, cls, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
-    repeated = df.withColumn("repeat_id", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))))
+    repeated = df.withColumn("repeat_id", F.explode(F.sequence(F.lit(0), _column(n_repeats) - 1)))
     repeated = repeated.withColumn("_hash", seeded(seed, F.col("repeat_id"), F.col(key)))
     ranked = numbered(
         repeated, [*by, "repeat_id", cls], F.substring("_hash", 1, 3), [F.col("_hash"), F.col(key)], "_rank"
     ).drop("_hash")
-    fold = F.pmod(F.col("_rank") - 1 + F.col("_start"), F.lit(n_splits)).cast("int")
+    fold = F.pmod(F.col("_rank") - 1 + F.col("_start"), _column(n_splits)).cast("int")
     return match(ranked, starts, [*by, cls]).withColumn("item_fold", fold).drop("_rank", "_start")
 
 
-def folds(df: DataFrame, key: str, cls: str, n_splits: int, n_repeats: int = 1, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
+def folds(df: DataFrame, key: str, cls: str, n_splits, n_repeats=1, seed=42, by: Sequence[str] = ()) -> DataFrame:
     """Long form: every item in every fold of every repeat, validation exactly once per repeat."""
     items = item_folds(df, key, cls, n_splits, n_repeats, seed, by)
-    every = items.withColumn("fold_id", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
+    every = items.withColumn("fold_id", F.explode(F.sequence(F.lit(0), _column(n_splits) - 1)))
     subset = F.when(F.col("fold_id") == F.col("item_fold"), "validation").otherwise("train")
     return every.withColumn("subset", subset).drop("item_fold")
 

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabularium.operators import splits
 from tabularium.operators.relate import require_no_overlap
-from tabularium.operators.skew import match, small_table
+from tabularium.session import cut_lineage
 
 UNIT = ["stage_id", "repeat_id", "fold_id"]
 
@@ -56,18 +55,38 @@ def stage_table(spark: SparkSession, stages=STAGES, n_classes: int = 10) -> Data
 
 
 def assignments(dev: DataFrame, key: str, cls: str, stages=STAGES) -> DataFrame:
-    """Every (stage, repeat, fold, item) with its subset; the stages are a union of lazy plans."""
-    parts = []
+    """Every (stage, repeat, fold, item) with its subset, for all stages in one pass.
+
+    Development rows meet the short list of stages, each stage keeps its share by quota, and the kept
+    rows - written once, since holdout and fold stages both read them - get their subset.
+    """
     for s in stages:
-        rows = splits.stage_subset(dev, key, cls, s.dev_percent, s.stage_id, s.seed)
-        if s.cv_mode == "holdout":
-            parts.append(splits.holdout_validation(rows, key, cls, s.val_percent, s.seed + s.stage_id))
-        elif s.cv_mode in ("kfold", "repeated_kfold"):
-            repeats = s.n_repeats if s.cv_mode == "repeated_kfold" else 1
-            parts.append(splits.folds(rows, key, cls, s.n_splits, repeats, s.seed + s.stage_id))
-        else:
+        if s.cv_mode not in ("holdout", "kfold", "repeated_kfold"):
             raise ValueError(f"unknown cv_mode {s.cv_mode}")
-    return reduce(DataFrame.unionByName, parts)
+        if not 0 < s.dev_percent <= 100:
+            raise ValueError("the stage share must be in (0, 100] percent")
+    rows = [
+        (s.stage_id, s.dev_percent, s.val_percent, s.seed + s.stage_id, s.cv_mode == "holdout", s.n_splits,
+         s.n_repeats if s.cv_mode == "repeated_kfold" else 1)
+        for s in stages
+    ]
+    names = ("stage_id", "_dev", "_val", "_seed", "_holdout", "_splits", "_repeats")
+    listed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows])
+    many = dev.select("*", F.inline(listed))
+    partial = splits.stratified_pick(
+        many.where("_dev < 100"), key, cls, F.expr("total * _dev div 100"), F.col("_seed"), ["stage_id", "_dev"]
+    )
+    kept = cut_lineage(partial.unionByName(many.where("_dev = 100")))
+    extra = [n for n in names if n != "stage_id"]
+    held = splits.holdout_validation(
+        kept.where("_holdout"), key, cls, F.expr("(total * _val + 99) div 100"), F.col("_seed"), ["stage_id", "_val"]
+    )
+    folded = splits.folds(
+        kept.where("not _holdout"), key, cls, F.col("_splits"), F.col("_repeats"), F.col("_seed"), ["stage_id"]
+    )
+    fraction = (F.col("_dev") / 100).alias("stage_fraction")
+    columns = [*dev.columns, "stage_id", "repeat_id", "fold_id", "subset"]
+    return held.select(*columns, fraction).unionByName(folded.select(*columns, fraction))
 
 
 def train_plan(assigned: DataFrame, key: str, cls: str, stages=STAGES, mode: str = "equal_unique_cap", seed: int = 42):
@@ -75,7 +94,7 @@ def train_plan(assigned: DataFrame, key: str, cls: str, stages=STAGES, mode: str
     spark = assigned.sparkSession
     targets = F.broadcast(stage_table(spark, stages).select("stage_id", "target_per_class"))
     train = assigned.where("subset = 'train'").join(targets, "stage_id")
-    balanced = splits.balance(train, key, cls, UNIT, stages[0].max_unique_per_class, mode, seed)
+    balanced = cut_lineage(splits.balance(train, key, cls, UNIT, stages[0].max_unique_per_class, mode, seed))
     plan = splits.augmentation_plan(balanced, key, cls, UNIT, F.col("target_per_class"), seed)
     combined = balanced.unionByName(plan, allowMissingColumns=True)
     return balanced, plan, combined
