@@ -1 +1,66 @@
+"""Pixel jobs over images derived from the embeddings (64 values = 8 x 8 grey levels)."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabularium.catalog import query
+from tabularium.operators import dedup, pixels, splits
+from tabularium.sources.images import from_vectors
+
+GRAY_SQL = """
+WITH g AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(floor((v - list_min(embedding)) / (list_max(embedding) - list_min(embedding)) * 255) AS BIGINT)) AS px FROM embeddings),
+f AS (SELECT vec_id, label, unnest(px) AS p FROM g)
+"""
+
+
+def images(t):
+    """Grey images plus the raw table's label; the arithmetic stays in the arrays' float type."""
+    return from_vectors(t.embeddings, "vec_id", "embedding", 8)
+
+
+@query("image_features", "I1 I2 I3 I4 I5 I6 I7 I8 I9 I10 I11 I12 S2 S13 X3")
+def image_features(t):
+    return pixels.image_features(images(t))
+
+
+@query("image_moments", "I8 I10 I3", """
+WITH g AS (SELECT vec_id, CAST(list_min(embedding) AS DOUBLE) AS lo, CAST(list_max(embedding) AS DOUBLE) AS hi, embedding FROM embeddings),
+f AS (SELECT vec_id, floor((CAST(x AS DOUBLE) - lo) / (hi - lo) * 255) AS p FROM (SELECT vec_id, lo, hi, unnest(embedding) AS x FROM g)),
+m AS (SELECT vec_id, avg(p) AS m, stddev_pop(p) AS s FROM f GROUP BY 1),
+h AS (SELECT vec_id, -sum(c / 64.0::DOUBLE * log2(c / 64.0::DOUBLE)) AS entropy FROM (SELECT vec_id, p, count(*) AS c FROM f GROUP BY ALL) GROUP BY 1)
+SELECT f.vec_id AS key, round(any_value(m), 6) AS mean_intensity, round(any_value(s), 6) AS std_intensity, round(avg(pow((p - m) / s, 3)), 6) AS skewness_intensity,
+  round(avg(pow((p - m) / s, 4)) - 3, 6) AS kurtosis_intensity, round(any_value(s) / abs(any_value(m)), 6) AS cv_intensity, round(any_value(entropy), 6) AS entropy,
+  round((pow(avg(pow((p - m) / s, 3)), 2) + 1) / avg(pow((p - m) / s, 4)), 6) AS bimodal_coeff
+FROM f JOIN m USING (vec_id) JOIN h USING (vec_id) GROUP BY f.vec_id
+""")
+def image_moments(t):
+    """The intensity part of the features, which SQL can say."""
+    rows = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    names = ("mean_intensity", "std_intensity", "skewness_intensity", "kurtosis_intensity", "cv_intensity", "entropy", "bimodal_coeff")
+    features = pixels.image_features(from_vectors(rows, "vec_id", "embedding", 8))
+    return features.select("key", *[F.round(n, 6).alias(n) for n in names])
+
+
+@query("image_hashes", "I13 W1")
+def image_hashes(t):
+    """Perceptual hash of every image and whether an earlier image has it."""
+    hashed = pixels.image_hashes(images(t))
+    return dedup.mark_exact(hashed, "key", "phash", [])
+
+
+@query("normalized_images", "I14 S13", "SELECT vec_id AS key, 16 AS height, 16 AS width, 'ok' AS status, CAST(256 AS BIGINT) AS n_bytes FROM embeddings")
+def normalized_images(t):
+    rows = pixels.normalized_images(images(t), 16)
+    return rows.select("key", "height", "width", "status", F.length("data").cast("bigint").alias("n_bytes"))
+
+
+@query("augmented_images", "I15")
+def augmented_images(t):
+    """Two augmented images per embedding class member needed to lift each class to 80 rows."""
+    rows = t.embeddings.select("vec_id", F.col("label").cast("string").alias("label")).withColumns(
+        {"stage_id": F.lit(1), "repeat_id": F.lit(0), "fold_id": F.lit(0)}
+    )
+    biggest = rows.groupBy("label").count().agg(F.max("count")).first()[0]
+    plan = splits.augmentation_plan(rows, "vec_id", "label", ["stage_id", "repeat_id", "fold_id"], F.lit(biggest + 20))
+    return pixels.materialize(plan.withColumnRenamed("vec_id", "base_key"), images(t))
