@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from tabularium.catalog import query
 from tabularium.fixtures import cte, view
 from tabularium.functions import scalars as S
-from tabularium.operators import monitor, outliers, selection, splits, stats, tables
-from tabularium.sources.manifest import numeric_columns
+from tabularium.operators import monitor, outliers, selection, splits, stats
 
 FEATS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 HOLES = "CASE WHEN l_linenumber = {0} THEN NULL ELSE {1} END"
@@ -75,7 +74,7 @@ def outlier_strength_labels(t):
     return outliers.consensus(t.embeddings.select("vec_id", *flags)).select("vec_id", "consensus", "outlier_strength")
 
 
-@query("ranking_interpretation", "P11", """
+@query("ranking_interpretation", "P11 X1", """
 SELECT p_partkey, CASE WHEN p_size <= 5 AND p_partkey % 10 <= 5 THEN 'robust_linear_and_nonlinear'
   WHEN p_size <= 5 THEN 'mainly_mean_difference' WHEN p_partkey % 10 <= 5 THEN 'possible_nonlinear_dependency'
   ELSE 'secondary_feature' END AS interpretation FROM part
@@ -151,7 +150,7 @@ def identifiers(t):
     )
 
 
-@query("path_parts", "F5", r"""
+@query("path_parts", "F5 X1", r"""
 SELECT page_id, split_part(url, '/', -1) AS basename, regexp_replace(url, '/[^/]*$', '') AS parent, split_part(url, '/', -2) AS parent_name,
        lower(regexp_extract(regexp_extract(url, '[^/]*$'), '^.+(\.[^.]+)$', 1)) AS suffix, replace(replace(url, '/', '\'), '\', '/') AS posix FROM pages
 """)

@@ -112,3 +112,16 @@ FROM g WHERE silent > 300000000 AND status = 'IDLE'
 def silence_events(t):
     events = monitor.silence_events(view(t, "beat"), F.lit(END).cast("timestamp_ntz"))
     return events.select("worker_uid", "event_type", F.unix_micros(F.col("last_seen_at").cast("timestamp")).alias("last_seen_us"), "detail")
+
+
+@query("signal_view", "X5 A24", cte("customer_task", "customer_stage") + COUNTS + """
+, s AS (SELECT CASE WHEN waiting_tasks > 0 THEN 'HAS_WAITING_TASK' WHEN stale_tasks > 0 THEN 'HAS_STALE_TASK'
+  WHEN running_tasks > 0 THEN 'WAIT_FOR_RUNNING_TASKS' WHEN done_waiting_tell_tasks > 0 THEN 'WAIT_FOR_OPTUNA_TELL'
+  WHEN trials > 0 AND told_tasks >= trials THEN 'STAGE_COMPLETE' WHEN trials > 0 THEN 'WAIT_FOR_DISPATCHER'
+  WHEN total_tasks = 0 THEN 'WAIT_FOR_TASK_GENERATION' WHEN failed_tasks = 0 THEN 'STAGE_COMPLETE' WHEN failed_tasks > 0 THEN 'HAS_FAILED_TASK' ELSE 'IDLE' END AS signal FROM c)
+SELECT signal, count(*) AS n_stages FROM s GROUP BY 1
+""")
+def signal_view(t):
+    """The monitor functions registered as views and queried with SQL."""
+    monitor.register_views(t.spark, view(t, "customer_stage"), view(t, "customer_task"))
+    return t.spark.sql("SELECT signal, count(*) AS n_stages FROM worker_stage_signal GROUP BY signal")

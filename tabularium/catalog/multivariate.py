@@ -98,7 +98,7 @@ def lof(t):
 
 
 @query("local_outlier_flags", "M6 M10", LOF_SQL + """
-SELECT vec_id, label, lof_score >= q AS flag_lof FROM (SELECT *, quantile_cont(lof_score, 0.95) OVER (PARTITION BY label) AS q FROM lof)
+SELECT vec_id, label, lof_score >= q AS flag_lof FROM (SELECT *, quantile_cont(lof_score, 0.95::DOUBLE) OVER (PARTITION BY label) AS q FROM lof)
 """)
 def lof_flags(t):
     scores = local_outlier_factor(vectors(t), "vec_id", "label", "x")

@@ -11,7 +11,7 @@ from tabularium.catalog import query
 from tabularium.functions import scalars as S
 from tabularium.operators import dedup, splits
 from tabularium.operators.relate import restore_order
-from tabularium.sources import logs, manifest as M
+from tabularium.sources import files, logs, manifest as M
 
 PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
@@ -236,3 +236,19 @@ def row_concatenation(t):
 @query("content_hashes", "F3", "SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5 FROM documents")
 def content_hashes(t):
     return t.documents.select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"), F.md5("text").alias("md5"))
+
+
+@query("verified_contents", "F4", """
+WITH s AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || '!' WHEN doc_id % 11 = 0 THEN 'x' || substr(text, 2) ELSE text END AS text FROM documents WHERE doc_id % 7 > 0)
+SELECT d.doc_id, coalesce(octet_length(encode(d.text)) = octet_length(encode(s.text)), false) AS size_ok, coalesce(sha256(d.text) = sha256(s.text), false) AS hash_ok
+FROM documents d LEFT JOIN s USING (doc_id)
+""")
+def verified_contents(t):
+    """Registered sizes and hashes against contents of which some are missing, longer or changed."""
+    body = lambda text: F.encode(text, "UTF-8")
+    registry = files.fingerprint(t.documents.select("doc_id", body(F.col("text")).alias("content")), "doc_id")
+    changed = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).when(
+        F.col("doc_id") % 11 == 0, F.concat(F.lit("x"), F.expr("substring(text, 2)"))
+    ).otherwise(F.col("text"))
+    stored = files.fingerprint(t.documents.where("doc_id % 7 > 0").select("doc_id", body(changed).alias("content")), "doc_id")
+    return files.verify(registry, stored, "doc_id")

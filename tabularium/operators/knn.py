@@ -111,6 +111,8 @@ def local_outlier_factor(df: DataFrame, key: str, cls: str, x: str, k_max: int =
         edges.join(density.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.avg("_density").alias("_around"))
         .join(density, "a").select(F.col("a").alias(key), (F.col("_around") / F.col("_density")).alias("_lof"))
     )
+    # written once: a sum's last digit depends on row order, and a quantile cut must see the same scores
+    ratio = cut_lineage(ratio)
     rows = match(df.select(key, cls), sizes, [cls]).join(ratio, key, "left")
     score = F.when(F.col("_n") < min_rows, 0.0).otherwise(F.coalesce("_lof", F.lit(0.0)))
     return rows.select(key, cls, score.alias("score"))

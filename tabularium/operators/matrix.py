@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabularium.operators.skew import match, small_table
 from tabularium.operators.stats import impute_median, varying
+from tabularium.session import cut_lineage
 
 MODEL = "center ARRAY<DOUBLE>, rows ARRAY<ARRAY<DOUBLE>>, divisor DOUBLE"
 
@@ -101,9 +102,15 @@ def square_sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v * v)
 
 
+def settle(models: DataFrame) -> DataFrame:
+    """Models evaluated once: broadcast if small, else written, so that every use sees the same numbers."""
+    settled, small = small_table(models)
+    return settled if small else cut_lineage(models)
+
+
 def score(df: DataFrame, models: DataFrame, cls: str, x: str, name: str) -> DataFrame:
     """|rows (x - center)|^2 / divisor for every row of ``df``."""
-    joined = match(df, small_table(models)[0], [cls])
+    joined = match(df, settle(models), [cls])
     value = square_sum(project(F.col("rows"), minus(F.col(x), F.col("center")))) / F.col("divisor")
     return joined.withColumn(name, value).drop("center", "rows", "divisor")
 

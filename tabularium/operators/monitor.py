@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabularium.functions import scalars as S
-from tabularium.operators.skew import match, small_table, with_next
+from tabularium.operators.skew import small_table, with_next
 
 KEY = ["stage_no", "model_type"]
 
@@ -192,3 +192,10 @@ def optional_filter(df: DataFrame, order: list[str], **equals) -> DataFrame:
         if value is not None:
             df = df.where(F.col(column) == F.lit(value))
     return df.orderBy(*order)
+
+
+def register_views(spark: SparkSession, stages: DataFrame, tasks: DataFrame, max_parallel: int = 1) -> None:
+    """The stage functions as temporary views for SQL users."""
+    stage_progress(stages, tasks).createOrReplaceTempView("stage_progress")
+    dispatcher_status(stages, tasks, max_parallel).createOrReplaceTempView("dispatcher_stage_status")
+    worker_signal(stages, tasks).createOrReplaceTempView("worker_stage_signal")

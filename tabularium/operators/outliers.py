@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabularium.functions.tails import chi2_quantile
-from tabularium.operators.matrix import MODEL, fit_models, moments, score, whitening
+from tabularium.operators.matrix import MODEL, fit_models, moments, score, settle, whitening
 from tabularium.operators.skew import grouped_quantiles, match, small_table, take_smallest
 from tabularium.session import cut_lineage
 
@@ -100,11 +100,11 @@ def robust_mahalanobis(
     models = picked.select(cls, x, hashed.alias("_order")).groupBy(cls).applyInPandas(
         _start(cls, x, support, seed), f"`{cls}` {kind}, {MODEL}"
     )
-    models = _settle(models)
+    models = settle(models)
     spread = None
     for _ in range(max_steps):
         kept = _within(large, models, cls, x, support)
-        models = _settle(fit_models(moments(kept, cls, x, p), cls, p, _plain))
+        models = settle(fit_models(moments(kept, cls, x, p), cls, p, _plain))
         # whitening rows have norm 1/sqrt(eigenvalue), so this sum is the log determinant
         volume = {r[0]: r[1] for r in models.select(cls, F.expr(
             "aggregate(rows, 0D, (acc, r) -> acc - ln(aggregate(r, 0D, (a, v) -> a + v * v)))")).limit(100_000).collect()}
@@ -121,11 +121,6 @@ def robust_mahalanobis(
     return parts[0].unionByName(parts[1]).withColumn("flag_mahalanobis", flag)
 
 
-def _settle(models: DataFrame) -> DataFrame:
-    settled, small = small_table(models)
-    return settled if small else cut_lineage(models)
-
-
 def _within(df: DataFrame, models: DataFrame, cls: str, x: str, support: float) -> DataFrame:
     scored = score(df, models, cls, x, "_d2")
     cuts = grouped_quantiles(scored, [cls], ["_d2"], [support]).select(cls, F.col("_d2")[0].alias("_cut"))

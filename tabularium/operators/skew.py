@@ -6,7 +6,10 @@ Every per-group operator of the package is written on top of these:
 * ``join_unique``      equi-join against unique keys with the heaviest keys taken out of the shuffle;
 * ``numbered``         dense row numbers inside a group, sorted bucket by bucket;
 * ``take_smallest``    n rows per group by a hash order, shuffling only the boundary bucket;
-* ``grouped_quantiles``exact linear-interpolated quantiles, narrowed by a sketch for large groups.
+* ``mark_smallest``    the same as a flag on every row;
+* ``with_next``, ``with_earlier_min``  ordered look-ups, sorted bucket by bucket;
+* ``value_ranks``      ranks and prefix counts of distinct values, cut into ranges;
+* ``grouped_quantiles``  exact interpolated quantiles, narrowed by a sketch for large groups.
 """
 
 from __future__ import annotations
@@ -107,7 +110,7 @@ def _boundary(
 
 
 def take_smallest(
-    df: DataFrame, by: Sequence[str], quotas: DataFrame, quota: str, hashed: Column, ties: Sequence[Column], digits: int = 3
+    df: DataFrame, by: Sequence[str], quotas: DataFrame, quota: str, hashed: Column, ties: Sequence[Column], digits: int = 4
 ) -> DataFrame:
     """The ``quota`` rows with the smallest hash in each group.
 
@@ -124,7 +127,7 @@ def take_smallest(
 
 def mark_smallest(
     df: DataFrame, by: Sequence[str], quotas: DataFrame, quota: str, hashed: Column, ties: Sequence[Column],
-    name: str, digits: int = 3,
+    name: str, digits: int = 4,
 ) -> DataFrame:
     """Every row, with ``name`` true for the rows ``take_smallest`` would take; same cost."""
     by = list(by)
@@ -240,14 +243,15 @@ def grouped_quantiles(
 ) -> DataFrame:
     """Exact interpolated quantiles: one row per group, one ``array<double>`` column per input column.
 
-    Groups of at most ``group_rows`` rows use the built-in ``percentile`` (its buffer is then bounded).
+    Groups of at most ``group_rows`` values over all columns use the built-in ``percentile``, whose
+    buffer holds every distinct value of a group and is then bounded.
     Beyond that a sketch brackets each quantile and only the values inside the bracket are ranked;
     the bracket is checked against exact counts and widened until it holds the quantile.
     """
     by, columns, probs = list(by), list(columns), [float(p) for p in probs]
     sizes = df.groupBy(*by).agg(F.count("*").alias("n"))
     biggest = sizes.agg(F.max("n")).first()[0] or 0
-    if biggest <= group_rows:
+    if biggest * len(columns) <= group_rows:
         return df.groupBy(*by).agg(
             *[F.percentile(F.col(c).cast("double"), probs).alias(c) for c in columns]
         )
