@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -27,12 +28,16 @@ def list_items(paths: DataFrame, path: str, suffixes: Sequence[str]) -> DataFram
 
 def scan_folder(spark: SparkSession, root: str, suffixes: Sequence[str] = IMAGE_SUFFIXES) -> DataFrame:
     """Files exactly two levels below ``root``; contents are never read. An empty folder gives no rows."""
+    root = root.rstrip("/")
+    depth = len(re.sub("^[a-z0-9]+:/+", "/", root).split("/")) + 2
     try:
-        files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*").select("path")
+        files = spark.read.format("binaryFile").load(f"{root}/*/*").select("path")
     except Exception as error:  # no match for the glob
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return spark.createDataFrame([], MANIFEST)
+    # the pattern also lists below a matching folder
+    files = files.where(F.size(F.split(F.regexp_replace("path", "^[a-z0-9]+:/+", "/"), "/")) == depth)
     return list_items(files, "path", suffixes)
 
 

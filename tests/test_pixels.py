@@ -1,0 +1,135 @@
+"""Pixel features on tiny arrays, and the image reader on PNG files written by hand."""
+
+import struct
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tabularium.operators import pixels as P
+from tabularium.operators.splits import AUGMENTATION_GROUPS
+from tabularium.sources.images import bytes_of, read_images
+
+
+def png(img: np.ndarray) -> bytes:
+    h, w = img.shape[:2]
+    raw = b"".join(b"\0" + img[i].tobytes() for i in range(h))
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    head = struct.pack(">IIBBBBB", w, h, 8, 0 if img.ndim == 2 else 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_box_counting_leaves_out_the_last_boxes():
+    img = np.arange(16, dtype=np.uint8).reshape(4, 4)
+    # side 2 only: one box (0, 1, 4, 5), range 5 -> ceil(5/2) + 1 = 4; a single point has no slope
+    assert P.fractal_dimension(img) == 0.0
+    img = np.arange(64, dtype=np.uint8).reshape(8, 8)
+    totals = np.array([9 * (np.ceil(9 / 2) + 1), 1 * (np.ceil(27 / 4) + 1)])
+    want = np.polyfit(-np.log([2.0, 4.0]), np.log(totals), 1)[0]
+    assert abs(P.fractal_dimension(img) - want) < 1e-9
+
+
+def test_lacunarity_and_constant_images():
+    flat = np.full((8, 8), 9, np.uint8)
+    assert P.lacunarity(flat) == 1.0 and P.lacunarity(flat[:3]) == 0.0 and P.lacunarity(flat * 0) == 0.0
+    f = P.all_features(flat)
+    assert f["bimodal_coeff"] == 0 and f["std_intensity"] == 0 and f["skewness_intensity"] is None and f["entropy"] == 0
+    assert f["glcm_contrast"] == 0 and f["glcm_energy"] == 1 and f["glcm_correlation"] == 1 and (f["solidity"], f["aspect_ratio"]) == (0, 1)
+
+
+def test_gradient_is_signed():
+    step = np.zeros((5, 6), np.uint8)
+    step[:, 3:] = 255
+    assert abs(P.mean_gradient(step) - 4 * 255 * 2 / 4) < 1e-9
+    assert P.mean_gradient(step[:, ::-1]) == P.mean_gradient(step)
+
+
+def test_co_occurrence_by_hand():
+    img = np.array([[0, 1], [1, 0]], np.uint8)
+    contrast, homogeneity, energy, _ = P.co_occurrence(img)
+    # horizontal and vertical pairs always differ by one, diagonal pairs never
+    assert abs(contrast - 0.5) < 1e-12 and abs(homogeneity - 0.75) < 1e-12
+    assert abs(energy - np.mean([np.sqrt(0.5), 1.0, np.sqrt(0.5), 1.0])) < 1e-12
+
+
+def test_patterns_sum_to_one():
+    rng = np.random.default_rng(0)
+    hist = P.local_patterns(rng.integers(0, 255, (20, 20)).astype(np.uint8))
+    assert abs(hist.sum() - 1) < 1e-6
+    inner = P.local_patterns(np.full((30, 30), 7, np.uint8))
+    assert inner[8] > 0.8
+
+
+def test_main_shape_of_a_rectangle():
+    img = np.full((40, 40), 250, np.uint8)
+    img[10:20, 5:35] = 10
+    img[30:33, 2:5] = 10
+    img[0, 0] = 12  # the threshold is the brightest dark level, which itself is not below it
+    solidity, aspect = P.main_shape(img)
+    assert abs(solidity - 1) < 1e-9 and abs(aspect - 3) < 0.01
+
+
+def test_components():
+    mask = np.array([[1, 1, 0, 0], [0, 0, 1, 0], [1, 0, 0, 1]], bool)
+    assert len(np.unique(P.components(mask, 1))) - 1 == 4 and len(np.unique(P.components(mask, 2))) - 1 == 2
+    snake = np.zeros((21, 21), bool)
+    snake[::2] = True
+    snake[1::4, -1] = True
+    snake[3::4, 0] = True
+    assert len(np.unique(P.components(snake, 1))) == 2
+
+
+def test_hash_and_normalise():
+    rng = np.random.default_rng(4)
+    img = (rng.normal(size=(6, 9)).cumsum(0).cumsum(1) * 20 + 128).clip(0, 255).astype(np.uint8)
+    big = P.resize(img, 60, 90)
+    a, b = int(P.perceptual_hash(big), 16), int(P.perceptual_hash(P.resize(big, 120, 180)), 16)
+    assert (a ^ b).bit_count() <= 6
+    out = P.normalize(np.full((300, 100), 200, np.uint8))
+    assert out.shape == (128, 128) and out[64, 64] == 200 and out[64, 10] == 0
+    small = P.normalize(np.full((2, 4), 9, np.uint8))
+    assert (small > 0).sum() == 8
+
+
+def test_augmentations_keep_shape_and_unknown_is_identity():
+    img = np.random.default_rng(1).integers(0, 255, (24, 30)).astype(np.uint8)
+    for ops in AUGMENTATION_GROUPS.values():
+        for op in ops:
+            out = P.apply_op(img, op, np.random.default_rng(2))
+            assert out.shape == img.shape and out.dtype == np.uint8, op
+    assert P.apply_op(img, "no_such_op", np.random.default_rng(2)) is img
+
+
+def test_reader_features_and_errors(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    gray = rng.integers(0, 255, (16, 20)).astype(np.uint8)
+    (tmp_path / "gray.png").write_bytes(png(gray))
+    (tmp_path / "color.png").write_bytes(png(np.stack([gray] * 3, axis=2)))
+    (tmp_path / "broken.png").write_bytes(b"nothing")
+    images = read_images(spark, str(tmp_path))
+    rows = {r["key"].rsplit("/", 1)[-1]: r for r in P.image_features(images).collect()}
+    assert rows["broken.png"]["status"] == "error" and rows["broken.png"]["entropy"] is None
+    want = P.all_features(gray)
+    for name in ("gray.png", "color.png"):
+        assert rows[name]["status"] == "ok" and all(abs(rows[name][k] - v) < 1e-9 for k, v in want.items() if v is not None)
+    hashes = {r["key"].rsplit("/", 1)[-1]: r["phash"] for r in P.image_hashes(images).collect()}
+    assert hashes["broken.png"].startswith("ERROR::") and hashes["gray.png"] == P.perceptual_hash(gray)
+
+
+def test_materialise_is_independent_of_partitioning(spark):
+    images = spark.range(6).select(
+        F.col("id").alias("key"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"),
+        bytes_of(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda v: (v * (F.col("id") + 3)) % 256)).alias("data"),
+    )
+    plan = spark.range(6).select(
+        F.concat(F.lit("S1_"), F.col("id").cast("string")).alias("augmentation_id"), F.col("id").alias("base_key"),
+        F.lit("rotate_small+gaussian_noise_low").alias("augmentation_ops"),
+    ).unionByName(spark.createDataFrame([("S1_x", 99, "blur_light")], "augmentation_id STRING, base_key BIGINT, augmentation_ops STRING"))
+    first = {r["augmentation_id"]: (r["status"], r["data"]) for r in P.materialize(plan, images).collect()}
+    again = {r["augmentation_id"]: (r["status"], r["data"]) for r in P.materialize(plan.repartition(5), images.repartition(3)).collect()}
+    assert first == again and first["S1_x"][0].startswith("error") and first["S1_0"][0] == "created"
+    done = P.materialize(plan, images, plan.where("base_key < 2")).groupBy("status").count().collect()
+    assert {r["status"].split(":")[0]: r["count"] for r in done} == {"created": 4, "exists": 2, "error": 1}
