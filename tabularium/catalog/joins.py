@@ -9,6 +9,7 @@ from tabularium.catalog.scans import FOLD_SQL, part_folds
 from tabularium.fixtures import cte, view
 from tabularium.operators import dedup, knn, monitor, relate, splits
 from tabularium.operators.selection import resample
+from tabularium.session import cut_lineage
 
 # fixed rule for the similarity signature: bit i says whether the text holds the i-th letter pair
 PAIRS = [a + b for a in "etaoinsh" for b in "etaoinsh"]
@@ -25,6 +26,11 @@ def signature(docs):
     return docs.select("doc_id", "lang", total.alias("bits"))
 
 
+def text_hashes(t):
+    """Whole texts are read and hashed once; what follows works on the short rows."""
+    return cut_lineage(t.documents.select("doc_id", "lang", F.md5("text").alias("text_hash")))
+
+
 @query("one_to_one_labels", "J1 U4", """
 SELECT doc_id, lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)
 """)
@@ -94,8 +100,7 @@ SELECT doc_id, lang, doc_id <> first_value(doc_id) OVER w AS is_duplicate,
 FROM documents WINDOW w AS (PARTITION BY md5(text) ORDER BY lang, doc_id)
 """)
 def exact_duplicates(t):
-    rows = t.documents.select("doc_id", "lang", F.md5("text").alias("text_hash"))
-    return dedup.mark_exact(rows, "doc_id", "text_hash", ["lang"]).drop("text_hash")
+    return dedup.mark_exact(text_hashes(t), "doc_id", "text_hash", ["lang"]).drop("text_hash")
 
 
 @query("duplicates_per_class", "A3", """
@@ -103,8 +108,7 @@ SELECT lang, count(*) FILTER (WHERE dup) AS n_duplicates, count(*) AS n_before,
 FROM (SELECT lang, row_number() OVER (PARTITION BY md5(text) ORDER BY lang, doc_id) > 1 AS dup FROM documents) GROUP BY lang
 """)
 def duplicates_per_class(t):
-    rows = t.documents.select("doc_id", "lang", F.md5("text").alias("text_hash"))
-    marked = dedup.mark_exact(rows, "doc_id", "text_hash", ["lang"])
+    marked = dedup.mark_exact(text_hashes(t), "doc_id", "text_hash", ["lang"])
     return marked.groupBy("lang").agg(
         F.count_if("is_duplicate").alias("n_duplicates"), F.count("*").alias("n_before"), F.count_if(~F.col("is_duplicate")).alias("n_after")
     ).orderBy(F.desc("n_duplicates"), "lang")
@@ -153,7 +157,7 @@ FROM s JOIN walk w ON s.bits = w.bits JOIN heads r ON r.bits = w.rep
 """)
 def near_duplicates(t):
     """Greedy marking within three bits: duplicates point to the first earlier retained document."""
-    return dedup.mark_near(signature(t.documents), "doc_id", "bits", [], 3).drop("bits")
+    return dedup.mark_near(cut_lineage(signature(t.documents)), "doc_id", "bits", [], 3).drop("bits")
 
 
 @query("stage_progress", "J5 A22", cte("customer_task", "customer_stage") + """

@@ -21,7 +21,7 @@ def images(t):
 
 @query("image_features", "I1 I2 I3 I4 I5 I6 I7 I8 I9 I10 I11 I12 S2 S13 X3")
 def image_features(t):
-    return pixels.image_features(images(t))
+    return pixels.image_features(images(t), t.spark.sparkContext.defaultParallelism)
 
 
 @query("image_moments", "I8 I10 I3", """
@@ -38,7 +38,7 @@ def image_moments(t):
     """The intensity part of the features, which SQL can say."""
     rows = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     names = ("mean_intensity", "std_intensity", "skewness_intensity", "kurtosis_intensity", "cv_intensity", "entropy", "bimodal_coeff")
-    features = pixels.image_features(from_vectors(rows, "vec_id", "embedding", 8))
+    features = pixels.image_features(from_vectors(rows, "vec_id", "embedding", 8), t.spark.sparkContext.defaultParallelism)
     return features.select("key", *[F.round(n, 6).alias(n) for n in names])
 
 

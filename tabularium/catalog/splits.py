@@ -8,6 +8,7 @@ from tabularium.catalog import query
 from tabularium.catalog.scans import scratch
 from tabularium.operators import splits
 from tabularium.plans import curriculum
+from tabularium.session import cut_lineage
 from tabularium.sources.manifest import select_unit
 
 KEY, CLS, UNIT = "p_partkey", "p_type", curriculum.UNIT
@@ -41,7 +42,8 @@ DEV = f"dev AS (SELECT p_partkey, p_type FROM {pick_sql('part', DOWN.format(90),
 
 
 def development(t):
-    return splits.global_split(parts(t), KEY, CLS).where("split = 'development'").drop("split")
+    """The development manifest, written once as the build's input."""
+    return cut_lineage(splits.global_split(parts(t), KEY, CLS).where("split = 'development'").drop("split"))
 
 
 @query("global_split", "W5", f"SELECT p_partkey, p_type, CASE WHEN picked THEN 'development' ELSE 'holdout_test' END AS split FROM {pick_sql('part', DOWN.format(90), 42)}")

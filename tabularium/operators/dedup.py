@@ -160,8 +160,14 @@ def mark_near(df: DataFrame, key: str, bits: str, order: Sequence[str], threshol
 
 
 def two_pass(df: DataFrame, key: str, order: Sequence[str], first_hash: Column, normalise, second_hash: Column) -> DataFrame:
-    """Hash, keep firsts, normalise, hash again, keep firsts. Nothing is deleted from storage."""
-    once = mark_exact(df.withColumn("_hash", first_hash), key, "_hash", order).where("not is_duplicate")
-    once = normalise(once.drop("_hash", "is_duplicate", "duplicate_of"))
-    twice = mark_exact(once.withColumn("_hash", second_hash), key, "_hash", order).where("not is_duplicate")
-    return twice.drop("_hash", "is_duplicate", "duplicate_of")
+    """Hash, keep firsts, normalise, hash again, keep firsts. Nothing is deleted from storage.
+
+    Each pass marks (key, order, hash) rows only; the wide rows are met again by a semi join on the key.
+    """
+
+    def keep(rows: DataFrame, hashed: Column) -> DataFrame:
+        slim = cut_lineage(rows.select(key, *order, hashed.alias("_hash")))
+        firsts = mark_exact(slim, key, "_hash", order).where("not is_duplicate").select(key)
+        return rows.join(firsts, key, "left_semi")
+
+    return keep(normalise(keep(df, first_hash)), second_hash)

@@ -101,9 +101,10 @@ def robust_mahalanobis(
         _start(cls, x, support, seed), f"`{cls}` {kind}, {MODEL}"
     )
     models = settle(models)
+    biggest = sizes.agg(F.max("_n")).first()[0] or 0
     spread = None
     for _ in range(max_steps):
-        kept = _within(large, models, cls, x, support)
+        kept = _within(large, models, cls, x, support, biggest)
         models = settle(fit_models(moments(kept, cls, x, p), cls, p, _plain))
         # whitening rows have norm 1/sqrt(eigenvalue), so this sum is the log determinant
         volume = {r[0]: r[1] for r in models.select(cls, F.expr(
@@ -112,7 +113,7 @@ def robust_mahalanobis(
             break
         spread = volume
     scored = score(large, models, cls, x, "_d2")
-    middle = grouped_quantiles(scored, [cls], ["_d2"], [0.5]).select(cls, (F.col("_d2")[0] / chi2_quantile(0.5, p)).alias("_scale"))
+    middle = grouped_quantiles(scored, [cls], ["_d2"], [0.5], biggest=biggest).select(cls, (F.col("_d2")[0] / chi2_quantile(0.5, p)).alias("_scale"))
     scored = match(scored, small_table(middle)[0], [cls])
     trusted = scored.where(F.col("_d2") / F.nullif("_scale", F.lit(0.0)) < chi2_quantile(0.975, p))
     final = fit_models(moments(trusted, cls, x, p), cls, p, _plain)
@@ -121,9 +122,9 @@ def robust_mahalanobis(
     return parts[0].unionByName(parts[1]).withColumn("flag_mahalanobis", flag)
 
 
-def _within(df: DataFrame, models: DataFrame, cls: str, x: str, support: float) -> DataFrame:
+def _within(df: DataFrame, models: DataFrame, cls: str, x: str, support: float, biggest: int) -> DataFrame:
     scored = score(df, models, cls, x, "_d2")
-    cuts = grouped_quantiles(scored, [cls], ["_d2"], [support]).select(cls, F.col("_d2")[0].alias("_cut"))
+    cuts = grouped_quantiles(scored, [cls], ["_d2"], [support], biggest=biggest).select(cls, F.col("_d2")[0].alias("_cut"))
     return match(scored, small_table(cuts)[0], [cls]).where("_d2 <= _cut").select(*df.columns)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 
 from tabularium.operators.skew import small_table, take_smallest
 from tabularium.operators.splits import seeded
+from tabularium.session import cut_lineage
 from tabularium.operators.stats import anova, binned_information, neighbour_information, unpivot
 
 
@@ -82,7 +83,9 @@ def balanced_ranking(
     All resamples are scored together, grouped by (bootstrap, feature). ``binned`` swaps the
     neighbour estimate for information gain over that many equal-frequency bins.
     """
-    long = unpivot(resample(df.select(key, cls, *feats), key, cls, n_bootstrap, max_per_class, seed), ["bootstrap", cls], feats)
+    # written once: both scores read the resamples, and drawing them costs n_bootstrap hashes per row
+    drawn = cut_lineage(resample(df.select(key, cls, *feats), key, cls, n_bootstrap, max_per_class, seed))
+    long = unpivot(drawn, ["bootstrap", cls], feats)
     by = ["bootstrap", "feature"]
     info = binned_information(long, by, cls, binned) if binned else neighbour_information(long, by, cls, k)
     f = anova(long, by, cls).select(*by, F.coalesce("f_value", F.lit(0.0)).alias("f_value"))

@@ -191,32 +191,34 @@ def range_bucket(value: Column, splits: Column, levels: int) -> Column:
 def value_ranks(
     counts: DataFrame, by: Sequence[str], value: str, weight: str, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
-    """Add ``below`` (rows with a smaller value) and ``place`` (dense rank) to distinct value counts.
+    """Add ``below`` (rows with a smaller value), ``place`` (dense rank) and ``total`` to value counts.
 
     ``counts`` has one row per (``by``, value). Groups with many distinct values are cut into value
     ranges taken from a sketch, so that no task sorts more than about ``group_rows`` of them.
     """
     by = list(by)
-    size = counts.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    sizes, _ = small_table(counts.groupBy(*by).agg(F.count("*").alias("_d"), F.sum(weight).alias("total")))
+    size = sizes.agg(F.max("_d")).first()[0] or 0
+    counts = match(counts, sizes.drop("_d"), by)
     if size <= group_rows:
-        counts = counts.withColumn("_range", F.lit(0))
-    else:
-        parts = min(4096, 2 * (size // group_rows + 1))
-        levels = parts.bit_length()
-        probs = [i / parts for i in range(1, parts)]
-        splits = counts.groupBy(*by).agg(
-            F.array_distinct(F.percentile_approx(value, probs, 20 * parts)).alias("_splits")
-        )
-        splits, _ = small_table(splits)
-        counts = (
-            match(counts, splits, by)
-            .withColumn("_range", range_bucket(F.col(value), F.col("_splits"), levels))
-            .drop("_splits")
-        )
-    sizes = counts.groupBy(*by, "_range").agg(F.sum(weight).alias("_w"), F.count("*").alias("_d"))
+        whole = W.partitionBy(*by).orderBy(value)
+        earlier = whole.rowsBetween(W.unboundedPreceding, -1)
+        return counts.withColumns({
+            "below": F.coalesce(F.sum(weight).over(earlier), F.lit(0)).cast("bigint"),
+            "place": F.row_number().over(whole).cast("bigint"),
+        })
+    parts = min(4096, 2 * (size // group_rows + 1))
+    probs = [i / parts for i in range(1, parts)]
+    splits = counts.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, probs, 20 * parts)).alias("_splits"))
+    counts = (
+        match(counts, small_table(splits)[0], by)
+        .withColumn("_range", range_bucket(F.col(value), F.col("_splits"), parts.bit_length()))
+        .drop("_splits")
+    )
+    ranges = counts.groupBy(*by, "_range").agg(F.sum(weight).alias("_w"), F.count("*").alias("_d"))
     before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets, _ = small_table(
-        sizes.select(
+        ranges.select(
             *by, "_range",
             F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_w0"),
             F.coalesce(F.sum("_d").over(before), F.lit(0)).alias("_d0"),
@@ -240,17 +242,19 @@ def grouped_quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     group_rows: int = GROUP_ROWS,
+    biggest: int | None = None,
 ) -> DataFrame:
     """Exact interpolated quantiles: one row per group, one ``array<double>`` column per input column.
 
     Groups of at most ``group_rows`` values over all columns use the built-in ``percentile``, whose
     buffer holds every distinct value of a group and is then bounded.
     Beyond that a sketch brackets each quantile and only the values inside the bracket are ranked;
-    the bracket is checked against exact counts and widened until it holds the quantile.
+    the bracket is checked against exact counts and widened until it holds the quantile. A caller that
+    knows the ``biggest`` group's row count saves the job that counts it.
     """
     by, columns, probs = list(by), list(columns), [float(p) for p in probs]
-    sizes = df.groupBy(*by).agg(F.count("*").alias("n"))
-    biggest = sizes.agg(F.max("n")).first()[0] or 0
+    if biggest is None:
+        biggest = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     if biggest * len(columns) <= group_rows:
         return df.groupBy(*by).agg(
             *[F.percentile(F.col(c).cast("double"), probs).alias(c) for c in columns]

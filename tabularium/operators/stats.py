@@ -49,7 +49,7 @@ def class_statistics(df: DataFrame, cls: str, feats: Sequence[str]) -> DataFrame
         for f in feats
     ])
     medians = grouped_quantiles(df, [cls], feats, [0.5]).select(cls, *[F.col(f)[0].alias(f"{f}_median") for f in feats])
-    both = match(sums, small_table(medians)[0], [cls])
+    both = match(sums, medians, [cls])
     rows = F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).alias("s"), F.col(f"{f}_median").alias("median")) for f in feats
     ]))
@@ -254,10 +254,7 @@ def binned_information(long: DataFrame, by: Sequence[str], cls: str, bins: int =
     """
     counts = long.groupBy(*by, cls, "value").agg(F.count("*").alias("_c"))
     values = counts.groupBy(*by, "value").agg(F.sum("_c").alias("_w"))
-    totals = values.groupBy(*by).agg(F.sum("_w").alias("_total"))
-    binned = match(value_ranks(values, by, "value", "_w"), small_table(totals)[0], by).withColumn(
-        "_bin", F.floor(F.col("below") * bins / F.col("_total"))
-    )
+    binned = value_ranks(values, by, "value", "_w").withColumn("_bin", F.floor(F.col("below") * bins / F.col("total")))
     cells = (
         counts.join(binned.select(*by, "value", "_bin"), [*by, "value"])
         .groupBy(*by, cls, "_bin").agg(F.sum("_c").alias("_c"))
