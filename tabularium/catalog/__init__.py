@@ -20,9 +20,10 @@ MODULES = ("scans", "columns", "joins", "statistics", "multivariate", "splits",
 
 
 class Tables:
-    """Attribute access to the driver tables of one folder."""
+    """Attribute access to the driver tables of one folder; times without a zone are read as UTC."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -131,7 +131,6 @@ def clean_names(t):
 
 @query("identifiers", "F1 F2 F6", """
 SELECT p_partkey, substr(sha1(p_name), 1, 16) AS stable_id,
-  CAST(CAST(('0x' || substr(sha1(p_name), 1, 10)) AS BIGINT) % 10000000 * (1099511627776 % 10000000) % 10000000 AS BIGINT) AS head_part,
   CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, 41), lambda i: CAST(('0x' || substr(sha1(p_name), i, 1)) AS BIGINT))),
        lambda a, d: (a * 16 + d) % 10000000) AS BIGINT) AS stable_int,
   printf('S3_R0_F2_%s_%05d_%s', p_type, p_partkey, substr(sha1(p_name), 1, 8)) AS augmentation_id,
@@ -142,7 +141,6 @@ def identifiers(t):
     c = F.col
     return t.part.select(
         "p_partkey", S.stable_id(c("p_name")).alias("stable_id"),
-        (F.conv(F.substring(F.sha1("p_name"), 1, 10), 16, 10).cast("bigint") % 10_000_000 * (1099511627776 % 10_000_000) % 10_000_000).alias("head_part"),
         S.stable_int(c("p_name")).alias("stable_int"),
         S.augmentation_id(F.lit(3), F.lit(0), F.lit(2), c("p_type"), c("p_partkey"), S.stable_id(c("p_name"), 8)).alias("augmentation_id"),
         S.stage_folder(c("p_size")).alias("stage_folder"),
@@ -189,15 +187,9 @@ FROM brands a JOIN brands b ON a.p_type < b.p_type GROUP BY ALL
 """)
 def operation_pairs(t):
     """Pairs of operations from different groups; here types are the groups and sizes the operations."""
-    groups: dict[str, list[str]] = {}
-    ops = t.part.select("p_type", "p_size").distinct()
-    sizes = ops.groupBy("p_type").agg(F.array_sort(F.collect_set(F.col("p_size"))).alias("s")).orderBy("p_type").limit(100).collect()
-    for row in sizes:
-        groups[row["p_type"]] = [f"{row['p_type']}:{s}" for s in row["s"]]
-    pairs = splits.op_pairs(t.spark, groups)
-    name = lambda c, i: F.element_at(F.split(c, ":"), i)
-    return pairs.groupBy(name("op1", 1).alias("first_group"), name("op2", 1).alias("second_group")).agg(
-        F.count("*").alias("n_pairs"), F.sum(name("op1", 2).cast("bigint")).alias("first_sum")
+    ops = t.part.select(F.col("p_type").alias("g"), F.col("p_size").alias("i"), F.col("p_size").alias("op")).distinct()
+    return splits.group_pairs(ops).groupBy(F.col("g1").alias("first_group"), F.col("g2").alias("second_group")).agg(
+        F.count("*").alias("n_pairs"), F.sum(F.col("op1").cast("bigint")).alias("first_sum")
     )
 
 

@@ -97,7 +97,6 @@ SELECT slot_id, coalesce(latest, first_final) AS latest_file_id, best_file_id, f
   CASE WHEN last_kind IS NULL THEN 'EMPTY' WHEN last_kind = 'FINAL' THEN 'FINALIZED' ELSE 'READY' END AS resume_status FROM m
 """)
 def checkpoint_slots(t):
-    # two files of one slot may share time and id; the tie is settled by the kind on neither side, so such ids are merged first
     return tables.fold_slots(view(t, "file")).select("slot_id", "latest_file_id", "best_file_id", "final_file_id", "resume_status")
 
 

@@ -163,17 +163,21 @@ AUGMENTATION_GROUPS = {
 }
 
 
+def group_pairs(ops: DataFrame) -> DataFrame:
+    """Pairs of operations (op1, op2) from two different groups; ``ops`` has group g, place i and op."""
+    first = ops.select(F.col("g").alias("g1"), F.col("i").alias("i1"), F.col("op").alias("op1"))
+    second = ops.select(F.col("g").alias("g2"), F.col("i").alias("i2"), F.col("op").alias("op2"))
+    return first.join(small_table(second)[0], F.col("g1") < F.col("g2"))
+
+
 def op_pairs(spark, groups: dict[str, Sequence[str]] | None = None) -> DataFrame:
-    """Pairs of operations from two different groups: (pair_no, op1, op2), in group and list order."""
+    """The pairs of a configured list of groups: (pair_no, op1, op2), in group and list order."""
     groups = AUGMENTATION_GROUPS if groups is None else groups
     ops = spark.createDataFrame(
         [(g, i, op) for g, names in enumerate(groups.values()) for i, op in enumerate(names)], "g INT, i INT, op STRING"
     )
-    first = ops.select(F.col("g").alias("g1"), F.col("i").alias("i1"), F.col("op").alias("op1"))
-    second = ops.select(F.col("g").alias("g2"), F.col("i").alias("i2"), F.col("op").alias("op2"))
-    pairs = first.join(F.broadcast(second), F.col("g1") < F.col("g2"))
     place = F.row_number().over(W.partitionBy().orderBy("g1", "g2", "i1", "i2"))
-    return pairs.select((place - 1).cast("bigint").alias("pair_no"), "op1", "op2")
+    return group_pairs(ops).select((place - 1).cast("bigint").alias("pair_no"), "op1", "op2")
 
 
 def augmentation_plan(

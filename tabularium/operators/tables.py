@@ -74,7 +74,7 @@ def task_defaults(requests: DataFrame, stages: DataFrame) -> DataFrame:
     """New tasks with the stage's direction and tell status filled in; a missing stage is an error row."""
     joined = requests.join(stages.select("stage_no", "model_type", "trials", F.col("direction").alias("_d"), F.lit(True).alias("_s")), ["stage_no", "model_type"], "left")
     return joined.select(
-        *requests.columns[:0], "task_id", "stage_no", "model_type",
+        "task_id", "stage_no", "model_type",
         F.coalesce("direction", "_d").alias("direction"),
         F.coalesce("tell_status", F.when(F.col("trials") > 0, "PENDING").otherwise("NOT_REQUIRED")).alias("tell_status"),
         F.lit("WAITING").alias("status"), F.coalesce("_s", F.lit(False)).alias("stage_found"),
