@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SLICE_BYTES = 4 << 20  # text worked on at once inside a task
 BLOCK_BYTES = 4 << 20  # text that shares a block of the exchange
@@ -136,8 +136,11 @@ def grams(hashes: np.ndarray, first: np.ndarray, size: int, salt: int = 0) -> tu
     return at, runs_hash(hashes, at, at + size, salt)
 
 
-def with_block(df: DataFrame, key: str, text: str, columns: list[str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The columns and a block number: blocks hold about ``block_bytes`` of text, whatever the key's distribution."""
+def block_count(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> int:
+    """Blocks of about ``block_bytes`` of text, and enough of them for all shuffle partitions."""
     size = df.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
-    n = max(2 * parts(df.sparkSession), -(-size // block_bytes))
-    return df.select(F.pmod(F.xxhash64(F.col(key)), F.lit(n)).alias("block"), *columns)
+    return max(2 * parts(df.sparkSession), -(-size // block_bytes))
+
+
+def block_of(key: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(n))

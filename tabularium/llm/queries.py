@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabularium.llm import bytepair, packing, secrets
+from tabularium.llm import bytepair, fingerprints, jaccard, language, neighbours, packing, secrets, substrings, warc
+from tabularium.llm.common import shared_dir
 from tabularium.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +45,39 @@ def op4_bytepair(spark: SparkSession, folder: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     both = bytepair.encode(table(spark, folder, "documents"), ranks, pattern, decoded=True)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op3_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    found = substrings.find_repeats(table(spark, folder, "documents"), window=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edit_trial(table(spark, folder, "documents"))
+
+
+@query
+def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    found = neighbours.search(table(spark, folder, "embeddings"), F.col("id") % 20 == 0, k=20)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+@query
+def op7_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join_components(table(spark, folder, "documents"), size=4, num=85)
+
+
+@query
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    place = os.path.join(shared_dir(spark), f"warc-{uuid.uuid4().hex}")
+    records = warc.round_trip(table(spark, folder, "pages"), place)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    field = language.train(docs, allowed=~language.held_out("doc_id", 4, 2))
+    return language.identify(docs, field).select("doc_id", language.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
