@@ -29,7 +29,7 @@ UNSURE = 3  # a contraction of up to three characters may be cut at a chunk's en
 class Codec:
     """Ranks and pattern of one vocabulary; ``limit`` bounds the memo of short units."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 300_000):
+    def __init__(self, path: str, pattern: str, limit: int = 200_000):
         import tiktoken
 
         with open(path, "rb") as lines:

@@ -12,30 +12,57 @@ read. An empty table gives no rows. Which documents share a sequence follows the
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tabularium.llm.common import slices
-from tabularium.llm.units import UnitEncoder
+from tabularium.llm.units import Memo, UnitEncoder
+
+
+_OTHER = regex.compile(r"[^\x00-\u024F]")  # beyond these, libraries may class characters by different tables
 
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> UnitEncoder:
+    """Ids by the tokenizers library. Units of Latin letters are split by its pattern first, so that a word is encoded once
+    whatever punctuation follows it; the pieces go to the library's model as it would see them, byte by byte as characters."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import public_tokenizers
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    with open(path, encoding="utf-8") as f:
+        latin = json.load(f).get("pre_tokenizer") or {}
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves; the others follow 255
+    shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    split, model = regex.compile(public_tokenizers.PATTERN), tokenizer.model
 
-    def encode_all(texts: list[str]) -> list[bytes]:
+    def by_library(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    if latin.get("type") != "ByteLevel" or latin.get("add_prefix_space") or tokenizer.normalizer is not None:
+        return UnitEncoder(by_library)
+
+    def of_pieces(pieces: list[str]) -> list[bytes]:
+        return [np.array([t.id for t in model.tokenize(p.encode().decode("latin-1").translate(shown))], "<u4").tobytes() for p in pieces]
+
+    memo = Memo(of_pieces, 300_000)
+
+    def encode_all(texts: list[str]) -> list[bytes]:
+        parts = [None if _OTHER.search(t) else split.findall(t) for t in texts]
+        found = memo.filled({p for part in parts if part is not None for p in part})
+        rest = iter(by_library([t for t, part in zip(texts, parts, strict=True) if part is None]))
+        return [next(rest) if part is None else b"".join(map(found.__getitem__, part)) for part in parts]
+
     return UnitEncoder(encode_all)
 
 

@@ -26,12 +26,38 @@ def segments(text: str) -> Iterator[str]:
     yield text[start:] if start else text
 
 
+class Memo:
+    """Values of short strings: those of the last ``limit`` to twice as many that were asked for. Long ones last for one call."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]], limit: int):
+        self.make, self.limit = make, limit
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
+
+    def filled(self, wanted: set[str]) -> dict[str, bytes]:
+        for k in self.long:
+            self.new.pop(k, None)
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+        new, old, missing = self.new, self.old, []
+        for k in wanted:
+            if k not in new:
+                if (v := old.get(k)) is None:
+                    missing.append(k)
+                else:
+                    new[k] = v
+        new.update(zip(missing, self.make(missing), strict=True))
+        self.long = [k for k in missing if len(k) > 48]
+        return new
+
+
 class UnitEncoder:
-    """``encode_all(list of str) -> list of bytes``, with a memo of at most ``limit`` short units."""
+    """``encode_all(list of str) -> list of bytes`` for whole texts, with memos of units."""
 
-    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], limit: int = 300_000):
-        self.encode_all, self.limit = encode_all, limit
-        self.memo: dict[str, bytes] = {}
+    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], limit: int = 200_000):
+        self.encode_all = encode_all
+        self.memo = Memo(lambda units: encode_all([u[1:] if u[:1] == "\0" else " " + u for u in units]), limit)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Encoded bytes of each text."""
@@ -41,34 +67,15 @@ class UnitEncoder:
         for text in texts:
             steps: list = []
             for part in segments(text):
-                if _CROWDED.search(part):
+                if "\0" in part or _CROWDED.search(part):
                     steps.append(len(whole))
                     whole.append(part)
                     continue
                 units = part.split(" ")
-                head = units[0]
-                units[0] = "\0" + head  # opens without a space; told apart from units that follow one
+                units[0] = "\0" + units[0]  # opens without a space; told apart from units that follow one
                 wanted.update(units)
                 steps.append(units)
             plan.append(steps)
-        if len(self.memo) > self.limit:
-            self.memo.clear()
-        memo = self.memo
-        missing = [u for u in wanted if u not in memo]
-        once: dict[str, bytes] = {}
-        for unit, ids in zip(missing, self.encode_all([u[1:] if u[:1] == "\0" else " " + u for u in missing]), strict=True):
-            (memo if len(unit) <= 48 else once)[unit] = ids
-        found = memo if not once else {**memo, **once} if len(memo) < 1000 else _Either(memo, once)
+        found = self.memo.filled(wanted)
         done = self.encode_all(whole)
         return [b"".join(done[s] if isinstance(s, int) else b"".join(map(found.__getitem__, s)) for s in steps) for steps in plan]
-
-
-class _Either(dict):
-    """Looks in ``once`` for units that are too long to keep."""
-
-    def __init__(self, memo: dict, once: dict):
-        super().__init__(once)
-        self.memo = memo
-
-    def __missing__(self, unit: str) -> bytes:
-        return self.memo[unit]

@@ -9,7 +9,7 @@ from tabularium.llm import packing, queries
 from tabularium.session import table
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-TEXTS = [None, "", "a", " a", "a ", "  a  b\n c 　d  e", "x\n\ny", "it's we'll 'RE " * 400, "z" * 5000, "word " * 9000, "<|endoftext|> ok", "a b c"] + [f"tok{i} " * i for i in range(300)]
+TEXTS = [None, "", "a", " a", "a ", "  a  b\n c 　d  e", "x\n\ny", "it's we'll 'RE " * 400, "z" * 5000, "word " * 9000, "<|endoftext|> ok", "a b c", "x \0y \0"] + [f"tok{i} " * i for i in range(300)]
 
 
 def reference():
