@@ -1,23 +1,63 @@
-"""Corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next."""
+"""Corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+Each stage takes (spark, docs, sf_dir) and works on every row its predecessor kept. All but the last return the columns of
+``documents``, with n_chars brought up to date; null texts pass language identification no more, so later ones see none.
+"""
 
 from __future__ import annotations
 
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabularium.llm import secrets
+from tabularium.llm import jaccard, language, packing, secrets, substrings
 from tabularium.llm.common import shared_dir
 from tabularium.session import table
 
+LEAST_SCORE = 0.4  # a text in one language scores near 1, an even mixture of two near 0.5
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars")) if "n_chars" in docs.columns else docs
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, null, or of which no language holds a fair share of the letters go."""
+    field = language.train(docs, allowed=~language.held_out("doc_id", 4, 2))
+    return language.keep_identified(docs, field, LEAST_SCORE)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of 0.8 on five-word shingles connect, the one with the smallest doc_id stays. Null ids stay."""
+    found = jaccard.join_components(docs, size=5, num=80)
+    heads = found.filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(heads, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words under a 13-word window of a document with a smaller doc_id go; a document goes if nothing is left of it."""
+    return _counted(substrings.remove_repeats(docs, window=13))
+
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; no document goes."""
-    return secrets.redact(docs)
+    return _counted(secrets.redact(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens with their ids (little-endian, 32 bits each) and places in sequences."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("secrets", redact_secrets)]
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", drop_repeated_passages),
+    ("secrets", redact_secrets),
+    ("packing", pack_sequences),
+]
 ORACLE_SQL = None
 
 

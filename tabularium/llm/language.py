@@ -253,15 +253,17 @@ def pairs(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray, follow
     return (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
 
 
-def sample_rows(df: DataFrame, key: str, label: str, text: str, allowed: Column, per_label: int, stretch: int) -> list[tuple[str, str]]:
-    """At most ``per_label`` stretches of each label, chosen by a hash of key and text."""
-    labelled = df.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("h"), allowed.alias("ok"))
-    labelled = labelled.filter("ok AND label IS NOT NULL AND text IS NOT NULL")
-    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-    if not counts:
-        return []
-    rates = F.create_map(*[x for name, n in counts.items() for x in (F.lit(name), F.lit(min(1.0, 1.2 * per_label / n)))])
-    near = labelled.filter(F.pmod("h", F.lit(1_000_003)) / 1_000_003 < rates[F.col("label")])
+def rates(counts: dict, per_label: int) -> Column:
+    """Map of each label to the share of its rows to look at, a fifth more than are wanted."""
+    return F.create_map(*[x for name, n in counts.items() for x in (F.lit(name), F.lit(min(1.0, 1.2 * per_label / n)))])
+
+
+def below(hashed: Column, share: Column) -> Column:
+    return F.pmod(hashed, F.lit(1_000_003)) / 1_000_003 < share
+
+
+def stretches(df: DataFrame, per_label: int, stretch: int) -> list[tuple[str, str]]:
+    """Of rows (label, text, h), one stretch of words at a place that h picks; at most ``per_label`` of each label, by h."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,15 +274,23 @@ def sample_rows(df: DataFrame, key: str, label: str, text: str, allowed: Column,
                 texts.append(" ".join(split[start:start + stretch]))
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(texts, pa.string()), batch.column("h")], ["label", "text", "h"])
 
-    got = sorted(near.mapInArrow(take, "label string, text string, h long").collect(), key=lambda r: (r["label"], r["h"], r["text"]))
-    out, taken = [], dict.fromkeys(counts, 0)
-    for r in got:
-        if taken[r["label"]] < per_label:
-            taken[r["label"]] += 1
+    got = df.select("label", "text", "h").mapInArrow(take, "label string, text string, h long").collect()
+    out, taken = [], {}
+    for r in sorted(got, key=lambda r: (r["label"], r["h"], r["text"])):
+        taken[r["label"]] = taken.get(r["label"], 0) + 1
+        if taken[r["label"]] <= per_label:
             out.append((r["label"], r["text"]))
     return out
 
 
+def sample_rows(df: DataFrame, key: str, label: str, text: str, allowed: Column, per_label: int, stretch: int) -> list[tuple[str, str]]:
+    """At most ``per_label`` stretches of each label, chosen by a hash of key and text."""
+    labelled = df.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("h"), allowed.alias("ok"))
+    labelled = labelled.filter("ok AND label IS NOT NULL AND text IS NOT NULL")
+    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    return stretches(labelled.filter(below(F.col("h"), rates(counts, per_label)[F.col("label")])), per_label, stretch) if counts else []
+
+
 def held_out(key: str, folds: int, fold: int) -> Column:
     """Whether crc32 of the key as text falls into the fold; a null key never does."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % folds == fold, F.lit(False))

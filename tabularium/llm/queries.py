@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabularium.llm import bytepair, fingerprints, jaccard, language, neighbours, packing, secrets, substrings, warc
+from tabularium.llm import bytepair, fingerprints, jaccard, language, neighbours, packing, secrets, substrings, toxicity, warc
 from tabularium.llm.common import shared_dir
 from tabularium.session import table
 
@@ -81,3 +81,11 @@ def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     field = language.train(docs, allowed=~language.held_out("doc_id", 4, 2))
     return language.identify(docs, field).select("doc_id", language.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held = table(spark, folder, "documents"), language.held_out("doc_id", 5, 0)
+    model = toxicity.train(docs, table(spark, folder, "labels"), allowed=~held)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
