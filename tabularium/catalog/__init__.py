@@ -16,7 +16,7 @@ ORACLES: dict[str, str] = {}
 ROWS: dict[str, tuple[str, ...]] = {}
 
 MODULES = ("scans", "columns", "joins", "statistics", "multivariate", "splits", "runs", "monitoring",
-           "tables", "quality", "pixels", "streams")
+           "tables", "quality", "streams")
 
 
 class Tables:

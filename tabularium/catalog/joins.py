@@ -187,13 +187,13 @@ NOW = "1998-12-31 00:00:00"
 
 
 @query("task_monitor", "J6 J10 W10", cte("task", "worker") + f""", {STAGE10},
-slot AS (SELECT l_orderkey AS slot_id, max(l_linenumber) AS current_epoch FROM lineitem WHERE l_orderkey < 1000 GROUP BY 1)
+slot AS (SELECT l_orderkey % 1000 AS slot_id, max(l_linenumber) AS current_epoch FROM lineitem GROUP BY 1)
 SELECT task_id, stage_no, model_type, stage_name, status, worker_id, worker_name, slot_id, current_epoch,
        date_diff('second', last_heartbeat, TIMESTAMP '{NOW}') AS heartbeat_age
 FROM task JOIN stage USING (stage_no, model_type) LEFT JOIN worker USING (worker_id) LEFT JOIN slot USING (slot_id)
 """)
 def task_monitor(t):
-    slots = t.lineitem.where("l_orderkey < 1000").groupBy(F.col("l_orderkey").alias("slot_id")).agg(F.max("l_linenumber").alias("current_epoch"))
+    slots = t.lineitem.groupBy((F.col("l_orderkey") % 1000).alias("slot_id")).agg(F.max("l_linenumber").alias("current_epoch"))
     return monitor.task_monitor(view(t, "task"), ten_stages(t), view(t, "worker"), slots, F.lit(NOW).cast("timestamp_ntz")).select(
         "task_id", "stage_no", "model_type", "stage_name", "status", "worker_id", "worker_name", "slot_id", "current_epoch", "heartbeat_age"
     )

@@ -159,16 +159,15 @@ def binned_information(t):
     return stats.binned_information(long, ["feature"], "l_returnflag").withColumn("information", F.round("information", 8))
 
 
-EIGHT = [f"x{i}" for i in range(8)]
+DIMS = [f"x{i}" for i in range(64)]
 
 
-def eight(t):
-    """First eight dimensions as DOUBLE columns."""
-    return t.embeddings.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)])
+def wide(t):
+    """Every dimension as a DOUBLE column."""
+    return t.embeddings.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(DIMS)])
 
 
-LONG_SQL = "(" + " UNION ALL ".join(
-    f"SELECT vec_id, label, 'x{i}' AS feature, CAST(embedding[{i + 1}] AS DOUBLE) AS x FROM embeddings" for i in range(8)) + ")"
+LONG_SQL = "(SELECT vec_id, label, concat('x', i - 1) AS feature, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 65) AS dims(i))"
 
 
 def digamma_sql(n: str) -> str:
@@ -191,7 +190,7 @@ SELECT m.feature, round(greatest(any_value({digamma_sql('n.n')}) + avg(({digamma
 FROM m JOIN n USING (feature) GROUP BY m.feature
 """)
 def neighbour_information(t):
-    long = stats.unpivot(eight(t), ["label"], EIGHT)
+    long = stats.unpivot(wide(t), ["label"], DIMS)
     return stats.neighbour_information(long, ["feature"], "label").withColumn("information", F.round("information", 6))
 
 
@@ -221,14 +220,14 @@ SELECT feature, round(fm, 6) AS anova_mean, round(fs, 6) AS anova_std, round(im,
 """)
 def balanced_feature_ranking(t):
     """Thirty balanced resamples scored by F value and by binned information gain."""
-    rows = selection.balanced_ranking(eight(t), "vec_id", "label", EIGHT, binned=10)
+    rows = selection.balanced_ranking(wide(t), "vec_id", "label", DIMS, binned=10)
     names = ("anova_mean", "anova_std", "info_mean", "info_std", "anova_rank_mean", "info_rank_mean", "consensus_rank", "consensus_score")
     return rows.select("feature", "interpretation", *[F.round(c, 6).alias(c) for c in names])
 
 
 @query("neighbour_feature_ranking", "A14")
 def neighbour_feature_ranking(t):
-    return selection.balanced_ranking(eight(t), "vec_id", "label", EIGHT)
+    return selection.balanced_ranking(wide(t), "vec_id", "label", DIMS)
 
 
 @query("average_ranks", "W2 W3", """

@@ -84,7 +84,7 @@ def streamed_once_per_trial(t):
     rows = t.events.selectExpr("user_id * 100 + CAST(date_part('day', ts) AS BIGINT) AS trial", "CAST(ts AS TIMESTAMP) AS ts")
     folder = scratch(t.spark, "reports")
     replay.write_slices(rows, folder, "ts")
-    once = heartbeats.once_per_trial(replay.open_stream(t.spark, folder, rows.schema), "2 days")
+    once = heartbeats.once_per_trial(replay.open_stream(t.spark, folder, rows.schema))
     return replay.drain(once, scratch(t.spark, "once"), scratch(t.spark, "ck")).select("trial")
 
 

@@ -8,7 +8,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabularium.operators.skew import HOT_KEYS, join_unique
+from tabularium.operators.skew import join_unique, small_table
 from tabularium.session import cut_lineage
 
 
@@ -80,11 +80,8 @@ def near_pairs(
         .select("_key", "_bits", "_p._choice", "_p._part")
     )
     sizes = rows.groupBy("_choice", "_part").agg(F.count("*").alias("_n")).where("_n > 1")
-    crowded = (
-        sizes.where(F.col("_n") > bucket_rows).orderBy(F.desc("_n"), "_choice", "_part").limit(HOT_KEYS)
-        .select("_choice", "_part", F.ceil(F.col("_n") / bucket_rows).cast("int").alias("_slices"))
-    )
-    rows = rows.join(F.broadcast(crowded), ["_choice", "_part"], "left").withColumn(
+    crowded = sizes.where(F.col("_n") > bucket_rows).select("_choice", "_part", F.ceil(F.col("_n") / bucket_rows).cast("int").alias("_slices"))
+    rows = rows.join(small_table(crowded)[0], ["_choice", "_part"], "left").withColumn(
         "_slices", F.coalesce("_slices", F.lit(1))
     )
     slice_ = F.pmod(F.xxhash64("_key"), F.col("_slices")).cast("int")

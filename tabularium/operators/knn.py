@@ -19,12 +19,12 @@ from tabularium.operators.skew import match, small_table, take_smallest
 from tabularium.session import cut_lineage
 
 SLICE_ROWS = 4_096
-MAX_PIVOTS = 128
 
 
 def _cells(df: DataFrame, key: str, cls: str, x: str, slice_rows: int) -> DataFrame:
     sizes = df.groupBy(cls).agg(F.count("*").alias("_n"))
-    pivots_wanted = F.least(F.lit(MAX_PIVOTS), F.ceil(F.col("_n") / slice_rows)).cast("bigint")
+    slices = F.ceil(F.col("_n") / slice_rows)
+    pivots_wanted = F.least(slices, F.ceil(8 * F.sqrt(slices))).cast("bigint")  # a pivot a slice, then with the root
     quotas = sizes.select(cls, pivots_wanted.alias("_pivots"))
     pivots = take_smallest(
         df, [cls], quotas, "_pivots", F.md5(F.concat_ws("|", F.lit("pivot"), F.col(key).cast("string"))), [F.col(key)]

@@ -34,19 +34,26 @@ def vector(feats: Sequence[str]) -> Column:
     return F.array(*[F.col(f).cast("double") for f in feats])
 
 
-def moments(df: DataFrame, cls: str, x: str, p: int) -> DataFrame:
-    """(class, pos, value): count at 0, sums at 1..p, products of all pairs after that.
+def near_centre(df: DataFrame, x: str, p: int) -> np.ndarray:
+    """A point near the data (the mean of a few rows), from which sums are taken so that they do not cancel."""
+    few = [r[x] for r in df.select(x).limit(16).collect()]
+    return np.mean(few, axis=0) if few else np.zeros(p)
+
+
+def moments(df: DataFrame, cls: str, x: str, p: int, centre: np.ndarray | None = None) -> DataFrame:
+    """(class, pos, value): count at 0, sums of x - centre at 1..p, products of all pairs after that, then count * centre.
 
     Each task sends one array per class it saw; positions are then summed in a balanced shuffle.
     """
     kind = df.schema[cls].dataType
+    centre = near_centre(df, x, p) if centre is None else centre
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict = {}
         for batch in batches:
             for name, part in batch.groupby(cls, dropna=False, sort=False):
-                data = np.stack(part[x].to_numpy())
-                row = np.concatenate([[len(data)], data.sum(0), (data.T @ data).ravel()])
+                data = np.stack(part[x].to_numpy()) - centre
+                row = np.concatenate([[len(data)], data.sum(0), (data.T @ data).ravel(), len(data) * centre])
                 name = None if pd.isna(name) else name
                 acc[name] = acc[name] + row if name in acc else row
         if acc:
@@ -62,12 +69,12 @@ def moments(df: DataFrame, cls: str, x: str, p: int) -> DataFrame:
 
 def unpack(part: pd.DataFrame, p: int) -> tuple[int, np.ndarray, np.ndarray]:
     """Count, mean and maximum-likelihood covariance from one class's moment rows."""
-    values = np.zeros(1 + p + p * p)
+    values = np.zeros(1 + 2 * p + p * p)
     values[part["pos"].to_numpy()] = part["value"].to_numpy()
     n = values[0]
     mean = values[1 : 1 + p] / n
-    cov = values[1 + p :].reshape(p, p) / n - np.outer(mean, mean)
-    return int(n), mean, (cov + cov.T) / 2
+    cov = values[1 + p : 1 + p + p * p].reshape(p, p) / n - np.outer(mean, mean)
+    return int(n), mean + values[1 + p + p * p :] / n, (cov + cov.T) / 2
 
 
 def fit_models(

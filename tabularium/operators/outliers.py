@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import warnings
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabularium.functions.tails import chi2_quantile
-from tabularium.operators.matrix import MODEL, fit_models, moments, score, settle, whitening
+from tabularium.operators.matrix import fit_models, moments, near_centre, score, settle, whitening
 from tabularium.operators.skew import grouped_quantiles, match, small_table, take_smallest
 from tabularium.session import cut_lineage
 
@@ -49,74 +50,55 @@ def mahalanobis(df: DataFrame, cls: str, x: str, p: int, name: str = "mahalanobi
     return score(df, fit_models(moments(df, cls, x, p), cls, p, _plain), cls, x, name)
 
 
-def _start(cls: str, x: str, support: float, seed: int, starts: int = 30):
-    """Best of several concentrated random starts on a bounded sample of a class."""
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        data = np.stack(part.sort_values("_order")[x].to_numpy())
-        n, p = data.shape
-        keep = min(n, max(p + 1, int(support * n)))
-        rng = np.random.default_rng(seed)
-        best = None
-        for _ in range(starts):
-            rows = rng.choice(n, min(n, p + 1), replace=False)
-            for _step in range(30):
-                center, cov = data[rows].mean(0), np.atleast_2d(np.cov(data[rows].T, bias=True))
-                gap = data - center
-                dist = np.einsum("ij,jk,ik->i", gap, np.linalg.pinv(cov, hermitian=True), gap)
-                chosen = np.argsort(dist, kind="stable")[:keep]
-                if len(rows) == keep and set(chosen) == set(rows):
-                    break
-                rows = chosen
-            sign, logdet = np.linalg.slogdet(cov)
-            logdet = logdet if sign > 0 else -np.inf
-            if best is None or logdet < best[0]:
-                best = (logdet, center, cov)
-        center, rows, divisor = _plain(n, best[1], best[2])
-        return pd.DataFrame({
-            cls: pd.Series([part[cls].iloc[0]], dtype=part[cls].dtype), "center": [list(map(float, center))],
-            "rows": [[list(map(float, r)) for r in rows]], "divisor": [divisor],
-        })
-
-    return one
+def _volume(models: DataFrame, group: str) -> DataFrame:
+    """Log determinant of each model; whitening rows have norm 1/sqrt(eigenvalue)."""
+    return models.select(group, F.expr("aggregate(rows, 0D, (acc, r) -> acc - ln(aggregate(r, 0D, (a, v) -> a + v * v)))").alias("_volume"))
+
+
+def _started(large: DataFrame, sizes: DataFrame, cls: str, x: str, p: int, support: float, seed: int, starts: int, biggest: int, centre: np.ndarray) -> DataFrame:
+    """Best of several starts per class. A start is p + 1 rows that a hash draws from the whole class; two concentration
+    steps over all rows follow, for all starts together, and the smallest determinant wins."""
+    number = F.explode(F.sequence(F.lit(0), F.lit(starts - 1))).alias("_s")
+    groups = sizes.select(cls, number).withColumn("_g", F.xxhash64(cls, "_s"))
+    many = large.select(cls, x, number).withColumn("_g", F.xxhash64(cls, "_s"))
+    hashed = F.md5(F.concat_ws("|", F.lit(f"start{seed}"), F.col("_s").cast("string"), F.col(x).cast("string")))
+    picked = take_smallest(many, ["_g"], groups.select("_g", F.lit(p + 1).alias("_want")), "_want", hashed, [hashed])
+    models = settle(fit_models(moments(picked, "_g", x, p, centre), "_g", p, _plain))
+    for _ in range(2):
+        models = settle(fit_models(moments(_within(many, models, "_g", x, support, biggest), "_g", x, p, centre), "_g", p, _plain))
+    best = groups.join(_volume(models, "_g"), "_g").groupBy(cls).agg(F.min_by("_g", F.struct("_volume", "_s")).alias("_g"))
+    return settle(best.join(models, "_g").drop("_g"))
 
 
 def robust_mahalanobis(
     df: DataFrame, cls: str, x: str, p: int, support: float = 0.75, alpha: float = 0.975, seed: int = 42,
-    max_steps: int = 30, sample: int = 500,
+    max_steps: int = 30, starts: int = 8,
 ) -> DataFrame:
     """Squared distance under a reweighted minimum-determinant covariance, with its flag.
 
-    Starts are sought on a hashed sample of each class; the concentration steps then run on all rows:
-    distance expression, exact per-class cut, moments of the kept rows. Small classes use the plain
-    covariance. Steps stop when no class's determinant falls any more.
+    Starts and concentration steps run on all rows: distance expression, exact per-class cut, moments of the
+    kept rows. Small classes use the plain covariance. Steps stop when no class's determinant moves any more;
+    a warning tells if ``max_steps`` came first.
     """
-    kind = df.schema[cls].dataType.simpleString()
     sizes, _ = small_table(df.groupBy(cls).agg(F.count("*").alias("_n")))
     large = match(df, sizes, [cls]).where(F.col("_n") >= max(10, p + 3)).drop("_n")
     small = match(df, sizes, [cls]).where(F.col("_n") < max(10, p + 3)).drop("_n")
-    hashed = F.md5(F.concat_ws("|", F.lit(f"start{seed}"), F.col(x).cast("string")))
-    picked = take_smallest(large, [cls], sizes.withColumn("_want", F.lit(sample)), "_want", hashed, [hashed])
-    models = picked.select(cls, x, hashed.alias("_order")).groupBy(cls).applyInPandas(
-        _start(cls, x, support, seed), f"`{cls}` {kind}, {MODEL}"
-    )
-    models = settle(models)
     biggest = sizes.agg(F.max("_n")).first()[0] or 0
-    spread = None
+    centre = near_centre(df, x, p)
+    models = _started(large, sizes.where(F.col("_n") >= max(10, p + 3)), cls, x, p, support, seed, starts, biggest, centre)
     for _ in range(max_steps):
         kept = _within(large, models, cls, x, support, biggest)
-        models = settle(fit_models(moments(kept, cls, x, p), cls, p, _plain))
-        # whitening rows have norm 1/sqrt(eigenvalue), so this sum is the log determinant
-        volume = {r[0]: r[1] for r in models.select(cls, F.expr(
-            "aggregate(rows, 0D, (acc, r) -> acc - ln(aggregate(r, 0D, (a, v) -> a + v * v)))")).limit(100_000).collect()}
-        if spread is not None and all(abs(volume[c] - spread.get(c, math.inf)) < 1e-9 for c in volume):
+        before, models = models, settle(fit_models(moments(kept, cls, x, p, centre), cls, p, _plain))
+        change = match(_volume(models, cls), _volume(before, cls).withColumnRenamed("_volume", "_was"), [cls])
+        if (change.agg(F.max(F.abs(F.col("_volume") - F.col("_was")))).first()[0] or 0.0) < 1e-9:
             break
-        spread = volume
+    else:
+        warnings.warn(f"robust covariance still moving after {max_steps} steps", stacklevel=2)
     scored = score(large, models, cls, x, "_d2")
     middle = grouped_quantiles(scored, [cls], ["_d2"], [0.5], biggest=biggest).select(cls, (F.col("_d2")[0] / chi2_quantile(0.5, p)).alias("_scale"))
     scored = match(scored, small_table(middle)[0], [cls])
     trusted = scored.where(F.col("_d2") / F.nullif("_scale", F.lit(0.0)) < chi2_quantile(0.975, p))
-    final = fit_models(moments(trusted, cls, x, p), cls, p, _plain)
+    final = fit_models(moments(trusted, cls, x, p, centre), cls, p, _plain)
     parts = [score(large, final, cls, x, "mahalanobis_score"), mahalanobis(small, cls, x, p)]
     flag = F.col("mahalanobis_score") >= chi2_quantile(alpha, p)
     return parts[0].unionByName(parts[1]).withColumn("flag_mahalanobis", flag)
@@ -180,8 +162,7 @@ def isolation_forest(
 ) -> DataFrame:
     """(…, isolation_forest_score, flag): larger is more isolated; classes below ``min_rows`` score 0.
 
-    Trees are grown in parallel from a pool of ``trees * subsample`` hashed rows per class. A large
-    class gives each tree its own slice of the pool, a small one lets each tree draw from it. Rows
+    Trees are grown in parallel and draw from a pool of ``trees * subsample`` hashed rows per class. Rows
     meet the forests of ``classes_per_pass`` classes at a time through a broadcast of known size.
     """
     sizes, _ = small_table(df.groupBy(cls).agg(F.count("*").alias("_n")))
@@ -199,10 +180,7 @@ def isolation_forest(
         for tree in range(grove, trees, groves):
             digest = hashlib.md5(f"{seed}|{name}|{tree}".encode()).digest()
             rng = np.random.default_rng(int.from_bytes(digest[:8], "big"))
-            if len(data) >= pool_rows:
-                rows = np.arange(tree * subsample, (tree + 1) * subsample)
-            else:
-                rows = rng.choice(len(data), take, replace=False)
+            rows = rng.choice(len(data), take, replace=False)
             for i, node in enumerate(_grow(data[rows], rng)):
                 out.append((name, tree, i, *node))
         return pd.DataFrame(out, columns=[cls, "tree", "node", "feature", "cut", "lo", "hi", "depth"])

@@ -83,7 +83,7 @@ def improvements(log: DataFrame, run: str, epoch: str, value: str, min_delta: fl
     ``min_delta`` they are the answer; otherwise the few records of a run are walked in order.
     """
     signed = F.col(value).cast("double") if mode == "min" else -F.col(value).cast("double")
-    clean = log.select(run, F.col(epoch).alias("epoch"), signed.alias("_v")).where("_v is not null and not isnan(_v)")
+    clean = log.select(run, F.col(epoch).alias("epoch"), signed.alias("_v")).where("_v is not null and not isnan(_v) and _v < double('Infinity')")
     blocks = F.floor(F.col("epoch") / block)
     records = with_earlier_min(clean, [run], blocks, ["epoch"], "_v", "_low").where("_low is null or _v < _low").drop("_low")
     if min_delta > 0:
@@ -111,9 +111,12 @@ def early_stop(
     """Per run: stop_epoch (null if it never stops) with the best epoch and value at that time.
 
     Epochs count from 1 without gaps. An improvement at e stops the run at e + patience if the next
-    improvement comes later than that.
+    improvement comes later than that. The best is infinite before the first epoch, so a run without a finite
+    value for ``patience`` epochs stops there, with no best epoch.
     """
     moved = improvements(log, run, epoch, value, min_delta, mode, block)
+    before = log.select(run).distinct().select(run, F.lit(0).cast(moved.schema["epoch"].dataType).alias("epoch"), F.lit(None).cast("double").alias("value"))
+    moved = moved.unionByName(before)
     steps = with_next(moved, [run], F.floor(F.col("epoch") / block), ["epoch"], "epoch", "_next")
     ends = log.groupBy(run).agg(F.max(epoch).alias("last_epoch"))
     joined = match(steps, ends, [run])
@@ -123,7 +126,8 @@ def early_stop(
     last = F.max(F.struct(F.col("epoch"), F.col("value")))
     return joined.groupBy(run, "last_epoch").agg(first.alias("s"), last.alias("l")).select(
         run, "last_epoch", (F.col("s.epoch") + patience).alias("stop_epoch"),
-        F.coalesce("s.epoch", "l.epoch").alias("best_epoch"), F.coalesce("s.value", "l.value").alias("best_value"),
+        F.nullif(F.coalesce("s.epoch", "l.epoch"), F.lit(0)).alias("best_epoch"),
+        F.when(F.col("s").isNotNull(), F.col("s.value")).otherwise(F.col("l.value")).alias("best_value"),
     )
 
 

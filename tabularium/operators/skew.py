@@ -17,21 +17,26 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql import Window as W
 
 SMALL_ROWS = 200_000
+SMALL_BYTES = 64 << 20
 HOT_KEYS = 1_000
 GROUP_ROWS = 4_000_000
 
 
 def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
-    """Evaluate ``df`` once if it has at most ``max_rows`` rows and mark it for broadcast.
+    """Evaluate ``df`` once if it has at most ``max_rows`` rows and ``SMALL_BYTES``, and mark it for broadcast.
 
-    A larger frame comes back untouched, so that the join that follows is a shuffle join.
+    A larger frame comes back untouched, so that the join that follows is a shuffle join. Where rows hold
+    arrays, a few of them tell how many may be fetched.
     """
+    if any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.BinaryType)) for f in df.schema):
+        few = df.limit(64).toArrow()
+        max_rows = min(max_rows, int(SMALL_BYTES // max(1, few.nbytes // max(1, few.num_rows))))
     rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
+    if rows.num_rows > max_rows or rows.nbytes > SMALL_BYTES:
         return df, False
     return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema)), True
 
@@ -207,7 +212,7 @@ def value_ranks(
             "below": F.coalesce(F.sum(weight).over(earlier), F.lit(0)).cast("bigint"),
             "place": F.row_number().over(whole).cast("bigint"),
         })
-    parts = min(4096, 2 * (size // group_rows + 1))
+    parts = 2 * (size // group_rows + 1)
     probs = [i / parts for i in range(1, parts)]
     splits = counts.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, probs, 20 * parts)).alias("_splits"))
     counts = (
@@ -310,8 +315,9 @@ def grouped_quantiles(
             ranked.groupBy(*keys).agg(
                 F.max(F.when((first <= F.floor(at)) & (last >= F.floor(at)), F.col("_v"))).alias("_x"),
                 F.max(F.when((first <= F.ceil(at)) & (last >= F.ceil(at)), F.col("_v"))).alias("_y"),
-                F.max(at - F.floor(at)).alias("_w"),
-            ).select(*keys, F.lit(i).alias("_i"), (F.col("_x") + (F.col("_y") - F.col("_x")) * F.col("_w")).alias("_q"))
+                F.max(at - F.floor(at)).alias("_w"), F.max(F.ceil(at) - at).alias("_u"),
+            ).select(*keys, F.lit(i).alias("_i"), F.when(F.col("_x") == F.col("_y"), F.col("_x")).otherwise(
+                F.col("_u") * F.col("_x") + F.col("_w") * F.col("_y")).alias("_q"))  # as the built-in interpolates
         )
     rows = reduce(DataFrame.unionByName, picked)
     wide = rows.groupBy(*by).agg(
@@ -320,4 +326,6 @@ def grouped_quantiles(
             for c in columns
         ]
     )
-    return wide
+    # a group without any value keeps its row, and a column without values is null, as with the built-in
+    groups = df.groupBy(*by).agg(*[F.count(c).alias(f"_n_{i}") for i, c in enumerate(columns)])
+    return match(groups, wide, by, "left").select(*by, *[F.when(F.col(f"_n_{i}") > 0, F.col(c)).alias(c) for i, c in enumerate(columns)])

@@ -31,10 +31,21 @@ def impute_median(df: DataFrame, feats: Sequence[str]) -> DataFrame:
     clean = df.withColumns({f: finite(F.col(f)) for f in feats})
     medians = grouped_quantiles(clean, [], feats, [0.5]).first()
     return clean.withColumns({
-        f: F.coalesce(F.col(f), F.lit(medians[f][0] if medians[f] else None).cast("double")) for f in feats
+        f: F.coalesce(F.col(f), F.lit(medians[f][0] if medians and medians[f] else None).cast("double")) for f in feats
     })
 
 
+def finite_only(df: DataFrame, feats: Sequence[str]) -> DataFrame:
+    """NaN and infinite values of the features become null; only fractional columns can hold them."""
+    odd = {f.name for f in df.schema if f.dataType.typeName() in ("double", "float")}
+    return df.withColumns({f: finite(F.col(f)) for f in feats if f in odd})
+
+
+def outside(f: str) -> Column:
+    value = F.col(f).cast("double")
+    return ((value < F.col(f"{f}_lower")) | (value > F.col(f"{f}_upper"))) & ~F.isnan(value)
+
+
 def varying(df: DataFrame, feats: Sequence[str]) -> list[str]:
     """Features whose sample standard deviation is positive, found in one pass."""
     spread = df.agg(*[F.stddev_samp(f).alias(f) for f in feats]).first()
@@ -42,7 +53,8 @@ def varying(df: DataFrame, feats: Sequence[str]) -> list[str]:
 
 
 def class_statistics(df: DataFrame, cls: str, feats: Sequence[str]) -> DataFrame:
-    """Long form: class, feature, mean, sample std, exact median, min, max."""
+    """Long form: class, feature, mean, sample std, exact median, min, max, over finite values."""
+    df = finite_only(df, feats)
     sums = df.groupBy(cls).agg(*[
         F.struct(F.avg(f).alias("mean"), F.stddev_samp(f).alias("std"), F.min(f).cast("double").alias("min"),
                  F.max(f).cast("double").alias("max")).alias(f)
@@ -60,7 +72,7 @@ def class_statistics(df: DataFrame, cls: str, feats: Sequence[str]) -> DataFrame
 
 def class_feature_matrix(df: DataFrame, cls: str, feats: Sequence[str]) -> DataFrame:
     """Class means scaled to [0, 1] across classes; a feature without range becomes 0."""
-    means = df.groupBy(cls).agg(*[F.avg(f).alias(f) for f in feats])
+    means = finite_only(df, feats).groupBy(cls).agg(*[F.avg(f).alias(f) for f in feats])
     every = W.partitionBy()
 
     def scaled(f: str) -> Column:
@@ -71,7 +83,8 @@ def class_feature_matrix(df: DataFrame, cls: str, feats: Sequence[str]) -> DataF
 
 
 def outlier_bounds(df: DataFrame, cls: str, feats: Sequence[str], multiplier: float = 1.5) -> DataFrame:
-    """Lower and upper bound per class, null for classes with fewer than four values of a feature."""
+    """Lower and upper bound per class, null for classes with fewer than four finite values of a feature."""
+    df = finite_only(df, feats)
     quartiles = grouped_quantiles(df, [cls], feats, [0.25, 0.75])
     filled = df.groupBy(cls).agg(*[F.count(f).alias(f"{f}_n") for f in feats], F.count("*").alias("n_rows"))
     both = match(quartiles, filled, [cls])
@@ -87,12 +100,10 @@ def outlier_bounds(df: DataFrame, cls: str, feats: Sequence[str], multiplier: fl
 
 
 def outlier_flags(df: DataFrame, cls: str, feats: Sequence[str], multiplier: float = 1.5) -> DataFrame:
-    """``<feature>_outlier`` per row and their sum; values on a bound are not outliers."""
+    """``<feature>_outlier`` per row and their sum; infinite values are outliers, NaN and values on a bound are not."""
     bounded = match(df, outlier_bounds(df, cls, feats, multiplier), [cls])
     flags = {
-        f"{f}_outlier": F.coalesce(
-            (F.col(f) < F.col(f"{f}_lower")) | (F.col(f) > F.col(f"{f}_upper")), F.lit(False)
-        ) for f in feats
+        f"{f}_outlier": F.coalesce(outside(f), F.lit(False)) for f in feats
     }
     bounded = bounded.withColumns(flags)
     total = reduce(lambda a, b: a + b, [F.col(c).cast("int") for c in flags])
@@ -106,7 +117,7 @@ def outlier_summary(df: DataFrame, cls: str, feats: Sequence[str], multiplier: f
         F.count("*").alias("n_rows"),
         *[
             F.struct(
-                F.count_if((F.col(f) < F.col(f"{f}_lower")) | (F.col(f) > F.col(f"{f}_upper"))).alias("n_outliers"),
+                F.count_if(outside(f)).alias("n_outliers"),
                 F.first(f"{f}_lower").alias("lower"), F.first(f"{f}_upper").alias("upper"),
             ).alias(f) for f in feats
         ],
@@ -122,7 +133,8 @@ def outlier_summary(df: DataFrame, cls: str, feats: Sequence[str], multiplier: f
 
 
 def correlations(df: DataFrame, feats: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Pearson matrix in long form, one pass over the table."""
+    """Pearson matrix in long form over pairs of finite values, one pass over the table."""
+    df = finite_only(df, feats)
     pairs = list(combinations(feats, 2))
     row = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)],
                  *[F.when(F.stddev_samp(f) > 0, 1.0).alias(f"d{i}") for i, f in enumerate(feats)])
@@ -144,7 +156,8 @@ def _square(long: DataFrame, feats: Sequence[str], value: str) -> np.ndarray:
 
 
 def condition_number(df: DataFrame, feats: Sequence[str]) -> float:
-    """Square root of the eigenvalue ratio of the correlation matrix."""
+    """Square root of the eigenvalue ratio of the correlation matrix of complete rows."""
+    df = finite_only(df, feats).na.drop(subset=list(feats))
     values = np.linalg.eigvalsh(np.nan_to_num(_square(correlations(df, feats), feats, "r")))
     return float(np.sqrt(values.max() / max(values.min(), 1e-12)))
 
@@ -334,7 +347,7 @@ def neighbour_information(
 
 def centroid_proximity(df: DataFrame, cls: str, feats: Sequence[str]) -> DataFrame:
     """Pairwise distance of the k standardised class means (k rows, not table rows)."""
-    means = df.groupBy(cls).agg(*[F.avg(f).alias(f) for f in feats])
+    means = finite_only(df, feats).groupBy(cls).agg(*[F.avg(f).alias(f) for f in feats])
     every = W.partitionBy()
     z = means.select(cls, *[
         F.coalesce((F.col(f) - F.avg(f).over(every)) / F.nullif(F.stddev_pop(f).over(every), F.lit(0.0)), F.lit(0.0)).alias(f)

@@ -8,9 +8,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[str] = (), stamp: str | None = None) -> DataFrame:
-    """New rows win column by column, except the ``keep`` columns of a row that already existed."""
+def upsert(
+    old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[str] = (), stamp: str | None = None, order: Sequence[str] = ()
+) -> DataFrame:
+    """New rows win column by column, except the ``keep`` columns of a row that already existed.
+
+    Of several new rows for a key the last in ``order`` (then by the other columns) counts, as if they came one by
+    one; ``keep`` columns of a new key come from the first.
+    """
     keys = list(keys)
+    position = F.struct(*order, *[c for c in new.columns if c not in order and c not in keys])
+    one = new.groupBy(*keys).agg(F.max(position).alias("_last"), F.min(position).alias("_first"))
+    new = one.select(*keys, *[F.col("_first" if c in keep else "_last")[c].alias(c) for c in new.columns if c not in keys])
     rest = [c for c in old.columns if c not in keys]
     incoming = new.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in rest if c in new.columns], F.lit(True).alias("_new"))
     existing = old.withColumn("_old", F.lit(True))

@@ -122,14 +122,19 @@ def metadata(assigned: DataFrame, key: str, cls: str, stages=STAGES, mode: str =
     )
 
 
-def build(dev: DataFrame, key: str, cls: str, out: str, stages=STAGES, mode: str = "equal_unique_cap") -> dict[str, str]:
-    """Write assignments and combined plans partitioned by unit, then the small tables beside them."""
+def build(
+    dev: DataFrame, key: str, cls: str, out: str, stages=STAGES, mode: str = "equal_unique_cap", source: str | None = None
+) -> dict[str, str]:
+    """Write assignments and combined plans partitioned by unit, then the small tables beside them.
+
+    No ``source`` (rows of one origin share it; the key if not given) may be on both sides of a unit.
+    """
     spark = dev.sparkSession
     splits.require_two_classes(dev, cls)
     places = {n: f"{out}/{n}" for n in ("assignments", "train_plan", "metadata", "index", "distribution")}
     assignments(dev, key, cls, stages).write.mode("overwrite").partitionBy(*UNIT, "subset").parquet(places["assignments"])
     assigned = spark.read.parquet(places["assignments"])
-    require_no_overlap(assigned, UNIT, key, "subset")
+    require_no_overlap(assigned, UNIT, source or key, "subset")
     _, _, combined = train_plan(assigned, key, cls, stages, mode)
     combined.write.mode("overwrite").partitionBy(*UNIT).parquet(places["train_plan"])
     metadata(assigned, key, cls, stages, mode).write.mode("overwrite").parquet(places["metadata"])

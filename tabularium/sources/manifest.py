@@ -72,7 +72,7 @@ def _alias(df: DataFrame, names: Sequence[str], role: str) -> Column:
 
 
 def normalize(df: DataFrame) -> DataFrame:
-    """path, class, filename, source_id and original_path, whatever the aliases were."""
+    """path, class, filename, source_id and original_path, whatever the aliases were; a given source id stays."""
     lower = {c.lower(): c for c in df.columns}
     path = _alias(df, PATH_ALIASES, "path").cast("string")
     cls = _alias(df, CLASS_ALIASES, "class").cast("string")
@@ -80,12 +80,12 @@ def normalize(df: DataFrame) -> DataFrame:
     def own(name: str, otherwise: Column) -> Column:
         return F.col(lower[name]).cast("string") if name in lower else otherwise
 
-    taken = {*PATH_ALIASES, *CLASS_ALIASES, "filename", "source_id", "original_path"}
+    taken = {*PATH_ALIASES, *CLASS_ALIASES, "filename", "source_id", "source_image_id", "original_path"}
     extra = [F.col(c) for c in df.columns if c.lower() not in taken]
     return df.select(
         path.alias("path"), cls.alias("class"),
         own("filename", S.basename(path)).alias("filename"),
-        own("source_id", S.stable_id(S.posix(path), 16)).alias("source_id"),
+        own("source_id", own("source_image_id", S.stable_id(S.posix(path), 16))).alias("source_id"),
         own("original_path", path).alias("original_path"),
         *extra,
     )

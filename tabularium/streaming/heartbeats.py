@@ -86,8 +86,10 @@ def mark_once(out: str):
     return write
 
 
-def once_per_trial(reports: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Exactly-once result reports: a repeated report of a trial is dropped while the watermark remembers it."""
+def once_per_trial(reports: DataFrame, delay: str | None = None) -> DataFrame:
+    """Exactly-once result reports. Every trial is remembered for ever, or, to bound the state, for ``delay`` of event time."""
+    if delay is None:
+        return reports.dropDuplicates(["trial"])
     return reports.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["trial"])
 
 

@@ -6,6 +6,7 @@ trigger's size (``maxFilesPerTrigger``); the state itself is a few fields.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,17 +49,18 @@ def early_stop_events(log: DataFrame, patience: int, min_delta: float = 0.0, mod
         for epoch, value in zip(rows["epoch"], rows["value"]):
             if stopped:
                 break
-            v = sign * value
-            if best is None or v < best - min_delta:
+            v = sign * value if value is not None else math.inf
+            if v < (math.inf if best is None else best - min_delta):
                 best, best_epoch, wait = v, int(epoch), 0
                 out.append((key[0], int(epoch), "improved", best_epoch, float(value)))
             else:
                 wait += 1
                 if wait >= patience:
                     stopped = True
-                    out.append((key[0], int(epoch), "stopped", best_epoch, sign * best))
+                    out.append((key[0], int(epoch), "stopped", best_epoch, None if best is None else sign * best))
         state.update((best, best_epoch, wait, stopped))
-        yield pd.DataFrame(out, columns=["run", "epoch", "kind", "best_epoch", "best_value"])
+        if out:
+            yield pd.DataFrame(out, columns=["run", "epoch", "kind", "best_epoch", "best_value"]).astype({"best_epoch": "Int64", "best_value": "float64"})
 
     return log.groupBy("run").applyInPandasWithState(
         step, EVENT, "best DOUBLE, best_epoch BIGINT, wait BIGINT, stopped BOOLEAN", "append", GroupStateTimeout.NoTimeout

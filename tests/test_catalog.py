@@ -15,7 +15,7 @@ SAMPLE = (
     "univariate_outlier_summary", "class_statistics", "exact_duplicates", "near_duplicates", "global_split", "repeated_folds", "curriculum_metadata",
     "balanced_feature_ranking", "neighbour_information", "local_outlier_factor", "silhouette_samples", "label_metrics", "early_stops_with_delta",
     "epoch_diagnostics", "dispatcher_status", "worker_signals", "silence_events", "heartbeat_fold", "task_states", "checkpoint_slots",
-    "streamed_heartbeats", "streamed_silence_events", "streamed_task_states", "streamed_early_stops", "identifiers", "incremental_extraction", "image_moments",
+    "streamed_heartbeats", "streamed_silence_events", "streamed_task_states", "streamed_early_stops", "identifiers", "incremental_extraction",
 )
 NAMES = sorted(catalog.QUERIES) if os.environ.get("ALL_QUERIES") else SAMPLE
 
