@@ -9,12 +9,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabularium.llm import bytepair, fingerprints, jaccard, language, neighbours, packing, secrets, substrings, toxicity, warc
+from tabularium.llm import bytepair, fingerprints, jaccard, language, neighbours, packing, secrets, substrings, toxicity, twins, warc
 from tabularium.llm.common import shared_dir
 from tabularium.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_secrets": twins.SECRETS, "op3_substrings": twins.SUBSTRINGS, "op7_jaccard": twins.JACCARD, "op10_warc": twins.WARC}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
