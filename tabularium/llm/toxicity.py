@@ -3,7 +3,8 @@
 A word is the mean of the embeddings of its n-grams and of itself, a window of words the mean of its words, and a softmax over two
 classes reads the window; so a misspelling that was never seen shares most of its vector with what was. A text scores as its
 most toxic window (windows overlap by half), whatever its length. Training reads whole texts first and then, in
-each, the window that scores highest. Class weights are put right by the share of labels in all labelled rows.
+each, the window that scores highest. Both labels weigh
+alike in training; half of the log odds of their shares in all labelled rows is then added, which keeps rare positives in reach.
 
 The fit uses at most ``per_label`` rows of each label, one stretch of at most ``stretch`` words at a random place of each;
 scoring reads whole texts. Texts without words, null and empty ones score as the base rate alone says. Rows keep their number; other
@@ -69,9 +70,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def fit(rows: list[tuple[int, str]], rate: float, window: int = 24, width: int = 12, whole_epochs: int = 6, epochs: int = 40, step: float = 0.25, decay: float = 1e-3, seed: int = 11) -> Model:
+def fit(rows: list[tuple[int, str]], rate: float, window: int = 4, width: int = 12, whole_epochs: int = 6, epochs: int = 50, step: float = 0.5, decay: float = 1e-3, seed: int = 11) -> Model:
     """Embeddings, softmax and biases by adaptive gradients. ``rows``: (label, stretch); ``rate``: share of label 1 in all rows."""
-    prior = float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)))
+    prior = 0.5 * float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)))
     truth = np.array([y for y, _ in rows], float)
     if len(set(truth.tolist())) < 2:
         return Model(np.zeros(BUCKETS), prior, window)
