@@ -10,6 +10,7 @@ from tabularium.functions import scalars as S
 from tabularium.functions import tails
 from tabularium.functions.search_space import parse
 from tabularium.operators import matrix, monitor, outliers, relate, runs, selection, splits, stats, tables
+from tabularium.operators.skew import grouped_quantiles
 from tabularium.plans import curriculum
 from tabularium.sources import logs, manifest as M
 
@@ -333,3 +334,55 @@ def test_guards(spark):
     assert missing.first()["stage_found"] is False
     with pytest.raises(Exception, match="no stage 9"):
         tables.require_stage(missing).collect()
+
+
+def test_statistics_skip_nan_and_infinite_values(spark):
+    rows = [("a", v) for v in (1.0, 2.0, 3.0, 4.0, float("nan"), float("inf"), None)] + [("b", None), ("b", float("nan"))]
+    df = spark.createDataFrame(rows, "c string, v double")
+    got = {r["c"]: r for r in stats.class_statistics(df, "c", ["v"]).collect()}
+    assert (got["a"]["mean"], got["a"]["median"], got["a"]["max"]) == (2.5, 2.5, 4.0)
+    assert got["b"]["mean"] is None and got["b"]["median"] is None
+    flags = [(r["v"], r["v_outlier"]) for r in stats.outlier_flags(df, "c", ["v"]).where("c = 'a'").collect()]
+    assert [v for v, f in flags if f] == [float("inf")]
+    summary = stats.outlier_summary(df, "c", ["v"]).collect()
+    assert [(r["c"], r["n_outliers"], r["n_rows"]) for r in summary] == [("a", 1, 7)]
+
+
+@pytest.mark.parametrize("group_rows", [2, 1_000_000])
+def test_quantiles_agree_on_both_sides_of_the_bound(spark, group_rows):
+    rows = [("a", float(v), None) for v in (3, 1, 4, 1, 5, 9, 2, 6)] + [("b", None, 0.1), ("b", None, 0.7), (None, 1.5, None)]
+    df = spark.createDataFrame(rows, "c string, v double, w double")
+    got = {r["c"]: (r["v"], r["w"]) for r in grouped_quantiles(df, ["c"], ["v", "w"], [0.1, 0.5], group_rows).collect()}
+    want = {r["c"]: (r["v"], r["w"]) for r in df.groupBy("c").agg(F.percentile("v", [0.1, 0.5]).alias("v"), F.percentile("w", [0.1, 0.5]).alias("w")).collect()}
+    assert got == want and got["b"][0] is None
+
+
+def test_a_given_source_id_stays_and_a_leaking_family_raises(spark, tmp_path):
+    manifest = spark.createDataFrame([("x/1.png", "a", "s1"), ("x/2.png", "a", "s1")], "filepath string, label string, source_image_id string")
+    assert {r["source_id"] for r in M.normalize(manifest).collect()} == {"s1"}
+    dev = spark.createDataFrame([(i, "a" if i % 2 else "b", i // 40) for i in range(400)], "k long, c string, family long")
+    with pytest.raises(ValueError):
+        curriculum.build(dev, "k", "c", str(tmp_path / "out"), source="family")
+
+
+def test_upsert_takes_the_last_of_repeated_updates(spark):
+    old = spark.createDataFrame([(1, "a", 0)], "k int, v string, at int")
+    new = spark.createDataFrame([(1, "b", 1), (1, "c", 2), (2, "x", 5), (2, "w", 6)], "k int, v string, at int")
+    got = tables.upsert(old, new, ["k"], order=["at"]).orderBy("k").collect()
+    assert [tuple(r) for r in got] == [(1, "c", 2), (2, "w", 6)]
+
+
+def test_a_run_without_finite_values_stops_after_the_patience(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, e, nan) for e in range(1, 6)] + [(2, e, v) for e, v in enumerate((nan, nan, 1.0, 2.0, 3.0, 4.0), 1)] + [(3, 1, inf), (3, 2, 5.0)]
+    log = spark.createDataFrame(rows, "run long, epoch long, value double")
+    got = {r["run"]: (r["stop_epoch"], r["best_epoch"], r["best_value"]) for r in runs.early_stop(log, "run", "epoch", "value", 3).collect()}
+    assert got == {1: (3, None, None), 2: (6, 3, 1.0), 3: (None, 2, 5.0)}
+
+
+def test_moments_do_not_cancel_far_from_zero(spark):
+    rows = [("a", [1e8 + i % 5, 1e8 - i % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, "c string, x array<double>")
+    n, mean, cov = matrix.unpack(matrix.moments(df, "c", "x", 2).toPandas(), 2)
+    want = np.array([r[1] for r in rows])
+    assert n == 60 and np.allclose(mean, want.mean(0), rtol=1e-15) and np.allclose(cov, np.cov((want - 1e8).T, bias=True), rtol=1e-9)
