@@ -13,9 +13,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabularium.llm import jaccard, language, packing, secrets, substrings
-from tabularium.llm.common import shared_dir
+from tabularium.llm.common import shared_dir, staged
 from tabularium.session import table
 
+FEW_IDS = 500_000  # ids that are broadcast, 4 MB
 LEAST_SCORE = 0.4  # a text in one language scores near 1, an even mixture of two near 0.5
 
 
@@ -32,8 +33,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of 0.8 on five-word shingles connect, the one with the smallest doc_id stays. Null ids stay."""
     found = jaccard.join_components(docs, size=5, num=80)
-    heads = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    copies = staged(found.filter("doc_id <> component_id").select("doc_id").distinct())
+    few = copies.count() <= FEW_IDS  # then the texts need not be shuffled
+    return docs.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
