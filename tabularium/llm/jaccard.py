@@ -7,10 +7,12 @@ one that differs by one shingle, 0 skips it. While allocations sum to H + 1, lin
 costly ones since unrelated sets share them, get 0 as far as segments of two shingles can take 2 instead; for those, segments of
 three shingles are indexed with each single deletion.
 
-Keys first go round as bare hashes, so that only documents that share one are gathered with their sets. Candidates are verified
-on the sets. First each document meets the candidate of smaller id with most common keys; then pairs inside a key are looked at
-only while they lie in different components, leaders by doubling ranks, until no key spans two components: pairs are not
-expanded inside a group that is one component, and no link between components is lost.
+A few segments more than H + 1 make linked sets meet in several, and fewer common keys than that rule a pair out.
+
+Keys first go round as bare hashes, so that only documents that share enough of them are gathered with their sets. Candidates are
+verified on the sets. First each document meets the candidate of smaller id with most common keys. Then keys that still span
+two components are worked off: documents with the smallest ids in a key (a doubling number each round) meet all others they share
+keys with across components, and are done. Pairs are not expanded inside a component, and no link between components is lost.
 
 Shingles are compared by 64-bit hashes. Null and empty texts, and texts of white space, have no shingles and are alone, as are null
 ids (component null). Rows of one id count as one document and get the same component. Other columns are not read.
@@ -30,6 +32,7 @@ from tabularium.llm.common import block_count, block_of, grams, mix, runs_hash,
 U = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
+SPARE = 4  # segments beyond H + 1, at least
 TOGETHER = 256  # sets compared with one leader in a task
 BROADCAST_ROWS = 200_000  # rows of three numbers: under 10 MB
 
@@ -62,21 +65,24 @@ def band_starts(most: int, num: int, den: int) -> np.ndarray:
     return np.array([*out, last, max(last + 1, den * (last - 1) // num + 1)])
 
 
-def signatures(tokens: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, key and whether it searches (else it is only found), for sets tokens[first[i]:first[i + 1]]."""
+def signatures(tokens: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, key, whether it searches (else it is only found), and how many keys of the same need a linked set has in common,
+    for sets tokens[first[i]:first[i + 1]]."""
     sizes = np.diff(first)
     docs = np.flatnonzero(sizes)
     if not len(docs):
-        return docs, np.zeros(0, U), np.zeros(0, bool)
+        return docs, np.zeros(0, U), np.zeros(0, bool), docs
     limits = band_starts(int(sizes.max()), num, den)
     band = np.searchsorted(limits, sizes[docs], side="right") - 1
     owner = np.repeat(np.arange(len(docs)), sizes[docs])
     tokens = tokens[first[docs[0]]:]
     value = mix(tokens + U(0x2545F4914F6CDD1D))
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, ...]] = []
     for step in (0, 1):
         group = band + step  # covers bands group - 1 and group
-        segments = (den - num) * 2 * (limits[group + 1] - 1) // (den + num) + 1
+        apart = (den - num) * 2 * (limits[group + 1] - 1) // (den + num)
+        spare = SPARE + apart // 8
+        segments, need = apart + 1 + spare, (spare + 2) // 2
         base = np.cumsum(segments) - segments
         total = int(segments.sum())
         own = np.repeat(np.arange(len(docs)), segments)
@@ -101,17 +107,17 @@ def signatures(tokens: np.ndarray, first: np.ndarray, num: int, den: int) -> tup
         search = np.ones(total, bool)
         search[ranked(empty)] = False
         doubled = ranked(two)
-        out.append((own, mix(tag + sums), search))
-        out.append((own[doubled], mix(tag[doubled] + sums[doubled] + U(0xD1)), np.ones(len(doubled), bool)))
+        out.append((own, mix(tag + sums), search, need[own]))
+        out.append((own[doubled], mix(tag[doubled] + sums[doubled] + U(0xD1)), np.ones(len(doubled), bool), need[own[doubled]]))
         three = special & (filled == 3)
         part = three[segment]
-        out.append((owner[part], mix(tag[segment[part]] + sums[segment[part]] - value[part] + U(0xD1)), np.zeros(int(part.sum()), bool)))
+        out.append((owner[part], mix(tag[segment[part]] + sums[segment[part]] - value[part] + U(0xD1)), np.zeros(int(part.sum()), bool), need[owner[part]]))
         is_double = np.zeros(total, bool)
         is_double[doubled] = True
         part = is_double[segment]
-        out.append((owner[part], mix(tag[segment[part]] + sums[segment[part]] - value[part]), np.ones(int(part.sum()), bool)))
-    which, keys, search = (np.concatenate(x) for x in zip(*out, strict=True))
-    return docs[which], keys & ~U(1), search
+        out.append((owner[part], mix(tag[segment[part]] + sums[segment[part]] - value[part]), np.ones(int(part.sum()), bool), need[owner[part]]))
+    which, keys, search, need = (np.concatenate(x) for x in zip(*out, strict=True))
+    return docs[which], keys & ~U(1), search, need
 
 
 def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -162,7 +168,7 @@ def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, reps: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Rows (id, n, tokens, keys) of representatives that share a key with another; a key's lowest bit tells that it searches."""
+    """Rows (id, n, tokens, keys, needs) of representatives that share enough keys; a key's lowest bit tells that it searches."""
     count, n = block_count(docs, "text"), exchange.buckets(docs, "text")
     blocks = docs.select(block_of("doc_id", count).alias("block"), "doc_id", "text")
     chosen = reps.select(block_of("rep", count).alias("block"), F.lit(-1).cast("long").alias("bucket"), F.col("rep").alias("id"), F.lit(None).cast("binary").alias("keys"))
@@ -188,45 +194,53 @@ def candidates(docs: DataFrame, reps: DataFrame, size: int, num: int, den: int)
 
     def keys_of(table: pa.Table, ids: set[int]):
         own, tokens, first = wanted(table, ids)
-        doc, keys, search = signatures(tokens, first, num, den)
-        return own, tokens, first, doc, keys, search
+        return own, tokens, first, *signatures(tokens, first, num, den)
 
     def send(table: pa.Table, right: pa.Table) -> pa.Table:
         if not table.num_rows or not right.num_rows:
             return exchange.ARROW.empty_table()
-        _, _, _, _, keys, search = keys_of(table, set(right.column("id").to_pylist()))
+        _, _, _, _, keys, search, _ = keys_of(table, set(right.column("id").to_pylist()))
         distinct, inverse = np.unique(keys, return_inverse=True)
         flag = np.bincount(inverse, search, len(distinct)) > 0 if len(keys) else np.zeros(0, bool)
         return exchange.packed(table.column("block")[0].as_py(), distinct | flag.astype(U), None, n)
 
-    empty = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("keys", pa.list_(pa.int64()))]).empty_table()
+    empty = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("keys", pa.list_(pa.int64())), ("needs", pa.list_(pa.int32()))]).empty_table()
 
     def gather(table: pa.Table, right: pa.Table) -> pa.Table:
         if not table.num_rows or not right.num_rows:
             return empty
         ids = right.column("id").to_pylist()
         known = np.sort(np.frombuffer(b"".join(k for k in right.column("keys").to_pylist() if k is not None), U))
-        own, tokens, first, doc, keys, search = keys_of(table, {i for i in ids if i is not None})
+        own, tokens, first, doc, keys, search, need = keys_of(table, {i for i in ids if i is not None})
         # keys that several documents of this block have
         pair = np.unique(np.stack([keys, doc.astype(U)]), axis=1) if len(keys) else np.zeros((2, 0), U)
         repeated = np.unique(pair[0][1:][pair[0][1:] == pair[0][:-1]]) if pair.shape[1] else pair[0]
         hit = np.flatnonzero(exchange.among(keys, known) | exchange.among(keys, repeated))
-        order = hit[np.argsort(doc[hit], kind="stable")]
-        cuts = np.searchsorted(doc[order], np.arange(len(own) + 1))
-        flagged = (keys[order] | search[order].astype(U)).view(np.int64)
-        out = {"id": [], "n": [], "tokens": [], "keys": []}
+        order = hit[np.lexsort((keys[hit], need[hit], doc[hit]))]
+        doc, keys, search, need = doc[order], keys[order], search[order], need[order]
+        if len(doc):  # one row a key, searching if any is; then enough keys of the same need
+            change = np.append(True, (doc[1:] != doc[:-1]) | (need[1:] != need[:-1]) | (keys[1:] != keys[:-1]))
+            search = np.logical_or.reduceat(search, np.flatnonzero(change))
+            doc, keys, need = doc[change], keys[change], need[change]
+            group = np.cumsum(np.append(True, (doc[1:] != doc[:-1]) | (need[1:] != need[:-1]))) - 1
+            enough = np.bincount(group)[group] >= need
+            doc, keys, search, need = doc[enough], keys[enough], search[enough], need[enough]
+        cuts = np.searchsorted(doc, np.arange(len(own) + 1))
+        flagged = (keys | search.astype(U)).view(np.int64)
+        out = {"id": [], "n": [], "tokens": [], "keys": [], "needs": []}
         for i, k in enumerate(own):
             if cuts[i + 1] > cuts[i]:
                 out["id"].append(k)
                 out["n"].append(int(first[i + 1] - first[i]))
                 out["tokens"].append(tokens[first[i]:first[i + 1]].tobytes())
-                out["keys"].append(np.unique(flagged[cuts[i]:cuts[i + 1]]))
+                out["keys"].append(flagged[cuts[i]:cuts[i + 1]])
+                out["needs"].append(need[cuts[i]:cuts[i + 1]].astype(np.int32))
         return pa.Table.from_pydict(out, schema=empty.schema)
 
     grouped = blocks.groupBy("block")
     sent = grouped.cogroup(chosen.groupBy("block")).applyInArrow(send, exchange.ROWS)
     back = exchange.common_keys(sent).select("block", "bucket", F.lit(None).cast("long").alias("id"), "keys")
-    return grouped.cogroup(chosen.unionByName(back).groupBy("block")).applyInArrow(gather, "id long, n long, tokens binary, keys array<long>")
+    return grouped.cogroup(chosen.unionByName(back).groupBy("block")).applyInArrow(gather, "id long, n long, tokens binary, keys array<long>, needs array<int>")
 
 
 def classes(df: DataFrame, size: int) -> DataFrame:
@@ -253,31 +267,35 @@ def join_components(df: DataFrame, size: int = 5, num: int = 80, den: int = 100,
     groups = staged(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*whole).agg(F.min("doc_id").alias("rep")))
     found = staged(candidates(docs, groups.select("rep"), size, num, den))
     sets = found.select("id", "n", "tokens")
-    keys = found.select("id", "n", F.explode("keys").alias("k")).select("id", "n", F.col("k").bitwiseAND(F.lit(-2)).alias("key"), (F.col("k").bitwiseAND(F.lit(1)) == 1).alias("search"))
-    keys = keys.groupBy("key", "id").agg(F.max("search").alias("search"), F.max("n").alias("n"))
+    pairs_of = F.explode(F.arrays_zip("keys", "needs")).alias("k")
+    rows_of = found.select("id", "n", pairs_of).select("id", "n", F.col("k.keys").bitwiseAND(F.lit(-2)).alias("key"), (F.col("k.keys").bitwiseAND(F.lit(1)) == 1).alias("search"), F.col("k.needs").alias("need"))
+    keys = rows_of.groupBy("key", "need", "id").agg(F.max("search").alias("search"), F.max("n").alias("n"))
     labels = staged(found.select("id", F.col("id").alias("component")).distinct())
 
     # each document and the smaller one with which it shares most keys
     heads = keys.groupBy("key").agg(F.min("id").alias("a"))
-    best = keys.join(heads, "key").filter("a < id").groupBy("id", "a").count().groupBy("id").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
+    best = keys.join(heads, "key").filter("a < id").groupBy("id", "a", "need").count().filter(F.col("count") >= F.col("need"))
+    best = best.groupBy("id").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
     labels = merged(labels, staged(linked(staged(best.select("a", F.col("id").alias("b"))), sets, num, den)))
 
-    low = 0
+    left, first = keys, 1
     while True:
-        now = keys.join(labels, "id")
-        open_keys = now.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key")
-        ranked = staged(now.join(open_keys, "key").withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("id")) - 1))
-        if ranked.filter(F.col("rank") > low).isEmpty():
+        now = left.join(labels, "id")
+        spanning = now.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key")
+        ranked = staged(now.join(spanning, "key").withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("id"))))
+        leaders = staged(ranked.filter(F.col("rank") <= first).select("id").distinct())
+        if leaders.isEmpty():
             break
-        high = 2 * low + 1
-        head = ranked.filter((F.col("rank") >= low) & (F.col("rank") < high)).select(
-            "key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("search").alias("sa"), F.col("component").alias("ca"), F.col("rank").alias("ra"))
-        near = (F.col("rank") > F.col("ra")) & (F.col("component") != F.col("ca")) & (F.col("search") | F.col("sa"))
+        marked = ranked.drop("rank").join(leaders.withColumn("leads", F.lit(True)), "id", "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
+        head = marked.filter("leads").select("key", "need", F.col("id").alias("a"), F.col("n").alias("na"), F.col("search").alias("sa"), F.col("component").alias("ca"))
+        near = (F.col("component") != F.col("ca")) & (F.col("search") | F.col("sa")) & (~F.col("leads") | (F.col("id") > F.col("a")))
         near = near & (den * F.least("n", "na") >= num * F.greatest("n", "na"))
-        pairs = staged(head.join(ranked, "key").filter(near).select("a", F.col("id").alias("b")).distinct())
+        common = head.join(marked, ["key", "need"]).filter(near).groupBy("a", "id", "need").count().filter(F.col("count") >= F.col("need"))
+        pairs = staged(common.select("a", F.col("id").alias("b")).distinct())
         if not pairs.isEmpty():
             labels = merged(labels, staged(linked(pairs, sets, num, den)))
-        low = high
+        left = staged(marked.filter("NOT leads").drop("leads", "component"))
+        first *= 2
 
     of_class = groups.join(labels, groups["rep"] == labels["id"], "left").select(*whole, F.coalesce("component", "rep").alias("component"))
     out = rows.join(of_class, whole, "left")

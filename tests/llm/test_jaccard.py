@@ -54,7 +54,7 @@ def test_against_brute_force(spark, size, num):
     assert got == brute(rows, size, num)
 
 
-def test_linked_sets_share_a_searching_key():
+def test_linked_sets_share_enough_searching_keys():
     r = np.random.default_rng(3)
     for _ in range(400):
         n = int(r.integers(1, 120))
@@ -65,9 +65,10 @@ def test_linked_sets_share_a_searching_key():
         common = len(np.intersect1d(a, b))
         if not len(b) or 100 * common < 85 * (len(a) + len(b) - common):
             continue
-        doc, keys, search = jaccard.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 85, 100)
-        sides = [{int(k): bool(s) for k, s in sorted(zip(keys[doc == d].tolist(), search[doc == d].tolist(), strict=True))} for d in (0, 1)]
-        assert any(sides[0][k] or sides[1][k] for k in sides[0].keys() & sides[1].keys())
+        doc, keys, search, need = jaccard.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 85, 100)
+        sides = [{(k, m): bool(s) for k, m, s in sorted(zip(*(x[doc == d].tolist() for x in (keys, need, search)), strict=True))} for d in (0, 1)]
+        shared = [m for k, m in sides[0].keys() & sides[1].keys() if sides[0][k, m] or sides[1][k, m]]
+        assert any(shared.count(m) >= m for m in set(shared))
 
 
 def test_chain_repeated_rows_and_null_ids(spark):
