@@ -2,7 +2,8 @@
 
 Vectors get one more coordinate that makes all norms equal, so the largest inner product is the smallest distance, and are
 rotated at random. Lists are the cells of centroids fitted on at most ``sample`` rows; every row is indexed. A query scans the
-lists with the nearest centroids, as many as reach ``coverage`` of the true neighbours in the sample. In a list, distances grow
+lists with the nearest centroids, as many as reach ``coverage`` of the true neighbours in the sample, and starts with the k-th distance
+found in the sample as its bound. In a list, distances grow
 by column blocks: after d of D coordinates a candidate is abandoned if its partial distance, scaled by D / d, exceeds
 the query's k-th distance by more than the factor (1 + eps / sqrt(d)) ** 2, the rejection of "it is among the nearest". What
 survives all blocks is scored exactly, in double precision, on the original vectors.
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tabularium.llm.common import staged
 
 COLUMNS = 16
+PAIRS = 16_384  # pairs scored at once
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -45,7 +47,7 @@ class Index:
 
     def __init__(self, sample: np.ndarray, lists: int, square: float, k: int, coverage: float, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.square, dim = square, sample.shape[1] + 1
+        self.square, self.sample, self.k, dim = square, sample, k, sample.shape[1] + 1
         self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         x = self.stored(sample)
         lists = min(lists, len(x))
@@ -70,17 +72,27 @@ class Index:
     def asked(self, v: np.ndarray) -> np.ndarray:
         return np.column_stack([v, np.zeros(len(v))]) @ self.turn
 
+    def limits(self, q: np.ndarray) -> np.ndarray:
+        """No less than each query's k-th distance: the k-th in the sample, one place on in case the query itself is there."""
+        out = np.full(len(q), np.inf)
+        if len(self.sample) > self.k + 1:
+            for at in range(0, len(q), 256):
+                part = q[at:at + 256]
+                score = np.partition(part @ self.sample.T, -(self.k + 1), axis=1)[:, -(self.k + 1)]
+                out[at:at + 256] = self.square + (part * part).sum(axis=1) - 2 * score
+        return out
+
     @staticmethod
     def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * a @ b.T
 
 
-def scan(index: Index, ids: np.ndarray, v: np.ndarray, asked_ids: np.ndarray, q: np.ndarray, k: int, eps: float, rows: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scan(index: Index, ids: np.ndarray, v: np.ndarray, asked_ids: np.ndarray, q: np.ndarray, limit: np.ndarray, k: int, eps: float, rows: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of the block for each query, of those the tests leave: query number, id, score."""
     x, y = index.stored(v), index.asked(q)
     dim = x.shape[1]
     best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(q)
-    limit = np.full(len(q), np.inf)
+    limit = limit.copy()
     for start in range(0, len(x), rows):
         part = slice(start, start + rows)
         partial = np.zeros((len(q), len(x[part])))
@@ -96,21 +108,25 @@ def scan(index: Index, ids: np.ndarray, v: np.ndarray, asked_ids: np.ndarray, q:
             bound = limit * (d / dim) * (1 + eps / np.sqrt(d)) ** 2 if d < dim else limit * (1 + 1e-9) + 1e-9
             alive &= partial <= bound[:, None]
         i, j = np.nonzero(alive)
-        score = np.einsum("nd,nd->n", q[i], v[part][j])
+        own = v[part]
+        score = np.empty(len(i))
+        for at in range(0, len(i), PAIRS):
+            pair = slice(at, at + PAIRS)
+            score[pair] = np.einsum("nd,nd->n", q[i[pair]], own[j[pair]])
         cuts = np.searchsorted(i, np.arange(len(q) + 1))
         for n in np.flatnonzero(np.diff(cuts)):
-            own = slice(cuts[n], cuts[n + 1])
-            s, w = np.append(best[n][0], score[own]), np.append(best[n][1], ids[part][j[own]])
+            mine = slice(cuts[n], cuts[n + 1])
+            s, w = np.append(best[n][0], score[mine]), np.append(best[n][1], ids[part][j[mine]])
             order = np.lexsort((w, -s))[:k]
             best[n] = s[order], w[order]
             if len(order) == k:
-                limit[n] = index.square + (q[n] * q[n]).sum() - 2 * s[order[-1]]
+                limit[n] = min(limit[n], index.square + (q[n] * q[n]).sum() - 2 * s[order[-1]])
     which = np.repeat(np.arange(len(q)), [len(s) for s, _ in best])
     return which, np.concatenate([w for _, w in best]), np.concatenate([s for s, _ in best])
 
 
 def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", sample: int = 20_000, list_rows: int = 2048, most_lists: int = 1024,
-           coverage: float = 0.97, eps: float = 2.1, block_rows: int = 4096, batch: int = 4096) -> DataFrame:
+           coverage: float = 0.97, eps: float = 2.1, block_rows: int = 4096, batch: int = 1024) -> DataFrame:
     """Rows (query_id, rank, id, score): each query's k nearest by inner product; ``is_query`` is over the column ``id``."""
     spark = df.sparkSession
     rows = usable(df, key, vector)
@@ -140,20 +156,21 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", ve
     def probe(batches):
         for b in batches:
             if b.num_rows:
-                far = Index.distances(index.asked(matrix(b.column("v"))), index.centres)
+                v = matrix(b.column("v"))
+                far = Index.distances(index.asked(v), index.centres)
                 near = np.argsort(far, axis=1, kind="stable")[:, :index.probes]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1]), pa.array(near.ravel().astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), lists], ["id", "v", "lists"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(index.limits(v)), lists], ["id", "v", "limit", "lists"])
 
-    asked = placed.filter(is_query).dropDuplicates(["id"]).select("id", "v").mapInArrow(probe, "id long, v array<double>, lists array<long>")
-    asked = asked.select("id", "v", F.explode("lists").alias("list")).join(F.broadcast(blocks), "list").select(
-        "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int").alias("batch"), "id", "v")
+    asked = placed.filter(is_query).dropDuplicates(["id"]).select("id", "v").mapInArrow(probe, "id long, v array<double>, limit double, lists array<long>")
+    asked = asked.select("id", "v", "limit", F.explode("lists").alias("list")).join(F.broadcast(blocks), "list").select(
+        "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int").alias("batch"), "id", "v", "limit")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["query_id", key, "score"])
         ids, names = np.array(left.column("id")), np.array(right.column("id"))
-        which, found, score = scan(index, ids, matrix(left.column("v")), names, matrix(right.column("v")), k, eps)
+        which, found, score = scan(index, ids, matrix(left.column("v")), names, matrix(right.column("v")), np.array(right.column("limit")), k, eps)
         return pa.Table.from_arrays([pa.array(names[which]), pa.array(found), pa.array(score)], ["query_id", key, "score"])
 
     groups = ["list", "block", "batch"]
