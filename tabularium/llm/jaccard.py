@@ -4,14 +4,14 @@ Documents with the same set of shingles form a class, and classes are joined. Si
 in one band or in neighbouring ones; two neighbouring bands make a group, in which linked sets differ by at most H shingles. The
 universe of shingles is hashed into H + 1 segments. Each segment gets an allocation: 1 looks for an equal segment, 2 also for
 one that differs by one shingle, 0 skips it. While allocations sum to H + 1, linked sets meet in a segment. Empty segments, the
-costly ones since unrelated sets share them, get 0 as far as segments of two shingles can take 2 instead; for those, segments of
+costly ones since unrelated sets share them, get 0 as far as spare segments or segments of two shingles that take 2 instead allow; for those, segments of
 three shingles are indexed with each single deletion.
 
 A few segments more than H + 1 make linked sets meet in several, and fewer common keys than that rule a pair out.
 
 Keys first go round as bare hashes, so that only documents that share enough of them are gathered with their sets. Candidates are
 verified on the sets. First each document meets the candidate of smaller id with most common keys. Then keys that still span
-two components are worked off: documents with the smallest ids in a key (a doubling number each round) meet all others they share
+two components are worked off: documents with the smallest ids in a key (four times as many each round) meet all others they share
 keys with across components, and are done. Pairs are not expanded inside a component, and no link between components is lost.
 
 Shingles are compared by 64-bit hashes. Null and empty texts, and texts of white space, have no shingles and are alone, as are null
@@ -32,7 +32,7 @@ from tabularium.llm.common import block_count, block_of, grams, mix, runs_hash,
 U = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
-SPARE = 4  # segments beyond H + 1, at least
+SPARE = 4  # segments beyond H + 1, with an eighth of H; at most half of H
 TOGETHER = 256  # sets compared with one leader in a task
 BROADCAST_ROWS = 200_000  # rows of three numbers: under 10 MB
 
@@ -66,7 +66,7 @@ def band_starts(most: int, num: int, den: int) -> np.ndarray:
 
 
 def signatures(tokens: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, key, whether it searches (else it is only found), and how many keys of the same need a linked set has in common,
+    """Document, key, whether it searches (else it is only found), and how many keys a linked set has in common with it at least,
     for sets tokens[first[i]:first[i + 1]]."""
     sizes = np.diff(first)
     docs = np.flatnonzero(sizes)
@@ -81,8 +81,8 @@ def signatures(tokens: np.ndarray, first: np.ndarray, num: int, den: int) -> tup
     for step in (0, 1):
         group = band + step  # covers bands group - 1 and group
         apart = (den - num) * 2 * (limits[group + 1] - 1) // (den + num)
-        spare = SPARE + apart // 8
-        segments, need = apart + 1 + spare, (spare + 2) // 2
+        spare = np.minimum(SPARE + apart // 8, apart // 2)
+        segments = apart + 1 + spare
         base = np.cumsum(segments) - segments
         total = int(segments.sum())
         own = np.repeat(np.arange(len(docs)), segments)
@@ -96,17 +96,20 @@ def signatures(tokens: np.ndarray, first: np.ndarray, num: int, den: int) -> tup
         # allocation: trade empty segments for segments of two, within the part of the universe that has deletions
         special = number < np.maximum(1, segments // 4)[own]
         two, empty = (filled == 2) & special, filled == 0
-        trade = np.minimum(np.bincount(own[two], minlength=len(docs)), np.bincount(own[empty], minlength=len(docs)))
+        empties = np.bincount(own[empty], minlength=len(docs))
+        free = np.minimum(empties, spare)  # skipped for fewer common keys
+        trade = np.minimum(np.bincount(own[two], minlength=len(docs)), empties - free)
+        need = (spare - free + 2) // 2
 
-        def ranked(mask: np.ndarray, own=own, trade=trade) -> np.ndarray:
-            """The first ``trade`` masked segments of each document."""
+        def ranked(mask: np.ndarray, most: np.ndarray, own=own) -> np.ndarray:
+            """The first ``most`` masked segments of each document."""
             at = np.flatnonzero(mask)
             rank = np.arange(len(at)) - np.searchsorted(own[at], own[at])
-            return at[rank < trade[own[at]]]
+            return at[rank < most[own[at]]]
 
         search = np.ones(total, bool)
-        search[ranked(empty)] = False
-        doubled = ranked(two)
+        search[ranked(empty, free + trade)] = False
+        doubled = ranked(two, trade)
         out.append((own, mix(tag + sums), search, need[own]))
         out.append((own[doubled], mix(tag[doubled] + sums[doubled] + U(0xD1)), np.ones(len(doubled), bool), need[own[doubled]]))
         three = special & (filled == 3)
@@ -269,12 +272,13 @@ def join_components(df: DataFrame, size: int = 5, num: int = 80, den: int = 100,
     sets = found.select("id", "n", "tokens")
     pairs_of = F.explode(F.arrays_zip("keys", "needs")).alias("k")
     rows_of = found.select("id", "n", pairs_of).select("id", "n", F.col("k.keys").bitwiseAND(F.lit(-2)).alias("key"), (F.col("k.keys").bitwiseAND(F.lit(1)) == 1).alias("search"), F.col("k.needs").alias("need"))
-    keys = rows_of.groupBy("key", "need", "id").agg(F.max("search").alias("search"), F.max("n").alias("n"))
+    keys = staged(rows_of.groupBy("key", "id").agg(F.max("search").alias("search"), F.max("n").alias("n"), F.min("need").alias("need")))
     labels = staged(found.select("id", F.col("id").alias("component")).distinct())
 
     # each document and the smaller one with which it shares most keys
-    heads = keys.groupBy("key").agg(F.min("id").alias("a"))
-    best = keys.join(heads, "key").filter("a < id").groupBy("id", "a", "need").count().filter(F.col("count") >= F.col("need"))
+    heads = keys.groupBy("key").agg(F.min_by(F.struct("id", "need"), "id").alias("head"))
+    common = lambda df: df.agg(F.count("*").alias("count"), F.min(F.least("need", "na_need")).alias("least")).filter(F.col("count") >= F.col("least"))
+    best = common(keys.join(heads, "key").filter("head.id < id").withColumn("na_need", F.col("head.need")).groupBy("id", F.col("head.id").alias("a")))
     best = best.groupBy("id").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
     labels = merged(labels, staged(linked(staged(best.select("a", F.col("id").alias("b"))), sets, num, den)))
 
@@ -287,15 +291,14 @@ def join_components(df: DataFrame, size: int = 5, num: int = 80, den: int = 100,
         if leaders.isEmpty():
             break
         marked = ranked.drop("rank").join(leaders.withColumn("leads", F.lit(True)), "id", "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
-        head = marked.filter("leads").select("key", "need", F.col("id").alias("a"), F.col("n").alias("na"), F.col("search").alias("sa"), F.col("component").alias("ca"))
+        head = marked.filter("leads").select("key", F.col("need").alias("na_need"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("search").alias("sa"), F.col("component").alias("ca"))
         near = (F.col("component") != F.col("ca")) & (F.col("search") | F.col("sa")) & (~F.col("leads") | (F.col("id") > F.col("a")))
         near = near & (den * F.least("n", "na") >= num * F.greatest("n", "na"))
-        common = head.join(marked, ["key", "need"]).filter(near).groupBy("a", "id", "need").count().filter(F.col("count") >= F.col("need"))
-        pairs = staged(common.select("a", F.col("id").alias("b")).distinct())
+        pairs = staged(common(head.join(marked, "key").filter(near).groupBy("a", "id")).select("a", F.col("id").alias("b")))
         if not pairs.isEmpty():
             labels = merged(labels, staged(linked(pairs, sets, num, den)))
         left = staged(marked.filter("NOT leads").drop("leads", "component"))
-        first *= 2
+        first *= 4
 
     of_class = groups.join(labels, groups["rep"] == labels["id"], "left").select(*whole, F.coalesce("component", "rep").alias("component"))
     out = rows.join(of_class, whole, "left")
