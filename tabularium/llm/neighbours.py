@@ -2,7 +2,7 @@
 
 Vectors get one more coordinate that makes all norms equal, so the largest inner product is the smallest distance, and are
 rotated at random. Lists are the cells of centroids fitted on at most ``sample`` rows; every row is indexed. A query scans the
-lists with the nearest centroids, as many as reach ``coverage`` of the true neighbours in the sample, and starts with the k-th distance
+lists with the nearest centroids, as many as reach ``coverage`` of the true neighbours in the sample, and starts with the 2 k-th distance
 found in the sample as its bound. In a list, distances grow
 by column blocks: after d of D coordinates a candidate is abandoned if its partial distance, scaled by D / d, exceeds
 the query's k-th distance by more than the factor (1 + eps / sqrt(d)) ** 2, the rejection of "it is among the nearest". What
@@ -73,12 +73,13 @@ class Index:
         return np.column_stack([v, np.zeros(len(v))]) @ self.turn
 
     def limits(self, q: np.ndarray) -> np.ndarray:
-        """No less than each query's k-th distance: the k-th in the sample, one place on in case the query itself is there."""
+        """A bound that twice k sample rows keep, the query itself apart, so that k are found though some are missed."""
         out = np.full(len(q), np.inf)
-        if len(self.sample) > self.k + 1:
+        place = 2 * self.k + 1
+        if len(self.sample) > place:
             for at in range(0, len(q), 256):
                 part = q[at:at + 256]
-                score = np.partition(part @ self.sample.T, -(self.k + 1), axis=1)[:, -(self.k + 1)]
+                score = np.partition(part @ self.sample.T, -place, axis=1)[:, -place]
                 out[at:at + 256] = self.square + (part * part).sum(axis=1) - 2 * score
         return out
 
