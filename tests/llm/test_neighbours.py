@@ -49,6 +49,29 @@ def test_few_rows(spark, rows):
     assert {q: [v for _, v, _ in own] for q, own in got.items()} == ({20: [40, 21], 40: [21, 20]} if len(rows) == 3 else {})
 
 
+@pytest.mark.parametrize("coverage", [0.5, 0.97])
+def test_every_query_gets_its_full_number_beside_a_hot_group_of_copies(spark, coverage):
+    r = np.random.default_rng(3)
+    hot = r.normal(size=8)
+    rows = [(i, (r.normal(size=8) * r.uniform(0.1, 3)).tolist()) for i in range(600)] + [(1000 + i, (2 * hot).tolist()) for i in range(300)]
+    rows += [(5000 + 20 * i, (hot + r.normal(size=8) * 0.7).tolist()) for i in range(60)] + [(9000, [0.5] * 8)] * 5
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = gathered(neighbours.search(df, F.col("id") % 20 == 0, list_rows=20, coverage=coverage, block_rows=50, batch=16))
+    assert got.keys() == {i for i, _ in rows if i % 20 == 0}
+    assert {len(own) for own in got.values()} == {20}
+
+
+def test_queries_left_short_get_the_exact_answer(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, (r.normal(size=8) * r.uniform(0.1, 3)).tolist()) for i in range(300)] + [(1000 + i, [1.0] * 8) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = gathered(neighbours.search(df, F.col("id") % 20 == 0, list_rows=4, coverage=0.0, block_rows=30, batch=7))  # one list a query
+    want = brute(rows)
+    assert got.keys() == want.keys()
+    for q in (q for q in want if q < 1000):
+        assert [v for _, v, _ in got[q]] == [v for v, _ in want[q]]
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_query_recall(spark, sf):
     folder = f"/root/testdata/{sf}"
