@@ -1,9 +1,11 @@
 """Operator 5, document fingerprints: a homomorphic multiset hash of a text's paragraphs.
 
 Each paragraph (line) hashes to a wide vector, and a document's fingerprint is the sum of its paragraphs' vectors:
-eight dense lanes modulo 2 ** 64, which decide equality, and 256 sparse lanes modulo 2 ** 16, of which a paragraph
-touches one. Order does not matter; adding or removing a paragraph adds or subtracts its vector. Two fingerprints are alike
-as far as their touched sparse lanes agree, which follows the share of common paragraphs.
+eight dense lanes modulo 2 ** 64, which decide equality, the number of paragraphs, and 256 lanes modulo 2 ** 32 with a Cauchy
+variate of the paragraph each. Order does not matter; adding or removing a paragraph adds or subtracts its vector. Sums of Cauchy variates
+are spread as widely as there are paragraphs, so the median size of the lanes of a difference estimates how many paragraphs
+differ (repeats counted), to about a tenth whatever their number, up to some millions of them. Likeness is the share of common paragraphs in the union that this and
+both numbers of paragraphs give.
 
 Null and empty texts have no paragraph and the zero vector; equal fingerprints have likeness 1. Repeated rows each give a
 row; other columns are not read; an empty table gives no rows.
@@ -21,10 +23,38 @@ import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
-from tabularium.llm.common import parts, slices
+from tabularium.llm.common import mix, parts, slices
+
+DENSE, LANES = 8, 256
+UNIT = 16  # lanes count sixteenths
+TAIL = 64  # cells of the table at each end whose variates are computed
+AT_ONCE = 2048  # paragraphs whose lanes are made at once
+U = np.uint64
+_SALT = mix(np.arange(1, LANES // 4 + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+
+
+def variates(u: np.ndarray) -> np.ndarray:
+    """Cauchy variates, in units, of numbers in [0, 1)."""
+    return np.rint(UNIT * np.tan(np.pi * (u - 0.5))).astype(np.int64)
+
+
+_TABLE = variates((np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.uint32)
+
+
+def lanes_of(seeds: np.ndarray) -> np.ndarray:
+    """Sum of the lanes of paragraphs, by a hash of each."""
+    out = np.zeros(LANES, np.uint32)
+    for at in range(0, len(seeds), AT_ONCE):
+        seed = seeds[at:at + AT_ONCE]
+        cell = mix(seed[:, None] ^ _SALT).astype("<u8").view("<u2")
+        lanes = _TABLE[cell]
+        i, j = np.nonzero((cell < TAIL) | (cell >= (1 << 16) - TAIL))
+        inside = (mix(seed[i] + (j + 1).astype(U) * U(0xC2B2AE3D27D4EB4F)) >> U(32)) / 2 ** 32
+        lanes[i, j] = variates((cell[i, j] + inside) / (1 << 16)).astype(np.uint32)
+        out += lanes.sum(axis=0, dtype=np.uint32)
+    return out
+
 
-DENSE, SPARSE = 8, 256
-WIDTH = DENSE * 8 + SPARSE * 2
 RANGE_BYTES = 8 << 20  # text of one range of neighbours
 
 
@@ -35,25 +65,24 @@ def paragraphs(text: str | None) -> list[str]:
 class Sum:
     """A fingerprint that paragraphs can join and leave."""
 
-    def __init__(self, dense: np.ndarray | None = None, sparse: np.ndarray | None = None):
+    def __init__(self, dense: np.ndarray | None = None, lanes: np.ndarray | None = None, number: int = 0):
         self.dense = np.zeros(DENSE, np.uint64) if dense is None else dense
-        self.sparse = np.zeros(SPARSE, np.uint16) if sparse is None else sparse
+        self.lanes = np.zeros(LANES, np.uint32) if lanes is None else lanes
+        self.number = number
 
     @staticmethod
     def of(texts: Iterable[str]) -> Sum:
         digests = b"".join(hashlib.blake2b(t.encode(), digest_size=64).digest() for t in texts)
-        out = Sum()
-        if digests:
-            lanes = np.frombuffer(digests, "<u8").reshape(-1, DENSE)
-            out.dense = lanes.sum(axis=0, dtype=np.uint64)
-            np.add.at(out.sparse, (lanes[:, 0] >> np.uint64(56)).astype(np.int64), ((lanes[:, 1] & np.uint64(0xFFFF)) | np.uint64(1)).astype(np.uint16))
-        return out
+        if not digests:
+            return Sum()
+        parts = np.frombuffer(digests, "<u8").reshape(-1, DENSE)
+        return Sum(parts.sum(axis=0, dtype=np.uint64), lanes_of(parts[:, 0]), len(parts))
 
     def __add__(self, other: Sum) -> Sum:
-        return Sum(self.dense + other.dense, self.sparse + other.sparse)
+        return Sum(self.dense + other.dense, self.lanes + other.lanes, self.number + other.number)
 
     def __sub__(self, other: Sum) -> Sum:
-        return Sum(self.dense - other.dense, self.sparse - other.sparse)
+        return Sum(self.dense - other.dense, self.lanes - other.lanes, self.number - other.number)
 
     def edited(self, before: list[str], after: list[str]) -> Sum:
         """The sum once the paragraphs ``before`` have become ``after``; common ones are not hashed again."""
@@ -63,17 +92,20 @@ class Sum:
     def likeness(self, other: Sum) -> float:
         if (self.dense == other.dense).all():
             return 1.0
-        touched = (self.sparse != 0) | (other.sparse != 0)
-        equal = int((touched & (self.sparse == other.sparse)).sum())
-        return min(equal / max(1, int(touched.sum())), 1 - 1 / SPARSE)
+        both, least = self.number + other.number, abs(self.number - other.number)
+        spread = float(np.median(np.abs((self.lanes - other.lanes).view(np.int32).astype(np.int64)))) / UNIT
+        differ = least + 2 * round((spread - least) / 2)  # of the same parity as both
+        differ = min(max(differ, least or 2), both)
+        return (both - differ) / (both + differ)
 
     def text(self) -> str:
-        return base64.b64encode(self.dense.astype("<u8").tobytes() + self.sparse.astype("<u2").tobytes()).decode()
+        return base64.b64encode(self.dense.astype("<u8").tobytes() + np.array([self.number], "<i8").tobytes() + self.lanes.astype("<u4").tobytes()).decode()
 
     @staticmethod
     def read(text: str) -> Sum:
         raw = base64.b64decode(text)
-        return Sum(np.frombuffer(raw, "<u8", DENSE).astype(np.uint64), np.frombuffer(raw, "<u2", SPARSE, DENSE * 8).astype(np.uint16))
+        at = DENSE * 8
+        return Sum(np.frombuffer(raw, "<u8", DENSE).astype(np.uint64), np.frombuffer(raw, "<u4", LANES, at + 8).astype(np.uint32), int(np.frombuffer(raw, "<i8", 1, at)[0]))
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from tabularium.llm import fingerprints as fp
 from tabularium.llm import queries
 from tabularium.session import table
@@ -27,6 +29,24 @@ def test_sums_are_order_free_and_incremental():
     assert 0.2 < half < 0.5 and fp.Sum.of(["a"]).likeness(fp.Sum.of(["b"])) < 0.1
 
 
+@pytest.mark.parametrize("n", [10, 1000, 20_000, 100_000])
+def test_likeness_follows_the_share_of_common_paragraphs_at_any_length(n):
+    base = [f"line {i}" for i in range(n)]
+    own = fp.Sum.of(base)
+    for share in (0.1, 0.5):
+        changed = int(n * share)
+        after = own.edited(base, [f"new {i}" for i in range(changed)] + base[changed:])
+        want = (n - changed) / (n + changed)
+        assert abs(own.likeness(after) - want) < 0.12
+    assert own.likeness(fp.Sum.of(f"other {i}" for i in range(n))) < 0.1
+    assert own.likeness(own + fp.Sum.of(["one more"])) >= n / (n + 1) - 0.02
+
+
+def test_likeness_counts_repeated_paragraphs_as_often_as_they_occur():
+    a, b = [""] * 1000 + [f"a{i}" for i in range(1000)], [""] * 1000 + [f"b{i}" for i in range(1000)]
+    assert abs(fp.Sum.of(a).likeness(fp.Sum.of(b)) - 1 / 3) < 0.1
+
+
 def test_trial_against_brute_force(spark):
     rows = [(i * 11 % 101, "é" * (i % 7) + f"\nline {i}\n" * (i % 5)) for i in range(100)] + [(500, None), (501, ""), (502, "x" * 5000)]
     df = spark.createDataFrame([(d, t, "c") for d, t in rows], "doc_id long, text string, tail string").repartition(4)
