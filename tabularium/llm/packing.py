@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,17 +32,21 @@ _OTHER = regex.compile(r"[^\x00-\u024F]")  # beyond these, libraries may class c
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> UnitEncoder:
-    """Ids by the tokenizers library. Units of Latin letters are split by its pattern first, so that a word is encoded once
+def _encoder(path: str, special: bool) -> Callable[[list[str]], list[bytes]]:
+    """Ids by the tokenizers library. Texts that hold an added token's string go to it whole. Units of Latin letters are split by its pattern first, so that a word is encoded once
     whatever punctuation follows it; the pieces go to the library's model as it would see them, byte by byte as characters."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    tokenizer.encode_special_tokens = not special  # then their strings in a text are ordinary text
     with open(path, encoding="utf-8") as f:
-        latin = json.load(f).get("pre_tokenizer") or {}
+        parsed = json.load(f)
+    latin = parsed.get("pre_tokenizer") or {}
+    added = [t for t in parsed.get("added_tokens") or [] if special or not t.get("special")]
+    always = tokenizer.normalizer is not None and any(t.get("normalized") for t in added)  # may appear by normalising
+    holds = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves; the others follow 255
     shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
     split, model = regex.compile(public_tokenizers.PATTERN), tokenizer.model
@@ -49,8 +54,17 @@ def _encoder(path: str) -> UnitEncoder:
     def by_library(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def apart(units: UnitEncoder) -> Callable[[list[str]], list[bytes]]:
+        def encode(texts: list[str]) -> list[bytes]:
+            whole = [always or (holds is not None and holds.search(t) is not None) for t in texts]
+            marked = iter(by_library([t for t, w in zip(texts, whole, strict=True) if w]))
+            rest = iter(units.encode([t for t, w in zip(texts, whole, strict=True) if not w]))
+            return [next(marked if w else rest) for w in whole]
+
+        return encode
+
     if latin.get("type") != "ByteLevel" or latin.get("add_prefix_space") or tokenizer.normalizer is not None:
-        return UnitEncoder(by_library)
+        return apart(UnitEncoder(by_library))
 
     def of_pieces(pieces: list[str]) -> list[bytes]:
         return [np.array([t.id for t in model.tokenize(p.encode().decode("latin-1").translate(shown))], "<u4").tobytes() for p in pieces]
@@ -63,7 +77,7 @@ def _encoder(path: str) -> UnitEncoder:
         rest = iter(by_library([t for t, part in zip(texts, parts, strict=True) if part is None]))
         return [next(rest) if part is None else b"".join(map(found.__getitem__, part)) for part in parts]
 
-    return UnitEncoder(encode_all)
+    return apart(UnitEncoder(encode_all))
 
 
 class Bins:
@@ -127,15 +141,17 @@ class Bins:
             self.close(members)
 
 
-def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, least: int = 64, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, least: int = 64, end_id: int = 0, key: str = "doc_id", text: str = "text",
+         special: bool = False) -> DataFrame:
     """One row per piece: key, start, length, doc_tokens, sequence_id, offset and the ids (little-endian, 32 bits each).
 
-    ``tokenizer`` is the path of a tokenizers file on every executor. The capacity is best a power of two.
+    ``tokenizer`` is the path of a tokenizers file on every executor. The capacity is best a power of two. With
+    ``special``, the string of a special token in a text becomes that token, as the library does by itself; else it is ordinary text.
     """
     end = np.array([end_id], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
+        encode = _encoder(tokenizer, special)
         bins = Bins(capacity, least, TaskContext.get().partitionId() << 36)
         kind = None
 
@@ -153,7 +169,7 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, least: int = 64, e
             kind = batch.schema.field("key").type
             for part in slices(batch):
                 keys = part.column("key").to_pylist()
-                for k, ids in zip(keys, encoder.encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
+                for k, ids in zip(keys, encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
                     bins.add(k, ids + end)
                 yield rows()
         bins.finish()

@@ -5,6 +5,7 @@ from collections import defaultdict
 import public_tokenizers
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tabularium.llm import packing, queries
 from tabularium.session import table
 
@@ -62,6 +63,24 @@ def test_long_text_in_segments(spark):
     check(packing.pack(df, PATH).collect(), {1: text})
 
 
+def test_special_tokens_in_texts_as_the_plain_call_gives_them(spark, tmp_path):
+    texts = [*TEXTS, "<|endoftext|>", "a <|endoftext|>b  <|endoftext|><|endoftext|> c", "word " * 300_000 + "x<|endoftext|> y", "<|endoftext|", "日本<|endoftext|>語"]
+    plain = Tokenizer.from_file(PATH)
+    want = [[*plain.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    for out in (packing.pack(df, PATH, special=True), corpus_pipeline.pack_sequences(spark, df, "")):
+        own = defaultdict(list)
+        for p in out.collect():
+            own[p.doc_id].append(p)
+        for i, ids in enumerate(want):
+            assert b"".join(p.ids for p in sorted(own[i], key=lambda p: p.start)) == struct.pack(f"<{len(ids)}I", *ids)
+            assert {p.doc_tokens for p in own[i]} == {len(ids)}
+    for p in queries.op2_packing(spark, str(tmp_path)).collect():
+        ids = want[p.doc_id][p.start:p.start + p.length]
+        assert p.ids_crc32 == zlib.crc32(struct.pack(f"<{p.length}I", *ids))
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in table(spark, folder, "documents").collect()}
