@@ -6,14 +6,18 @@ Each stage takes (spark, docs, sf_dir) and works on every row its predecessor ke
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
+from collections.abc import Iterator
+from itertools import pairwise
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tabularium.llm import jaccard, language, packing, secrets, substrings
-from tabularium.llm.common import shared_dir, staged
+from tabularium.llm.common import shared_dir, slices, staged
 from tabularium.session import table
 
 FEW_IDS = 500_000  # ids that are broadcast, 4 MB
@@ -30,12 +34,33 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language.keep_identified(docs, field, LEAST_SCORE)
 
 
+def _single(docs: DataFrame, size: int) -> DataFrame:
+    """One row, that of the least text, for each doc_id and set of shingles; texts without shingles and rows without id by their text."""
+    names, schema = docs.columns, T.StructType([*docs.schema.fields, T.StructField("_set", T.StringType())])
+
+    def with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                tokens, first = jaccard.shingle_sets(part.column("text"), size)
+                sets = [hashlib.sha256(tokens[a:b].tobytes()).hexdigest() if b > a else None for a, b in pairwise(first)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sets, pa.string())], [*names, "_set"])
+
+    repeated = staged(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    small = F.broadcast(repeated) if repeated.count() <= FEW_IDS else repeated  # then the texts need not be shuffled
+    again = docs.join(small, "doc_id", "left_semi").select(*names).unionByName(docs.filter("doc_id IS NULL"))
+    own = F.when(F.col("doc_id").isNull() | F.col("_set").isNull(), F.concat(F.lit("="), F.sha2("text", 256))).otherwise(F.col("_set"))
+    again = again.mapInArrow(with_set, schema).groupBy("doc_id", own.alias("_set")).agg(F.min(F.struct("text", *[c for c in names if c not in ("doc_id", "text")])).alias("_row"))
+    again = again.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_row.{c}") for c in names])
+    return docs.filter("doc_id IS NOT NULL").join(small, "doc_id", "left_anti").select(*names).unionByName(again)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of 0.8 on five-word shingles connect, the one with the smallest doc_id stays. Null ids stay."""
+    """Of documents that links of 0.8 on five-word shingles connect, the one with the smallest doc_id stays. Of its rows one of each
+    set of shingles stays, and of rows without id one of each text."""
     found = jaccard.join_components(docs, size=5, num=80)
     copies = staged(found.filter("doc_id <> component_id").select("doc_id").distinct())
     few = copies.count() <= FEW_IDS  # then the texts need not be shuffled
-    return docs.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti").select(*docs.columns)
+    return _single(docs.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti").select(*docs.columns), size=5)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

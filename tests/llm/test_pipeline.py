@@ -59,6 +59,16 @@ def test_stages_and_run_against_brute_force(spark):
     test_packing.check(corpus_pipeline.pack_sequences(spark, safe, FOLDER).collect(), rows)
 
 
+def test_repeated_rows_leave_one_of_each_set_of_shingles(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(12)) for x in "abc")
+    rows = [(1, a), (1, a), (1, a.replace(" ", "  ")), (1, b), (2, a), (3, c), (None, c), (None, c), (None, a), (4, None), (4, None), (5, " "), (5, " ")]
+    df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], table(spark, FOLDER, "documents").schema).repartition(5)
+    out = corpus_pipeline.drop_near_duplicates(spark, df, FOLDER)
+    assert out.columns == df.columns
+    got = sorted([(r.doc_id, r.text) for r in out.collect()], key=str)
+    assert got == sorted([(1, a.replace(" ", "  ")), (1, b), (3, c), (None, c), (None, a), (4, None), (5, " ")], key=str)
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, FOLDER).collect()
     assert len(out) > 100 and all(len(r.ids) == 4 * r.length for r in out)
