@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -83,27 +84,45 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-_BASE, _POWERS = U(0x9E3779B97F4A7C15 | 1), {}
+_BASE = 0x9E3779B97F4A7C15
+_STEP = 1 << 17  # values whose prefix sums are held at once
 
 
-def _powers(name: str, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and base ** -i modulo 2 ** 64 for i < n; kept and grown."""
-    up, down = _POWERS.get(name, (np.ones(0, U), np.ones(0, U)))
-    if len(up) < n:
-        n = max(n, 2 * len(up), 1 << 16)
-        up, down = np.full(n, base, U), np.full(n, pow(int(base), -1, 1 << 64), U)
-        up[0] = down[0] = 1
-        up, down = np.cumprod(up), np.cumprod(down)
-        _POWERS[name] = up, down
-    return up[:n], down[:n]
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """base ** i and base ** -i modulo 2 ** 64 for i up to the step."""
+    up, down = np.full(_STEP + 1, _BASE, U), np.full(_STEP + 1, pow(_BASE, -1, 1 << 64), U)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
 
 
 def runs_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """Hash of values[start:end] for many runs, by prefix sums of a polynomial modulo 2 ** 64."""
-    up, down = _powers("bytes", int(_BASE), len(values) + 1)
-    total = np.zeros(len(values) + 1, U)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
+    """Hash of values[start:end] for many runs, by prefix sums of a polynomial modulo 2 ** 64.
+
+    The sums go step by step; a run across steps is hashed piece by piece, each moved by a power of the base.
+    """
+    starts, ends = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
+    up, down = _powers()
+    h = np.zeros(len(starts), U)
+    ordered = bool((starts[1:] >= starts[:-1]).all() and (ends[1:] >= ends[:-1]).all())
+    total = np.zeros(_STEP + 1, U)
+    for low in range(0, len(values), _STEP):
+        part = values[low:low + _STEP]
+        high = low + len(part)
+        if ordered:
+            a, b = int(np.searchsorted(ends, low, side="right")), int(np.searchsorted(starts, high))
+            at = slice(a, b)
+        else:
+            at = np.flatnonzero((ends > low) & (starts < high))
+        s, e = starts[at], ends[at]
+        if not len(s):
+            continue
+        np.cumsum(part * up[:len(part)], out=total[1:len(part) + 1])
+        left, right = np.maximum(s, low) - low, np.minimum(e, high) - low
+        piece = (total[right] - total[left]) * down[left]
+        for i in np.flatnonzero(s < low):  # few: runs that began in an earlier step
+            piece[i] *= U(pow(_BASE, low - int(s[i]), 1 << 64))
+        h[at] += np.where(right > left, piece, U(0))
     return mix(h + (ends - starts).astype(U) * U(0xC2B2AE3D27D4EB4F) + U(salt))
 
 

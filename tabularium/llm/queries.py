@@ -9,12 +9,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabularium.llm import bytepair, fingerprints, jaccard, language, neighbours, packing, secrets, substrings, toxicity, twins, warc
+from tabularium.llm import bytepair, compression, fingerprints, jaccard, language, middle, neighbours, packing, secrets, substrings, toxicity, twins, warc
 from tabularium.llm.common import shared_dir
 from tabularium.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op1_secrets": twins.SECRETS, "op3_substrings": twins.SUBSTRINGS, "op7_jaccard": twins.JACCARD, "op10_warc": twins.WARC}
+ORACLES: dict[str, str] = {"op1_secrets": twins.SECRETS, "op3_substrings": twins.SUBSTRINGS, "op7_jaccard": twins.JACCARD, "op10_warc": twins.WARC, "op13_middle": twins.MIDDLE}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -89,3 +89,15 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, folder, "labels"), allowed=~held)
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op12_compression(spark: SparkSession, folder: str) -> DataFrame:
+    judged = compression.judge(table(spark, folder, "documents"), window=8)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op13_middle(spark: SparkSession, folder: str) -> DataFrame:
+    both = middle.restore(middle.transform(table(spark, folder, "documents"), seed=7, rate=100, suffix_first=50))
+    return both.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
