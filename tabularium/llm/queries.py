@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabularium.llm import bytepair, compression, fingerprints, jaccard, language, middle, neighbours, packing, secrets, substrings, toxicity, twins, warc
+from tabularium.llm import bytepair, compression, fingerprints, jaccard, language, middle, neighbours, packing, secrets, substrings, toxicity, turns, twins, warc
 from tabularium.llm.common import shared_dir
 from tabularium.session import table
 
@@ -101,3 +101,8 @@ def op12_compression(spark: SparkSession, folder: str) -> DataFrame:
 def op13_middle(spark: SparkSession, folder: str) -> DataFrame:
     both = middle.restore(middle.transform(table(spark, folder, "documents"), seed=7, rate=100, suffix_first=50))
     return both.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+@query
+def op11_turns(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.trial(table(spark, folder, "conversations"))
