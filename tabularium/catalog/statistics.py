@@ -155,8 +155,7 @@ SELECT '{f}' AS feature, round(greatest(sum(c / n * ln(c * n / (a * b))), 0), 8)
       SELECT l_returnflag, ((rank() OVER (ORDER BY {f}) - 1) * 10) // count(*) OVER () AS bin FROM lineitem) GROUP BY ALL))
 """))
 def binned_information(t):
-    long = stats.unpivot(t.lineitem, ["l_returnflag"], FEATS)
-    return stats.binned_information(long, ["feature"], "l_returnflag").withColumn("information", F.round("information", 8))
+    return stats.binned_information(t.lineitem, "l_returnflag", FEATS).withColumn("information", F.round("information", 8))
 
 
 DIMS = [f"x{i}" for i in range(64)]
@@ -208,10 +207,12 @@ i AS (SELECT b, feature, greatest(sum(c / n * ln(c * n / (p * q))), 0) AS i FROM
      SELECT b, feature, label, bin, count(*)::DOUBLE AS c FROM (
        SELECT b, feature, label, ((rank() OVER (PARTITION BY b, feature ORDER BY x) - 1) * 10) // count(*) OVER (PARTITION BY b, feature) AS bin FROM v)
      GROUP BY ALL)) GROUP BY ALL),
-r AS (SELECT f.b, f.feature, f, i, rank() OVER (PARTITION BY f.b ORDER BY f DESC) AS fr, rank() OVER (PARTITION BY f.b ORDER BY i DESC) AS ir,
+e AS (SELECT f.b, f.feature, round(f, 10) AS f, round(i, 10) AS i FROM f JOIN i ON f.b = i.b AND f.feature = i.feature),
+r AS (SELECT f.b, f.feature, f, i, rank() OVER (PARTITION BY f.b ORDER BY f DESC) + (count(*) OVER (PARTITION BY f.b, f) - 1) / 2.0::DOUBLE AS fr,
+   rank() OVER (PARTITION BY f.b ORDER BY i DESC) + (count(*) OVER (PARTITION BY f.b, i) - 1) / 2.0::DOUBLE AS ir,
    (f - min(f) OVER (PARTITION BY f.b)) / (max(f) OVER (PARTITION BY f.b) - min(f) OVER (PARTITION BY f.b) + 1e-12) AS fn,
    (i - min(i) OVER (PARTITION BY f.b)) / (max(i) OVER (PARTITION BY f.b) - min(i) OVER (PARTITION BY f.b) + 1e-12) AS inn
-   FROM f JOIN i ON f.b = i.b AND f.feature = i.feature),
+   FROM e AS f),
 s AS (SELECT feature, avg(f) AS fm, stddev_samp(f) AS fs, avg(i) AS im, stddev_samp(i) AS is_, avg(fr) AS frm, avg(ir) AS irm, avg(fn) AS fnm, avg(inn) AS inm FROM r GROUP BY 1)
 SELECT feature, round(fm, 6) AS anova_mean, round(fs, 6) AS anova_std, round(im, 6) AS info_mean, round(is_, 6) AS info_std,
   round(frm, 6) AS anova_rank_mean, round(irm, 6) AS info_rank_mean, round((frm + irm) / 2, 6) AS consensus_rank, round((fnm + inm) / 2, 6) AS consensus_score,

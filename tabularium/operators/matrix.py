@@ -11,9 +11,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tabularium.operators.skew import match, small_table
+from tabularium.operators import radix
+from tabularium.operators.arrow import classes_of, rows_of
+from tabularium.operators.skew import SMALL_BYTES, match
 from tabularium.operators.stats import impute_median, varying
 from tabularium.session import cut_lineage
 
@@ -36,32 +39,40 @@ def vector(feats: Sequence[str]) -> Column:
 
 def near_centre(df: DataFrame, x: str, p: int) -> np.ndarray:
     """A point near the data (the mean of a few rows), from which sums are taken so that they do not cancel."""
-    few = [r[x] for r in df.select(x).limit(16).collect()]
-    return np.mean(few, axis=0) if few else np.zeros(p)
+    few = df.select(x).limit(16).toArrow()
+    data = rows_of(few, x, p)
+    data = data[np.isfinite(data).all(1)]
+    return data.mean(0) if len(data) else np.zeros(p)
 
 
 def moments(df: DataFrame, cls: str, x: str, p: int, centre: np.ndarray | None = None) -> DataFrame:
     """(class, pos, value): count at 0, sums of x - centre at 1..p, products of all pairs after that, then count * centre.
 
-    Each task sends one array per class it saw; positions are then summed in a balanced shuffle.
+    Each task sends one array per class it saw; positions are then summed in a balanced shuffle. Vectors with a missing or
+    infinite component take no part.
     """
     kind = df.schema[cls].dataType
     centre = near_centre(df, x, p) if centre is None else centre
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict = {}
-        for batch in batches:
-            for name, part in batch.groupby(cls, dropna=False, sort=False):
-                data = np.stack(part[x].to_numpy()) - centre
-                row = np.concatenate([[len(data)], data.sum(0), (data.T @ data).ravel(), len(data) * centre])
-                name = None if pd.isna(name) else name
-                acc[name] = acc[name] + row if name in acc else row
+        like = None
+        for table in radix.chunks(batches):
+            like = table.schema.field(cls).type
+            data = rows_of(table, x, p)
+            good = np.isfinite(data).all(1)
+            code, names = classes_of(table, cls)
+            for k, name in enumerate(names):
+                part = data[good & (code == k)] - centre
+                if len(part):
+                    row = np.concatenate([[len(part)], part.sum(0), (part.T @ part).ravel(), len(part) * centre])
+                    acc[name] = acc[name] + row if name in acc else row
         if acc:
-            yield pd.DataFrame({cls: pd.Series(list(acc), dtype=object), "m": list(acc.values())})
+            yield pa.RecordBatch.from_arrays([pa.array(list(acc), like), pa.array(list(acc.values()), pa.list_(pa.float64()))], [cls, "m"])
 
     schema = T.StructType([T.StructField(cls, kind), T.StructField("m", T.ArrayType(T.DoubleType()))])
     return (
-        df.select(cls, x).mapInPandas(partial, schema)
+        df.select(cls, x).mapInArrow(partial, schema)
         .select(cls, F.posexplode("m").alias("pos", "value"))
         .groupBy(cls, "pos").agg(F.sum("value").alias("value"))
     )
@@ -109,17 +120,45 @@ def square_sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v * v)
 
 
-def settle(models: DataFrame) -> DataFrame:
-    """Models evaluated once: broadcast if small, else written, so that every use sees the same numbers."""
-    settled, small = small_table(models)
-    return settled if small else cut_lineage(models)
+def local_models(models: DataFrame) -> dict | None:
+    """Models by class as matrices, if they are small enough to be sent to every task."""
+    few = models.limit(16).toArrow()
+    most = SMALL_BYTES // max(1, few.nbytes // max(1, few.num_rows))
+    table = models.limit(most + 1).toArrow()
+    if table.num_rows > most or table.nbytes > SMALL_BYTES:
+        return None
+    cls = table.schema.names[0]
+    return {r[cls]: (np.array(r["center"]), np.array(r["rows"]).reshape(-1, len(r["center"])), r["divisor"]) for r in table.to_pylist()}
 
 
 def score(df: DataFrame, models: DataFrame, cls: str, x: str, name: str) -> DataFrame:
-    """|rows (x - center)|^2 / divisor for every row of ``df``."""
-    joined = match(df, settle(models), [cls])
-    value = square_sum(project(F.col("rows"), minus(F.col(x), F.col("center")))) / F.col("divisor")
-    return joined.withColumn(name, value).drop("center", "rows", "divisor")
+    """|rows (x - center)|^2 / divisor for every row of ``df`` whose class has a model; null for a vector with a missing or infinite component.
+
+    Models that fit in memory are applied as matrix products, class by class; others meet the rows in a join.
+    """
+    known = local_models(models.select(cls, "center", "rows", "divisor"))
+    if known is None:
+        joined = match(df, cut_lineage(models), [cls])
+        value = square_sum(project(F.col("rows"), minus(F.col(x), F.col("center")))) / F.col("divisor")
+        return joined.withColumn(name, value).drop("center", "rows", "divisor")
+    shared = df.sparkSession.sparkContext.broadcast(known)
+    p = len(next(iter(known.values()))[0]) if known else 0
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, names = classes_of(batch, cls)
+            data, value, has = rows_of(batch, x, p), np.full(batch.num_rows, np.nan), np.zeros(batch.num_rows, bool)
+            data[~np.isfinite(data).all(1)] = np.nan
+            for k, each in enumerate(names):
+                if each in shared.value:
+                    center, rows, divisor = shared.value[each]
+                    of = np.flatnonzero(code == k)
+                    has[of] = True
+                    value[of] = (((data[of] - center) @ rows.T) ** 2).sum(1) / divisor
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(value, mask=np.isnan(value))], [*batch.schema.names, name])
+            yield out.filter(pa.array(has))
+
+    return df.mapInArrow(work, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def whitening(cov: np.ndarray) -> np.ndarray:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import warnings
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -13,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabularium.functions.tails import chi2_quantile
-from tabularium.operators.matrix import fit_models, moments, near_centre, score, settle, whitening
+from tabularium.operators.matrix import fit_models, moments, score, whitening
+from tabularium.operators.robust import CLASS_BYTES, robust_models
 from tabularium.operators.skew import grouped_quantiles, match, small_table, take_smallest
 from tabularium.session import cut_lineage
 
@@ -50,64 +50,20 @@ def mahalanobis(df: DataFrame, cls: str, x: str, p: int, name: str = "mahalanobi
     return score(df, fit_models(moments(df, cls, x, p), cls, p, _plain), cls, x, name)
 
 
-def _volume(models: DataFrame, group: str) -> DataFrame:
-    """Log determinant of each model; whitening rows have norm 1/sqrt(eigenvalue)."""
-    return models.select(group, F.expr("aggregate(rows, 0D, (acc, r) -> acc - ln(aggregate(r, 0D, (a, v) -> a + v * v)))").alias("_volume"))
-
-
-def _started(large: DataFrame, sizes: DataFrame, cls: str, x: str, p: int, support: float, seed: int, starts: int, biggest: int, centre: np.ndarray) -> DataFrame:
-    """Best of several starts per class. A start is p + 1 rows that a hash draws from the whole class; two concentration
-    steps over all rows follow, for all starts together, and the smallest determinant wins."""
-    number = F.explode(F.sequence(F.lit(0), F.lit(starts - 1))).alias("_s")
-    groups = sizes.select(cls, number).withColumn("_g", F.xxhash64(cls, "_s"))
-    many = large.select(cls, x, number).withColumn("_g", F.xxhash64(cls, "_s"))
-    hashed = F.md5(F.concat_ws("|", F.lit(f"start{seed}"), F.col("_s").cast("string"), F.col(x).cast("string")))
-    picked = take_smallest(many, ["_g"], groups.select("_g", F.lit(p + 1).alias("_want")), "_want", hashed, [hashed])
-    models = settle(fit_models(moments(picked, "_g", x, p, centre), "_g", p, _plain))
-    for _ in range(2):
-        models = settle(fit_models(moments(_within(many, models, "_g", x, support, biggest), "_g", x, p, centre), "_g", p, _plain))
-    best = groups.join(_volume(models, "_g"), "_g").groupBy(cls).agg(F.min_by("_g", F.struct("_volume", "_s")).alias("_g"))
-    return settle(best.join(models, "_g").drop("_g"))
-
-
 def robust_mahalanobis(
-    df: DataFrame, cls: str, x: str, p: int, support: float = 0.75, alpha: float = 0.975, seed: int = 42,
-    max_steps: int = 30, starts: int = 8,
+    df: DataFrame, cls: str, x: str, p: int, support: float = 0.75, alpha: float = 0.975, max_steps: int = 30, class_bytes: int = CLASS_BYTES,
 ) -> DataFrame:
     """Squared distance under a reweighted minimum-determinant covariance, with its flag.
 
-    Starts and concentration steps run on all rows: distance expression, exact per-class cut, moments of the
-    kept rows. Small classes use the plain covariance. Steps stop when no class's determinant moves any more;
-    a warning tells if ``max_steps`` came first.
+    Classes of fewer than max(10, p + 3) rows use the plain covariance. Vectors with missing or infinite components have no
+    distance and no flag.
     """
-    sizes, _ = small_table(df.groupBy(cls).agg(F.count("*").alias("_n")))
-    large = match(df, sizes, [cls]).where(F.col("_n") >= max(10, p + 3)).drop("_n")
-    small = match(df, sizes, [cls]).where(F.col("_n") < max(10, p + 3)).drop("_n")
-    biggest = sizes.agg(F.max("_n")).first()[0] or 0
-    centre = near_centre(df, x, p)
-    models = _started(large, sizes.where(F.col("_n") >= max(10, p + 3)), cls, x, p, support, seed, starts, biggest, centre)
-    for _ in range(max_steps):
-        kept = _within(large, models, cls, x, support, biggest)
-        before, models = models, settle(fit_models(moments(kept, cls, x, p, centre), cls, p, _plain))
-        change = match(_volume(models, cls), _volume(before, cls).withColumnRenamed("_volume", "_was"), [cls])
-        if (change.agg(F.max(F.abs(F.col("_volume") - F.col("_was")))).first()[0] or 0.0) < 1e-9:
-            break
-    else:
-        warnings.warn(f"robust covariance still moving after {max_steps} steps", stacklevel=2)
-    scored = score(large, models, cls, x, "_d2")
-    middle = grouped_quantiles(scored, [cls], ["_d2"], [0.5], biggest=biggest).select(cls, (F.col("_d2")[0] / chi2_quantile(0.5, p)).alias("_scale"))
-    scored = match(scored, small_table(middle)[0], [cls])
-    trusted = scored.where(F.col("_d2") / F.nullif("_scale", F.lit(0.0)) < chi2_quantile(0.975, p))
-    final = fit_models(moments(trusted, cls, x, p, centre), cls, p, _plain)
-    parts = [score(large, final, cls, x, "mahalanobis_score"), mahalanobis(small, cls, x, p)]
-    flag = F.col("mahalanobis_score") >= chi2_quantile(alpha, p)
-    return parts[0].unionByName(parts[1]).withColumn("flag_mahalanobis", flag)
-
-
-def _within(df: DataFrame, models: DataFrame, cls: str, x: str, support: float, biggest: int) -> DataFrame:
-    scored = score(df, models, cls, x, "_d2")
-    cuts = grouped_quantiles(scored, [cls], ["_d2"], [support], biggest=biggest).select(cls, F.col("_d2")[0].alias("_cut"))
-    return match(scored, small_table(cuts)[0], [cls]).where("_d2 <= _cut").select(*df.columns)
+    robust = robust_models(df, cls, x, p, support, max_steps, class_bytes)
+    plain = fit_models(moments(df, cls, x, p), cls, p, _plain)
+    same = F.col(cls).eqNullSafe(F.col("_c"))
+    models = robust.unionByName(plain.join(robust.select(F.col(cls).alias("_c")), same, "left_anti"))
+    scored = score(df, cut_lineage(models), cls, x, "mahalanobis_score")
+    return scored.withColumn("flag_mahalanobis", F.coalesce(F.col("mahalanobis_score") >= chi2_quantile(alpha, p), F.lit(False)))
 
 
 def pca_reconstruction(df: DataFrame, cls: str, x: str, p: int, q: float = 0.95) -> DataFrame:

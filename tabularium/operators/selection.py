@@ -3,40 +3,76 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from tabularium.operators.skew import small_table, take_smallest
+from tabularium.operators.binned import MOST_SAMPLES, bin_edges, class_sums
+from tabularium.operators.skew import last_taken, match, small_table
 from tabularium.operators.splits import seeded
-from tabularium.session import cut_lineage
-from tabularium.operators.stats import anova, binned_information, neighbour_information, unpivot
+from tabularium.operators.stats import anova, f_from, gain_from, named_by, neighbour_information, unpivot
+from tabularium.session import cut_lineage, spread
 
+DIGITS = 10
 
-def resample(df: DataFrame, key: str, cls: str, n_bootstrap: int = 30, max_per_class: int | None = None, seed: int = 42) -> DataFrame:
-    """Balanced resamples without replacement: ``bootstrap`` plus the smallest class's rows per class.
 
-    Each resample reads a histogram of hash prefixes first, so the table is never shuffled
-    ``n_bootstrap`` times: only the chosen rows leave the scan.
+def resample_masks(df: DataFrame, key: str, cls: str, n_bootstrap: int = 30, max_per_class: int | None = None, seed: int = 42, first: int = 0) -> DataFrame:
+    """Balanced resamples without replacement, as bits of ``_mask``: bit b is set if the row is in resample ``first`` + b.
+
+    A resample holds the rows of each class with the smallest hashes, as many as the smallest class has. A histogram of hash prefixes finds
+    where each class's share ends, and only rows with that prefix are ranked; what comes back are the last hash and key taken,
+    against which every row compares its own. The table is not shuffled, and no row is repeated.
     """
+    if n_bootstrap > MOST_SAMPLES:
+        raise ValueError(f"at most {MOST_SAMPLES} resamples in one mask")
     counts = df.groupBy(cls).agg(F.count("*").alias("n"))
     per_class = counts.agg(F.min("n")).first()[0] or 0
     if max_per_class is not None:
         per_class = min(per_class, max_per_class)
     if per_class < 3:
         raise ValueError("fewer than 3 rows in the smallest class")
-    many = df.withColumn("bootstrap", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))))
-    wanted = counts.select(cls, F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("bootstrap"),
-                           F.lit(per_class).cast("bigint").alias("quota"))
-    wanted, _ = small_table(wanted)
-    return take_smallest(many, ["bootstrap", cls], wanted, "quota", seeded(seed, F.col("bootstrap"), F.col(key)), [F.col(key)])
+    hashes = [seeded(seed, F.lit(first + b), F.col(key)) for b in range(n_bootstrap)]
+    many = df.select(cls, F.col(key).alias("_key"), F.posexplode(F.array(*hashes)).alias("_b", "_h"))
+    wanted = counts.select(cls, F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("_b"), F.lit(per_class).cast("bigint").alias("quota"))
+    last = last_taken(many, ["_b", cls], wanted, "quota", F.col("_h"), "_key")
+    ends = last.groupBy(cls).agg(F.map_from_entries(F.collect_list(F.struct("_b", "_last"))).alias("_ends"))  # n_bootstrap entries
+    bits = [F.when(F.struct(h.alias("_hash"), F.col(key).alias("_key")) <= F.element_at("_ends", F.lit(b)), F.lit(1 << b)).otherwise(F.lit(0)).cast("long") for b, h in enumerate(hashes)]
+    return match(df, small_table(ends)[0], [cls]).withColumn("_mask", reduce(lambda a, b: a.bitwiseOR(b), bits)).drop("_ends")
+
+
+def resample(df: DataFrame, key: str, cls: str, n_bootstrap: int = 30, max_per_class: int | None = None, seed: int = 42) -> DataFrame:
+    """The rows of every resample, with its number in ``bootstrap``."""
+    parts = []
+    for first in range(0, n_bootstrap, MOST_SAMPLES):
+        size = min(MOST_SAMPLES, n_bootstrap - first)
+        marked = resample_masks(df, key, cls, size, max_per_class, seed, first)
+        members = F.array_compact(F.array(*[F.when(F.getbit("_mask", F.lit(b)) == 1, first + b) for b in range(size)]))
+        parts.append(marked.withColumn("bootstrap", F.explode(members)).drop("_mask"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def binned_scores(df: DataFrame, key: str, cls: str, feats: Sequence[str], n_bootstrap: int, max_per_class: int | None, seed: int, bins: int) -> DataFrame:
+    """(bootstrap, feature, f_value, information) of all resamples, from masks."""
+    parts, rows = [], spread(df.select(key, cls, *feats))
+    for first in range(0, n_bootstrap, MOST_SAMPLES):
+        size = min(MOST_SAMPLES, n_bootstrap - first)
+        marked = resample_masks(rows, key, cls, size, max_per_class, seed, first)
+        marked = cut_lineage(marked.where("_mask <> 0").select(cls, "_mask", *[F.col(f).cast("double").alias(f) for f in feats]))  # drawn once
+        sums = class_sums(marked, cls, feats, bin_edges(marked, feats, size, bins))
+        by = ["sample", "f"]
+        mean = F.col("s") / F.col("n")
+        per_class = sums.where("bin < 0").select(*by, F.col("n").alias("_n"), (F.col("c") + mean).alias("_m"), F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)).alias("_v"))
+        both = f_from(per_class, by).join(gain_from(sums.where("bin >= 0"), by, "cls"), by)
+        parts.append(both.select((F.col("sample") + first).alias("bootstrap"), named_by("f", feats).alias("feature"), F.coalesce("f_value", F.lit(0.0)).alias("f_value"), "information"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def average_rank(by: Sequence[str], value: str) -> Column:
-    """Rank in descending order; ties share the mean rank."""
-    rank = F.rank().over(W.partitionBy(*by).orderBy(F.desc(value)))
-    ties = F.count("*").over(W.partitionBy(*by, value))
-    return rank + (ties - 1) / 2
+    """Rank in descending order; ties share the mean rank. Rank and ties share one sort."""
+    order = W.partitionBy(*by).orderBy(F.desc(value))
+    ties = F.count("*").over(order.rangeBetween(W.currentRow, W.currentRow))
+    return F.rank().over(order) + (ties - 1) / 2
 
 
 def min_max(by: Sequence[str], value: str) -> Column:
@@ -55,8 +91,12 @@ def interpret(a: Column, m: Column, cut: float = 5) -> Column:
 
 
 def rank_resamples(scores: DataFrame) -> DataFrame:
-    """Mean ranks and scores over resamples from rows (bootstrap, feature, f_value, information)."""
+    """Mean ranks and scores over resamples from rows (bootstrap, feature, f_value, information).
+
+    Both are rounded to ten digits first: sums that are equal but for the order of addition tie.
+    """
     by = ["bootstrap"]
+    scores = scores.withColumns({c: F.round(c, DIGITS) for c in ("f_value", "information")})
     ranked = scores.withColumns({
         "anova_rank": average_rank(by, "f_value"), "info_rank": average_rank(by, "information"),
         "anova_norm": min_max(by, "f_value"), "info_norm": min_max(by, "information"),
@@ -83,13 +123,13 @@ def balanced_ranking(
     All resamples are scored together, grouped by (bootstrap, feature). ``binned`` swaps the
     neighbour estimate for information gain over that many equal-frequency bins.
     """
-    # written once: both scores read the resamples, and drawing them costs n_bootstrap hashes per row
-    drawn = cut_lineage(resample(df.select(key, cls, *feats), key, cls, n_bootstrap, max_per_class, seed))
+    if binned:
+        return rank_resamples(binned_scores(df, key, cls, feats, n_bootstrap, max_per_class, seed, binned))
+    drawn = cut_lineage(resample(df.select(key, cls, *feats), key, cls, n_bootstrap, max_per_class, seed))  # both scores read it
     long = unpivot(drawn, ["bootstrap", cls], feats)
     by = ["bootstrap", "feature"]
-    info = binned_information(long, by, cls, binned) if binned else neighbour_information(long, by, cls, k)
     f = anova(long, by, cls).select(*by, F.coalesce("f_value", F.lit(0.0)).alias("f_value"))
-    return rank_resamples(f.join(info, by))
+    return rank_resamples(f.join(neighbour_information(long, by, cls, k), by))
 
 
 def select_core(summary: DataFrame, top_k: int = 10, fallback: int = 1) -> DataFrame:

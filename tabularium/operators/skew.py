@@ -9,7 +9,7 @@ Every per-group operator of the package is written on top of these:
 * ``mark_smallest``    the same as a flag on every row;
 * ``with_next``, ``with_earlier_min``  ordered look-ups, sorted bucket by bucket;
 * ``value_ranks``      ranks and prefix counts of distinct values, cut into ranges;
-* ``grouped_quantiles``  exact interpolated quantiles, narrowed by a sketch for large groups.
+* ``grouped_quantiles``  exact interpolated quantiles, by radix selection for large groups.
 """
 
 from __future__ import annotations
@@ -20,10 +20,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql import Window as W
 
+from tabularium.operators import radix
+
 SMALL_ROWS = 200_000
 SMALL_BYTES = 64 << 20
 HOT_KEYS = 1_000
 GROUP_ROWS = 4_000_000
+QUANTILE_VALUES = 1_000_000
 
 
 def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
@@ -130,6 +133,15 @@ def take_smallest(
     return kept.where("_bucket < _cut").unionByName(edge).drop("_hash", "_bucket", "_cut", "_rest")
 
 
+def last_taken(df: DataFrame, by: Sequence[str], quotas: DataFrame, quota: str, hashed: Column, key: str, digits: int = 4) -> DataFrame:
+    """The last (hash, key) that ``take_smallest`` would take in each group, as ``_last``."""
+    by = list(by)
+    df, cuts = _boundary(df, by, quotas, quota, hashed, digits)
+    edge = match(df.select(*by, "_hash", "_bucket", F.col(key).alias("_key")), cuts, by).where("_bucket = _cut")
+    rank = F.row_number().over(W.partitionBy(*by).orderBy("_hash", "_key"))
+    return edge.withColumn("_rank", rank).where("_rank <= _rest").groupBy(*by).agg(F.max(F.struct("_hash", "_key")).alias("_last"))
+
+
 def mark_smallest(
     df: DataFrame, by: Sequence[str], quotas: DataFrame, quota: str, hashed: Column, ties: Sequence[Column],
     name: str, digits: int = 4,
@@ -246,15 +258,14 @@ def grouped_quantiles(
     by: Sequence[str],
     columns: Sequence[str],
     probs: Sequence[float],
-    group_rows: int = GROUP_ROWS,
+    group_rows: int = QUANTILE_VALUES,
     biggest: int | None = None,
 ) -> DataFrame:
     """Exact interpolated quantiles: one row per group, one ``array<double>`` column per input column.
 
     Groups of at most ``group_rows`` values over all columns use the built-in ``percentile``, whose
-    buffer holds every distinct value of a group and is then bounded.
-    Beyond that a sketch brackets each quantile and only the values inside the bracket are ranked;
-    the bracket is checked against exact counts and widened until it holds the quantile. A caller that
+    buffer holds every distinct value of a group and is then bounded. Larger groups go through radix
+    selection, whose shuffles do not grow with rows; it leaves out NaN and infinite values. A caller that
     knows the ``biggest`` group's row count saves the job that counts it.
     """
     by, columns, probs = list(by), list(columns), [float(p) for p in probs]
@@ -264,68 +275,31 @@ def grouped_quantiles(
         return df.groupBy(*by).agg(
             *[F.percentile(F.col(c).cast("double"), probs).alias(c) for c in columns]
         )
-    long = df.select(
-        *by,
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("_f"), F.col(c).cast("double").alias("_v")) for c in columns])
-        ).alias("_s"),
-    ).select(*by, "_s.*").where("_v is not null")
-    keys = [*by, "_f"]
-    error = 1e-3
-    while True:
-        bracket = long.groupBy(*keys).agg(
-            F.count("*").alias("_n"),
-            F.percentile_approx("_v", [max(0.0, p - error) for p in probs], int(4 / error)).alias("_lo"),
-            F.percentile_approx("_v", [min(1.0, p + error) for p in probs], int(4 / error)).alias("_hi"),
-        )
-        bracket, _ = small_table(bracket)
-        inside = reduce(
-            lambda a, b: a | b,
-            [F.col("_v").between(F.col("_lo")[i], F.col("_hi")[i]) for i in range(len(probs))],
-        )
-        joined = match(long, bracket, keys)
-        below = joined.groupBy(*keys).agg(
-            F.first("_n").alias("_n"),
-            *[F.count_if(F.col("_v") < F.col("_lo")[i]).alias(f"_b{i}") for i in range(len(probs))],
-            *[F.count_if(F.col("_v") <= F.col("_hi")[i]).alias(f"_u{i}") for i in range(len(probs))],
-        )
-        below, _ = small_table(below)
-        ok = reduce(
-            lambda a, b: a & b,
-            [
-                (F.col(f"_b{i}") <= F.floor((F.col("_n") - 1) * F.lit(p)))
-                & (F.col(f"_u{i}") > F.ceil((F.col("_n") - 1) * F.lit(p)))
-                for i, p in enumerate(probs)
-            ],
-        )
-        if below.where(~ok).limit(1).count() == 0:
-            break
-        error *= 4
-    picked = []
-    for i, p in enumerate(probs):
-        counts = (
-            joined.where(F.col("_v").between(F.col("_lo")[i], F.col("_hi")[i]))
-            .groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-        )
-        ranked = match(value_ranks(counts, keys, "_v", "_c", group_rows), below, keys)
-        first = F.col(f"_b{i}") + F.col("below")
-        last = first + F.col("_c") - 1
-        at = (F.col("_n") - 1) * F.lit(p)
-        picked.append(
-            ranked.groupBy(*keys).agg(
-                F.max(F.when((first <= F.floor(at)) & (last >= F.floor(at)), F.col("_v"))).alias("_x"),
-                F.max(F.when((first <= F.ceil(at)) & (last >= F.ceil(at)), F.col("_v"))).alias("_y"),
-                F.max(at - F.floor(at)).alias("_w"), F.max(F.ceil(at) - at).alias("_u"),
-            ).select(*keys, F.lit(i).alias("_i"), F.when(F.col("_x") == F.col("_y"), F.col("_x")).otherwise(
-                F.col("_u") * F.col("_x") + F.col("_w") * F.col("_y")).alias("_q"))  # as the built-in interpolates
-        )
-    rows = reduce(DataFrame.unionByName, picked)
-    wide = rows.groupBy(*by).agg(
-        *[
-            F.array(*[F.max(F.when((F.col("_f") == c) & (F.col("_i") == i), F.col("_q"))) for i in range(len(probs))]).alias(c)
-            for c in columns
-        ]
-    )
-    # a group without any value keeps its row, and a column without values is null, as with the built-in
-    groups = df.groupBy(*by).agg(*[F.count(c).alias(f"_n_{i}") for i, c in enumerate(columns)])
-    return match(groups, wide, by, "left").select(*by, *[F.when(F.col(f"_n_{i}") > 0, F.col(c)).alias(c) for i, c in enumerate(columns)])
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    large = sizes.where(F.col("_n") * len(columns) > group_rows).select(*by)
+    few = df if not by else match(df, sizes.where(F.col("_n") * len(columns) <= group_rows).drop("_n").withColumn("_few", F.lit(True)), by).drop("_few")
+    out = few.groupBy(*by).agg(*[F.percentile(F.col(c).cast("double"), probs).alias(c) for c in columns]) if by else None
+    step = max(1, radix.MOST_TARGETS // (2 * len(columns) * len(probs)))  # groups of one selection; there is a million of rows or more in each
+    held: list = []
+    for row in large.toLocalIterator() if by else [()]:
+        held.append(tuple(row))
+        if len(held) == step:
+            part, held = _selected(df, by, columns, probs, held), []
+            out = part if out is None else out.unionByName(part)
+    if held:
+        part = _selected(df, by, columns, probs, held)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _selected(df: DataFrame, by: list[str], columns: list[str], probs: list[float], groups: list[tuple]) -> DataFrame:
+    """Quantiles of the listed groups by radix selection."""
+    schema = T.StructType([f for c in by for f in df.schema if f.name == c])
+    kinds = T.StructType([*schema.fields, T.StructField("_g", T.IntegerType())])
+    codes = df.sparkSession.createDataFrame([(*g, i) for i, g in enumerate(groups)], kinds)
+    plain = df.select(*by, *columns)
+    source = match(plain, small_table(codes)[0], by) if by else plain.withColumn("_g", F.lit(0))
+    values, counts = radix.order_statistics(source, columns, len(groups), radix.quantile_ranks(probs), 2 * len(probs))
+    found = radix.interpolated(values, counts, probs)
+    rows = [(*g, *[found[i, j].tolist() if counts[i, j] else None for j in range(len(columns))]) for i, g in enumerate(groups)]
+    return df.sparkSession.createDataFrame(rows, T.StructType([*schema.fields, *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in columns]]))

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from tabularium.functions.scalars import finite
 from tabularium.functions.tails import digamma, f_tail_udf
+from tabularium.operators.binned import bin_edges, class_sums
 from tabularium.operators.skew import grouped_quantiles, match, small_table, value_ranks
 
 
@@ -240,9 +241,11 @@ def unpivot(df: DataFrame, ids: Sequence[str], feats: Sequence[str]) -> DataFram
 
 def anova(long: DataFrame, by: Sequence[str], cls: str) -> DataFrame:
     """One-way F per group of ``by`` from per-class counts, means and variances."""
-    per_class = long.groupBy(*by, cls).agg(
-        F.count("*").alias("_n"), F.avg("value").alias("_m"), F.var_pop("value").alias("_v")
-    )
+    return f_from(long.groupBy(*by, cls).agg(F.count("*").alias("_n"), F.avg("value").alias("_m"), F.var_pop("value").alias("_v")), by)
+
+
+def f_from(per_class: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One-way F per group of ``by`` from rows (_n, _m, _v) per class."""
     total = W.partitionBy(*by)
     grand = F.sum(F.col("_n") * F.col("_m")).over(total) / F.sum("_n").over(total)
     sums = per_class.withColumn("_g", grand).groupBy(*by).agg(
@@ -260,22 +263,24 @@ def with_p_value(scores: DataFrame) -> DataFrame:
     return scores.withColumn("p_value", f_tail_udf("f_value", "df_between", "df_within"))
 
 
-def binned_information(long: DataFrame, by: Sequence[str], cls: str, bins: int = 10) -> DataFrame:
-    """Information gain (nats) of the class given equal-frequency bins of the value.
+def binned_information(df: DataFrame, cls: str, feats: Sequence[str], bins: int = 10) -> DataFrame:
+    """Information gain (nats) of the class given equal-frequency bins of each feature's finite values; equal values share a bin."""
+    one = df.select(cls, *feats, F.lit(1).cast("long").alias("_mask"))
+    sums = class_sums(one, cls, feats, bin_edges(one, feats, 1, bins))
+    return gain_from(sums.where("bin >= 0"), ["f"], "cls").select(named_by("f", feats).alias("feature"), "information")
 
-    Ranks are taken on distinct values, so equal values share a bin and a frequent value is one row.
-    """
-    counts = long.groupBy(*by, cls, "value").agg(F.count("*").alias("_c"))
-    values = counts.groupBy(*by, "value").agg(F.sum("_c").alias("_w"))
-    binned = value_ranks(values, by, "value", "_w").withColumn("_bin", F.floor(F.col("below") * bins / F.col("total")))
-    cells = (
-        counts.join(binned.select(*by, "value", "_bin"), [*by, "value"])
-        .groupBy(*by, cls, "_bin").agg(F.sum("_c").alias("_c"))
-    )
-    n = F.sum("_c").over(W.partitionBy(*by))
-    row = F.sum("_c").over(W.partitionBy(*by, cls))
-    col = F.sum("_c").over(W.partitionBy(*by, "_bin"))
-    term = F.col("_c") / n * F.ln(F.col("_c") * n / (row * col))
+
+def named_by(place: str, feats: Sequence[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(f) for f in feats]), F.col(place) + 1)
+
+
+def gain_from(cells: DataFrame, by: Sequence[str], cls: str) -> DataFrame:
+    """Information gain per group of ``by`` from counts ``n`` per class and ``bin``."""
+    cells = cells.repartition(*by)  # serves all three windows
+    n = F.sum("n").over(W.partitionBy(*by))
+    row = F.sum("n").over(W.partitionBy(*by, cls))
+    col = F.sum("n").over(W.partitionBy(*by, "bin"))
+    term = F.col("n") / n * F.ln(F.col("n") * n / (row * col))
     return cells.withColumn("_t", term).groupBy(*by).agg(F.greatest(F.sum("_t"), F.lit(0.0)).alias("information"))
 
 
