@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import json
 import os
-import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -46,7 +46,7 @@ def _encoder(path: str, special: bool) -> Callable[[list[str]], list[bytes]]:
     latin = parsed.get("pre_tokenizer") or {}
     added = [t for t in parsed.get("added_tokens") or [] if special or not t.get("special")]
     always = tokenizer.normalizer is not None and any(t.get("normalized") for t in added)  # may appear by normalising
-    holds = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
+    marks = [t["content"] for t in added]
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves; the others follow 255
     shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
     split, model = regex.compile(public_tokenizers.PATTERN), tokenizer.model
@@ -56,7 +56,7 @@ def _encoder(path: str, special: bool) -> Callable[[list[str]], list[bytes]]:
 
     def apart(units: UnitEncoder) -> Callable[[list[str]], list[bytes]]:
         def encode(texts: list[str]) -> list[bytes]:
-            whole = [always or (holds is not None and holds.search(t) is not None) for t in texts]
+            whole = [always or any(m in t for m in marks) for t in texts]
             marked = iter(by_library([t for t, w in zip(texts, whole, strict=True) if w]))
             rest = iter(units.encode([t for t, w in zip(texts, whole, strict=True) if not w]))
             return [next(marked if w else rest) for w in whole]
@@ -67,9 +67,9 @@ def _encoder(path: str, special: bool) -> Callable[[list[str]], list[bytes]]:
         return apart(UnitEncoder(by_library))
 
     def of_pieces(pieces: list[str]) -> list[bytes]:
-        return [np.array([t.id for t in model.tokenize(p.encode().decode("latin-1").translate(shown))], "<u4").tobytes() for p in pieces]
+        return [array("I", [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(shown))]).tobytes() for p in pieces]
 
-    memo = Memo(of_pieces, 300_000)
+    memo = Memo(of_pieces, 120_000)
 
     def encode_all(texts: list[str]) -> list[bytes]:
         parts = [None if _OTHER.search(t) else split.findall(t) for t in texts]

@@ -27,10 +27,10 @@ def segments(text: str) -> Iterator[str]:
 
 
 class Memo:
-    """Values of short strings: those of the last ``limit`` to twice as many that were asked for. Long ones last for one call."""
+    """Values of short strings, the latest asked for: up to ``limit`` of them or ``most`` bytes, twice. Long ones last for one call."""
 
-    def __init__(self, make: Callable[[list[str]], list[bytes]], limit: int):
-        self.make, self.limit = make, limit
+    def __init__(self, make: Callable[[list[str]], list[bytes]], limit: int, most: int = 8 << 20):
+        self.make, self.limit, self.most, self.held = make, limit, most, 0
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.long: list[str] = []
@@ -38,24 +38,24 @@ class Memo:
     def filled(self, wanted: set[str]) -> dict[str, bytes]:
         for k in self.long:
             self.new.pop(k, None)
-        if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
+        if len(self.new) > self.limit or self.held > self.most:
+            self.old, self.new, self.held = self.new, {}, 0
         new, old, missing = self.new, self.old, []
-        for k in wanted:
-            if k not in new:
-                if (v := old.get(k)) is None:
-                    missing.append(k)
-                else:
-                    new[k] = v
+        for k in wanted.difference(new):
+            if (v := old.get(k)) is None:
+                missing.append(k)
+            else:
+                new[k] = v
         new.update(zip(missing, self.make(missing), strict=True))
         self.long = [k for k in missing if len(k) > 48]
+        self.held += sum(len(k) + len(new[k]) for k in missing if len(k) <= 48)
         return new
 
 
 class UnitEncoder:
     """``encode_all(list of str) -> list of bytes`` for whole texts, with memos of units."""
 
-    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], limit: int = 200_000):
+    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], limit: int = 120_000):
         self.encode_all = encode_all
         self.memo = Memo(lambda units: encode_all([u[1:] if u[:1] == "\0" else " " + u for u in units]), limit)
 
