@@ -67,7 +67,9 @@ def streamed_task_states(t):
     rows = action_log(t).withColumn("ts", F.col("ts").cast("timestamp"))
     folder, out = scratch(t.spark, "actions"), scratch(t.spark, "state")
     replay.write_slices(rows, folder, "ts")
-    states = stateful.task_states(replay.open_stream(t.spark, folder, rows.schema))
+    tables = scratch(t.spark, "tables")
+    stateful.fold_triggers(replay.open_stream(t.spark, folder, rows.schema), stateful.task_tables, "task_id", tables, scratch(t.spark, "ck"))
+    states = stateful.task_states(stateful.folded_stream(t.spark, tables, stateful.TABLES))
 
     def save(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
@@ -107,6 +109,8 @@ def streamed_early_stops(t):
     rows = epochs(t).select("run", "epoch", "value", F.timestamp_seconds(F.col("epoch")).alias("ts"))
     folder = scratch(t.spark, "epochs")
     replay.write_slices(rows, folder, "ts")
-    events = stateful.early_stop_events(replay.open_stream(t.spark, folder, rows.schema), 10)
+    records = scratch(t.spark, "records")
+    stateful.fold_triggers(replay.open_stream(t.spark, folder, rows.schema), stateful.run_records(), "run", records, scratch(t.spark, "ck"))
+    events = stateful.early_stop_events(stateful.folded_stream(t.spark, records, stateful.RECORDS), 10)
     found = replay.drain(events, scratch(t.spark, "stops"), scratch(t.spark, "ck"))
     return found.where("kind = 'stopped'").select("run", F.col("epoch").alias("stop_epoch"), "best_epoch", "best_value")

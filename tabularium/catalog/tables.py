@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tabularium.catalog import query
 from tabularium.catalog.scans import scratch
 from tabularium.fixtures import cte, view
-from tabularium.operators import tables
+from tabularium.operators import states, tables
 
 
 @query("worker_upsert", "K1", """
@@ -86,7 +86,7 @@ FROM (SELECT *, i = max(i) OVER (PARTITION BY task_id) AS last FROM walk) GROUP
 
 @query("task_states", "K4 X6", STATE_SQL)
 def task_states(t):
-    return tables.fold_tasks(action_log(t))
+    return states.fold_tasks(action_log(t))
 
 
 @query("checkpoint_slots", "K5", cte("file") + """

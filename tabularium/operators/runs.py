@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabularium.operators.arrow import classes_of
+from tabularium.operators.blocks import BLOCK_BITS, FAN_BITS, entered, ordered, stretches
 from tabularium.operators.skew import match, with_earlier_min, with_next
+from tabularium.session import cut_lineage
 
 
 def confusion(df: DataFrame, by: Sequence[str], label: str, predicted: str) -> DataFrame:
@@ -76,35 +80,112 @@ def best_epoch(log: DataFrame, run: str, epoch: str, value: str, mode: str = "mi
     )
 
 
-def improvements(log: DataFrame, run: str, epoch: str, value: str, min_delta: float = 0.0, mode: str = "min", block: int = 10_000) -> DataFrame:
+def improvements(log: DataFrame, run: str, epoch: str, value: str, min_delta: float = 0.0, mode: str = "min", block: int = 10_000,
+                 block_bits: int = BLOCK_BITS, fan_bits: int = FAN_BITS) -> DataFrame:
     """Epochs at which the running best moves: the value beats the best by more than ``min_delta``.
 
     Such an epoch is always a strict record, and records come from block-wise running minima. With no
-    ``min_delta`` they are the answer; otherwise the few records of a run are walked in order.
+    ``min_delta`` they are the answer. Otherwise a block of records is a step function of the best before it, and functions
+    compose: first each block learns the best that reaches it, then it marks the records that move it.
     """
+    records = falling_records(log, run, epoch, value, mode, block)
+    if min_delta > 0:
+        signed = records.select(run, "epoch", (F.col("value") if mode == "min" else -F.col("value")).alias("_v"))
+        moved = _moved(signed, run, min_delta, block_bits, fan_bits)
+        records = moved.select(run, "epoch", (F.col("_v") if mode == "min" else -F.col("_v")).alias("value"))
+    return records
+
+
+def falling_records(log: DataFrame, run: str, epoch: str, value: str, mode: str = "min", block: int = 10_000) -> DataFrame:
+    """(run, epoch, value) of the epochs whose finite value is better than all before it."""
     signed = F.col(value).cast("double") if mode == "min" else -F.col(value).cast("double")
     clean = log.select(run, F.col(epoch).alias("epoch"), signed.alias("_v")).where("_v is not null and not isnan(_v) and _v < double('Infinity')")
-    blocks = F.floor(F.col("epoch") / block)
-    records = with_earlier_min(clean, [run], blocks, ["epoch"], "_v", "_low").where("_low is null or _v < _low").drop("_low")
-    if min_delta > 0:
-        schema = records.schema
-
-        def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            current, best = object(), None
-            for rows in batches:
-                keep = []
-                for name, v in zip(rows[run], rows["_v"]):
-                    if name != current:
-                        current, best = name, None
-                    moved = best is None or v < best - min_delta
-                    best = v if moved else best
-                    keep.append(moved)
-                yield rows[pd.Series(keep, index=rows.index, dtype=bool)]
-
-        records = records.repartition(run).sortWithinPartitions(run, "epoch").mapInPandas(walk, schema)
+    records = with_earlier_min(clean, [run], F.floor(F.col("epoch") / block), ["epoch"], "_v", "_low").where("_low is null or _v < _low")
     return records.select(run, "epoch", (F.col("_v") if mode == "min" else -F.col("_v")).alias("value"))
 
 
+def followers(v: np.ndarray, delta: float) -> np.ndarray:
+    """For falling values the place of the next that is lower by more than ``delta``; its own length where none is."""
+    return first_below(v, v, delta)
+
+
+def reached(v: np.ndarray, delta: float) -> np.ndarray:
+    """The last value of the chain of followers from each place, by doubled pointers."""
+    to = followers(v, delta)
+    last = np.where(to < len(v), to, np.arange(len(v)))
+    while (further := last[last] != last).any():
+        last = np.where(further, last[last], last)
+    return v[last]
+
+
+def short(steps: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of neighbouring steps with one end only the lowest; as many stay as there are ends within the least gain of the lowest record."""
+    keep = np.append(ends[1:] != ends[:-1], True)[: len(ends)]
+    return steps[keep], ends[keep]
+
+
+def _moved(records: DataFrame, run: str, delta: float, block_bits: int, fan_bits: int) -> DataFrame:
+    rows = ordered(records, run, ["epoch"]).withColumn("b", F.shiftright("at", block_bits))
+    kind = records.schema[run].dataType.simpleString()
+
+    def sum_up(part: pa.Table) -> pa.Table:
+        part = part.sort_by("at").combine_chunks()
+        v = part.column("_v").to_numpy()
+        start, size = stretches(classes_of(part, run)[0])
+        each = [short(v[a:a + n], reached(v[a:a + n], delta)) for a, n in zip(start, size, strict=True)]
+        return pa.table([part.column(run).take(pa.array(start)), part.column("b").take(pa.array(start)), *[pa.array([x[k].tolist() for x in each], pa.list_(pa.float64())) for k in (0, 1)]],
+                        [run, "b", "steps", "ends"])
+
+    def after(best: np.ndarray, steps: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The best behind a block for bests before it: that of the chain from the first record low enough."""
+        place = first_below(steps, best, delta)
+        return np.where(place < len(steps), ends[np.minimum(place, len(steps) - 1)], best)
+
+    def functions(part: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(np.array(s), np.array(e)) for s, e in zip(part.column("steps").to_pylist(), part.column("ends").to_pylist(), strict=True)]
+
+    def merge(part: pa.Table) -> pa.Table:
+        """Neighbouring step functions as one: a best that no record of the first block beats goes on to the next."""
+        part = part.sort_by("b")
+        steps, ends = [], np.zeros(0)
+        for s, e in functions(part):
+            ends = np.append(after(ends, s, e), e)
+            steps, ends = short(np.append(steps, s), ends)
+        return pa.table([part.column(run)[:1], part.column("b")[:1], pa.array([steps.tolist()], pa.list_(pa.float64())), pa.array([ends.tolist()], pa.list_(pa.float64()))], [run, "b", "steps", "ends"])
+
+    def enter(part: pa.Table, best: float) -> np.ndarray:
+        out = []
+        for s, e in functions(part):
+            out.append(best)
+            best = float(after(np.array([best]), s, e)[0])
+        return np.array(out)
+
+    def mark(part: pa.Table, entries: pa.Table) -> pa.Table:
+        part = part.sort_by("at").combine_chunks()
+        v, known = part.column("_v").to_numpy(), dict(zip(entries.column(run).to_pylist(), entries.column("entry").to_pylist(), strict=True))
+        start, size = stretches(classes_of(part, run)[0])
+        kept = []
+        for a, n, name in zip(start, size, part.column(run).take(pa.array(start)).to_pylist(), strict=True):
+            mine, to = v[a:a + n], followers(v[a:a + n], delta)
+            at = int(first_below(mine, np.array([known[name]]), delta)[0])
+            while at < n:
+                kept.append(a + at)
+                at = int(to[at])
+        return part.take(pa.array(kept, pa.int64())).select([run, "epoch", "_v"])
+
+    parts = cut_lineage(rows.groupBy("b").applyInArrow(sum_up, f"`{run}` {kind}, b long, steps array<double>, ends array<double>"))
+    entries = entered(parts, run, merge, enter, float("inf"), fan_bits)
+    return rows.groupBy("b").cogroup(entries.groupBy("b")).applyInArrow(mark, records.select(run, "epoch", "_v").schema)
+
+
+def first_below(v: np.ndarray, best: np.ndarray, delta: float) -> np.ndarray:
+    """Place of the first of falling values that is lower than each best by more than ``delta``."""
+    place = np.searchsorted(-v, -(best - delta), side="left")
+    while (behind := (place < len(v)) & ~(v[np.minimum(place, len(v) - 1)] < best - delta)).any():
+        place = place + behind
+    return place
+
+
 def early_stop(
     log: DataFrame, run: str, epoch: str, value: str, patience: int, min_delta: float = 0.0, mode: str = "min", block: int = 10_000
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def write_slices(df: DataFrame, folder: str, ts: str, slices: int = 4, files: int = 4) -> None:
-    """Append ``df`` to ``folder`` in ``slices`` consecutive time ranges of ``files`` files each."""
+    """Append ``df`` to ``folder`` in ``slices`` consecutive time ranges of ``files`` files each; rows without a time come first."""
     probs = [i / slices for i in range(1, slices)]
     cuts = df.agg(F.percentile_approx(F.unix_micros(ts), probs, 1000)).first()[0] or []
     edges = [None, *sorted(set(cuts)), None]
@@ -17,7 +17,8 @@ def write_slices(df: DataFrame, folder: str, ts: str, slices: int = 4, files: in
         if low is not None:
             part = part.where(F.unix_micros(ts) > low)
         if high is not None:
-            part = part.where(F.unix_micros(ts) <= high)
+            upto = F.unix_micros(ts) <= high
+            part = part.where(upto if low is not None else upto | F.col(ts).isNull())
         part.repartition(files).write.mode("append").parquet(folder)
 
 

@@ -1,67 +1,105 @@
 """Keyed state over streams: task state machine and early stopping.
 
-Rows of one key are put in order inside a trigger, so what a task holds for a key is bounded by the
-trigger's size (``maxFilesPerTrigger``); the state itself is a few fields.
+A trigger is folded before it meets the state. ``fold_triggers`` sums each micro-batch up as a batch job, in which one key's rows may
+spread over many tasks, and writes a few rows per key; the state functions read those. So neither memory nor time of
+the stateful task grows with a key's rows in a trigger. A trigger's rows are written under its number, so a repeated trigger replaces them.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tabularium.operators.tables import STATE, advance
+from tabularium.operators.runs import falling_records
+from tabularium.operators.states import ROW, STATE, STATUSES, Table, transition_tables
+from tabularium.streaming.replay import drain_batches
 
 
-def task_states(log: DataFrame) -> DataFrame:
-    """State of each touched task after each trigger, with applied and rejected action counts."""
+def fold_triggers(stream: DataFrame, work: Callable[[DataFrame], DataFrame], key: str, folder: str, checkpoint: str) -> None:
+    """Write ``work`` of each micro-batch with its number ``batch_id`` to a folder of its own, to the end of the input. A key's few rows share a
+    file, so that a reader sees all of them at once."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        work(batch).withColumn("batch_id", F.lit(batch_id).cast("long")).repartition(key).write.mode("overwrite").parquet(f"{folder}/trigger={batch_id}")
+
+    drain_batches(stream, write, checkpoint, "append")
+
+
+def folded_stream(spark: SparkSession, folder: str, schema: str, files: int = 16) -> DataFrame:
+    return spark.readStream.schema(schema + ", batch_id long").option("maxFilesPerTrigger", files).parquet(f"{folder}/*")
+
+
+TABLES = f"task_id BIGINT, n BIGINT, rows {ROW}"
+
+
+def task_tables(batch: DataFrame) -> DataFrame:
+    """What a trigger's actions do to any state before them, one row per task."""
+    return transition_tables(batch).select("task_id", "n", "rows")
+
+
+def task_states(tables: DataFrame) -> DataFrame:
+    """State of each touched task after each trigger, with applied and rejected action counts, from a stream of ``task_tables``."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
         status, owner, hijacks, applied, rejected = state.get if state.exists else ("WAITING", None, 0, 0, 0)
-        current = (status, owner, hijacks)
-        for action, worker in zip(rows["action"], rows["worker"]):
-            current, done = advance(current, action, int(worker))
-            applied, rejected = applied + done, rejected + (not done)
-        state.update((*current, applied, rejected))
-        out = pd.DataFrame([(key[0], *current, applied, rejected)], columns=["task_id", "status", "owner", "hijack_count", "n_applied", "n_rejected"])
+        rows = sorted(((int(b), int(n), r) for part in batches for b, n, r in zip(part["batch_id"], part["n"], part["rows"], strict=True)), key=lambda r: r[0])
+        place, holder = STATUSES.index(status), None if owner is None or pd.isna(owner) else ("is", int(owner))
+        for _, n, table in rows:
+            place, holder, taken, done = Table([[None if x is None or pd.isna(x) else int(x) for x in row] for row in table], n).after(place, holder)
+            hijacks, applied, rejected = hijacks + taken, applied + done, rejected + n - done
+        current = (STATUSES[place], holder[1] if holder else None, hijacks, applied, rejected)
+        state.update(current)
+        out = pd.DataFrame([(key[0], *current)], columns=["task_id", "status", "owner", "hijack_count", "n_applied", "n_rejected"])
         yield out.astype({"owner": "Int64"})
 
-    return log.groupBy("task_id").applyInPandasWithState(
-        step, STATE, "status STRING, owner BIGINT, hijacks BIGINT, applied BIGINT, rejected BIGINT", "update", GroupStateTimeout.NoTimeout
+    return tables.groupBy("task_id").applyInPandasWithState(
+        step, f"task_id BIGINT, {STATE}", "status STRING, owner BIGINT, hijacks BIGINT, applied BIGINT, rejected BIGINT", "update", GroupStateTimeout.NoTimeout
     )
 
 
 EVENT = "run BIGINT, epoch BIGINT, kind STRING, best_epoch BIGINT, best_value DOUBLE"
+RECORDS = "run BIGINT, epoch BIGINT, value DOUBLE, last BOOLEAN"
+
+
+def run_records(mode: str = "min") -> Callable[[DataFrame], DataFrame]:
+    """Of a trigger only the epochs at which a run's best within it moves, and its last epoch: no other can matter."""
 
+    def work(batch: DataFrame) -> DataFrame:
+        rows = batch.select(F.col("run").cast("long"), F.col("epoch").cast("long"), F.col("value").cast("double"))
+        moved = falling_records(rows, "run", "epoch", "value", mode).select("run", "epoch", "value", F.lit(False).alias("last"))
+        ends = rows.groupBy("run").agg(F.max("epoch").alias("epoch")).select("run", "epoch", F.lit(None).cast("double").alias("value"), F.lit(True).alias("last"))
+        return moved.unionByName(ends)
 
-def early_stop_events(log: DataFrame, patience: int, min_delta: float = 0.0, mode: str = "min") -> DataFrame:
-    """``improved`` and ``stopped`` events per run; a stopped run ignores what follows."""
+    return work
+
+
+def early_stop_events(records: DataFrame, patience: int, min_delta: float = 0.0, mode: str = "min") -> DataFrame:
+    """``improved`` and ``stopped`` events per run from a stream of ``run_records``; a stopped run ignores what follows.
+
+    Epochs count from 1 without gaps, so the epochs without a gain are those since the best one.
+    """
     sign = 1.0 if mode == "min" else -1.0
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, best_epoch, wait, stopped = state.get if state.exists else (None, None, 0, False)
-        rows = pd.concat(list(batches)).sort_values("epoch", kind="stable")
+        best, best_epoch, stopped = state.get if state.exists else (None, 0, False)
+        rows = sorted(((int(e), bool(end), v) for part in batches for e, v, end in zip(part["epoch"], part["value"], part["last"], strict=True)), key=lambda r: r[:2])
+        best = None if best is None or math.isnan(best) else best
         out = []
-        for epoch, value in zip(rows["epoch"], rows["value"]):
+        for epoch, end, value in rows:
             if stopped:
                 break
-            v = sign * value if value is not None else math.inf
-            if v < (math.inf if best is None else best - min_delta):
-                best, best_epoch, wait = v, int(epoch), 0
-                out.append((key[0], int(epoch), "improved", best_epoch, float(value)))
-            else:
-                wait += 1
-                if wait >= patience:
-                    stopped = True
-                    out.append((key[0], int(epoch), "stopped", best_epoch, None if best is None else sign * best))
-        state.update((best, best_epoch, wait, stopped))
+            if epoch - best_epoch > patience or (end and epoch - best_epoch >= patience):  # ran out before this epoch, or at the last one seen
+                stopped = True
+                out.append((key[0], best_epoch + patience, "stopped", best_epoch or None, None if best is None else sign * best))
+            elif not end and sign * value < (math.inf if best is None else best - min_delta):
+                best, best_epoch = sign * value, epoch
+                out.append((key[0], epoch, "improved", best_epoch, float(value)))
+        state.update((best, best_epoch, stopped))
         if out:
             yield pd.DataFrame(out, columns=["run", "epoch", "kind", "best_epoch", "best_value"]).astype({"best_epoch": "Int64", "best_value": "float64"})
 
-    return log.groupBy("run").applyInPandasWithState(
-        step, EVENT, "best DOUBLE, best_epoch BIGINT, wait BIGINT, stopped BOOLEAN", "append", GroupStateTimeout.NoTimeout
-    )
+    return records.groupBy("run").applyInPandasWithState(step, EVENT, "best DOUBLE, best_epoch BIGINT, stopped BOOLEAN", "append", GroupStateTimeout.NoTimeout)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tabularium.functions import scalars as S
 from tabularium.functions import tails
 from tabularium.functions.search_space import parse
-from tabularium.operators import matrix, monitor, outliers, relate, runs, selection, splits, stats, tables
+from tabularium.operators import matrix, monitor, outliers, relate, runs, selection, splits, states, stats, tables
 from tabularium.operators.skew import grouped_quantiles
 from tabularium.plans import curriculum
 from tabularium.sources import logs, manifest as M
@@ -284,7 +284,7 @@ def test_metrics_zero_division(spark):
 def test_task_guards(spark):
     log = [(1, 1, "claim", 7), (1, 2, "heartbeat", 8), (1, 3, "stale", 0), (1, 4, "take_over", 8), (1, 5, "done", 7), (1, 6, "done", 8), (1, 7, "claim", 9)]
     df = spark.createDataFrame([(t, e, e, a, w) for t, e, a, w in log], "task_id BIGINT, ts BIGINT, event_id BIGINT, action STRING, worker BIGINT")
-    r = tables.fold_tasks(df).first()
+    r = states.fold_tasks(df).first()
     assert (r["status"], r["owner"], r["hijack_count"], r["n_applied"], r["n_rejected"]) == ("DONE", 8, 1, 4, 3)
 
 
