@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -44,8 +45,24 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's call that gives freed memory back, or nothing where it has none."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda pad: 0
+
+
+def release() -> None:
+    """Give back what earlier slices and batches freed: a reused Python worker would keep it, beside the next task's."""
+    _trim()(0)
+    pa.default_memory_pool().release_unused()
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all values (null: empty) end to end, and len+1 offsets."""
+    """Bytes of all values (null: empty) end to end, and len+1 offsets. Opens work on a slice, so freed memory is given back first."""
+    release()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):

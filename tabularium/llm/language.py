@@ -22,11 +22,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabularium.llm.common import _BYTE, mix, runs_hash, slices, utf8
+from tabularium.llm.common import SLICE_BYTES, _BYTE, mix, runs_hash, slices, utf8
 
 BUCKETS = 1 << 16
 AFFIX = 4
 SEGMENT = 256  # words that forward-backward treats side by side
+HERE = SLICE_BYTES // 2  # text worked on at once: every distinct word brings dozens of features
 _LETTER = np.zeros(256, bool)  # after lower-casing; parts of longer characters count as letters
 _LETTER[[*range(ord("a"), ord("z") + 1), ord("'"), *range(0x80, 0x100)]] = True
 U = np.uint64
@@ -306,7 +307,7 @@ def identify(df: DataFrame, field: Field, key: str = "doc_id", text: str = "text
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=HERE):
                 names, score = field.predict(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(names, pa.string()), pa.array(score)], ["key", "lang_pred", "score"])
 
@@ -320,7 +321,7 @@ def keep_identified(df: DataFrame, field: Field, least: float, text: str = "text
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, HERE):
                 names, score = field.predict(part.column(text))
                 yield part.filter(pa.array([n != "und" and s >= least for n, s in zip(names, score, strict=True)]))
 
