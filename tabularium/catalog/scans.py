@@ -125,23 +125,60 @@ def fold_subset_export(t):
 
 
 @query("subset_index", "S8 S10 A21", FOLD_SQL + """
-, counts AS (SELECT repeat_id, fold_id, subset, p_type, count(*) AS n FROM fold_rows GROUP BY ALL)
-SELECT repeat_id, fold_id, subset, CAST(sum(n) AS BIGINT) AS n_rows,
-       '{' || string_agg('"' || p_type || '":' || n, ',' ORDER BY p_type) || '}' AS class_counts
-FROM counts GROUP BY ALL
+, counts AS (SELECT repeat_id, fold_id, subset, p_type, count(*) AS n FROM fold_rows GROUP BY ALL),
+j AS (SELECT repeat_id, fold_id, subset, CAST(sum(n) AS BIGINT) AS n, '{' || string_agg('"' || p_type || '":' || n, ',' ORDER BY p_type) || '}' AS js FROM counts GROUP BY ALL)
+SELECT t.repeat_id, t.fold_id, t.n AS n_train_natural, v.n AS n_validation_natural, t.js AS train_class_count_json, v.js AS validation_class_count_json,
+  concat('subsets/repeat_id=', t.repeat_id, '/fold_id=', t.fold_id, '/subset=train') AS train_path,
+  concat('subsets/repeat_id=', t.repeat_id, '/fold_id=', t.fold_id, '/subset=validation') AS validation_path
+FROM j t JOIN j v ON t.repeat_id = v.repeat_id AND t.fold_id = v.fold_id AND t.subset = 'train' AND v.subset = 'validation'
 """)
 def subset_index(t):
-    return splits.subset_index(part_folds(t), ["repeat_id", "fold_id"], "p_type").orderBy("repeat_id", "fold_id", "subset")
+    return splits.subset_index(part_folds(t), ["repeat_id", "fold_id"], "p_type")
 
 
 @query("subset_distribution", "S8 S10", FOLD_SQL + """
-SELECT repeat_id, fold_id, subset, p_type, count(*) AS n,
-       round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY repeat_id, fold_id, subset), 6) AS percent
+SELECT repeat_id, fold_id, subset, p_type, count(*) AS "count",
+       round(count(*) / sum(count(*)) OVER (PARTITION BY repeat_id, fold_id, subset), 8) AS percent
 FROM fold_rows GROUP BY repeat_id, fold_id, subset, p_type
 """)
 def subset_distribution(t):
     d = splits.subset_distribution(part_folds(t), ["repeat_id", "fold_id"], "p_type")
-    return d.withColumn("percent", F.round("percent", 6))
+    return d.withColumn("percent", F.round("percent", 8))
+
+
+@query("natural_manifests", "S9", FOLD_SQL + """
+SELECT p_partkey, p_type, fold_id, subset FROM fold_rows WHERE (fold_id, subset) IN ((1, 'train'), (1, 'validation'), (4, 'validation'))
+""")
+def natural_manifests(t):
+    """Two subsets of a unit from their own folders, and one, after the export is gone, from the assignment table."""
+    exported, bare = scratch(t.spark, "curriculum"), scratch(t.spark, "curriculum")
+    rows = part_folds(t).withColumn("stage_id", F.lit(3))
+    unit = ("stage_id", "repeat_id", "fold_id", "subset")
+    M.save(rows, f"{exported}/subsets", partition_by=unit)
+    M.save(rows, f"{bare}/assignments")
+    found = [(exported, 1, "train"), (exported, 1, "validation"), (bare, 4, "validation")]
+    parts = [M.natural_manifest(t.spark, root, 3, 0, f, s).select("p_partkey", "p_type", F.lit(f).alias("fold_id"), F.lit(s).alias("subset")) for root, f, s in found]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("final_manifest_fallback", "S5", "SELECT url AS path, CAST(page_id % 7 AS VARCHAR) AS class, split_part(url, '/', -1) AS filename FROM pages")
+def final_manifest_fallback(t):
+    """A stored manifest is preferred to the folder's listing, and checked against the pages."""
+    path = scratch(t.spark, "final")
+    rows = M.normalize(t.pages.select(F.col("url").alias("path"), (F.col("page_id") % 7).alias("class")))
+    M.save(rows.select("path", "class", "filename"), path)
+    return M.load_final_manifest(t.spark, path, f"{path}-none", t.pages.select(F.col("url").alias("path")))
+
+
+@query("final_features_second_file", "S6", """
+SELECT 'l_quantity' AS feature, count(l_quantity) AS n_values FROM lineitem UNION ALL SELECT 'l_tax', count(l_tax) FROM lineitem
+""")
+def final_features_second_file(t):
+    """The first file is missing, so the second one is read."""
+    path = scratch(t.spark, "features")
+    M.save(t.lineitem.select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("path"), F.col("l_returnflag").alias("class"), "l_quantity", "l_tax"), path)
+    features, names = M.load_final_feature_set(t.spark, f"{path}-none", path, t.lineitem)
+    return features.agg(*[F.count(c).alias(c) for c in names]).unpivot([], names, "feature", "n_values")
 
 
 @query("pending_items", "S12 P8", """

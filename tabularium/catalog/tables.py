@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tabularium.catalog import query
 from tabularium.catalog.scans import scratch
 from tabularium.fixtures import cte, view
 from tabularium.operators import states, tables
+from tabularium.sources import snapshots
 
 
 @query("worker_upsert", "K1", """
@@ -124,6 +127,38 @@ def purged_rows(t):
     return tables.purge(t.lineitem.select("l_orderkey"), keys, "l_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n_rows"))
 
 
+TASKS_SQL = """
+WITH task AS (SELECT o_orderkey AS task_id, CAST(substr(o_orderpriority, 1, 1) AS INT) AS stage_no, CASE WHEN o_custkey % 2 = 0 THEN 'classical' ELSE 'hybrid' END AS model_type,
+  CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey * 2 END AS checkpoint_slot_id FROM orders),
+gone AS (SELECT task_id, checkpoint_slot_id FROM task WHERE stage_no = 3 AND model_type = 'hybrid'),
+log AS (SELECT l_orderkey AS task_id, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT task_id FROM gone))
+"""
+
+
+@query("stage_reset", "K7", TASKS_SQL + """
+SELECT 'epoch_metric_log' AS name, count(*) AS n_rows FROM log UNION ALL SELECT 'fold_run_result', count(*) FROM log WHERE l_linenumber <= 2
+UNION ALL SELECT 'convergence_diagnostic_summary', count(*) FROM log WHERE l_linenumber = 1 UNION ALL SELECT 'checkpoint_file', count(*) FROM log WHERE l_linenumber >= 3
+UNION ALL SELECT 'task', count(*) FROM task WHERE task_id NOT IN (SELECT task_id FROM gone)
+UNION ALL SELECT 'checkpoint_slot', count(*) FROM task WHERE checkpoint_slot_id NOT IN (SELECT checkpoint_slot_id FROM gone WHERE checkpoint_slot_id IS NOT NULL)
+UNION ALL SELECT 'active stages', count(*) FROM (SELECT DISTINCT stage_no, model_type FROM task) WHERE stage_no = 1 OR (stage_no = 3 AND model_type = 'hybrid')
+""")
+def stage_reset(t):
+    """Rows of every table after one stage's tasks are purged, and the stages that are active then."""
+    root, log = scratch(t.spark, "runs"), t.lineitem.select(F.col("l_orderkey").alias("task_id"), "l_linenumber")
+    task = t.orders.selectExpr("o_orderkey AS task_id", "CAST(substr(o_orderpriority, 1, 1) AS INT) AS stage_no", "CASE WHEN o_custkey % 2 = 0 THEN 'classical' ELSE 'hybrid' END AS model_type",
+                               "CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey * 2 END AS checkpoint_slot_id")
+    snapshots.replace(t.spark, root, {
+        "epoch_metric_log": log, "fold_run_result": log.where("l_linenumber <= 2"), "convergence_diagnostic_summary": log.where("l_linenumber = 1"), "checkpoint_file": log.where("l_linenumber >= 3"),
+        "task": task, "checkpoint_slot": task.where("checkpoint_slot_id IS NOT NULL").select("checkpoint_slot_id"),
+        "stage_information": task.select("stage_no", "model_type", (F.col("stage_no") == 1).alias("is_active")).distinct(),
+    })
+    snapshots.reset_stage(t.spark, root, 3, "hybrid")
+    names = (*snapshots.TASK_TABLES, "checkpoint_slot")
+    parts = [snapshots.open_table(t.spark, root, n).agg(F.lit(n).alias("name"), F.count("*").alias("n_rows")) for n in names]
+    parts.append(snapshots.open_table(t.spark, root, "stage_information").where("is_active").agg(F.lit("active stages").alias("name"), F.count("*").alias("n_rows")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("cleanup_counts", "K8", """
 SELECT count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM documents)) AS deleted, count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS not_found,
   CAST(0 AS BIGINT) AS errors, true AS dry_run FROM (SELECT doc_id * 2 AS doc_id FROM labels)

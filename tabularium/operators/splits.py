@@ -224,21 +224,31 @@ def augmentation_plan(
     )
 
 
-def subset_index(assigned: DataFrame, unit: Sequence[str], cls: str) -> DataFrame:
-    """Sizes and class-count JSON per unit and subset."""
+def subset_index(assigned: DataFrame, unit: Sequence[str], cls: str, root: str = "subsets") -> DataFrame:
+    """One row per unit: sizes, folders below ``root`` and class counts as JSON of its train and validation subset."""
     counts = assigned.groupBy(*unit, "subset", cls).agg(F.count("*").alias("n"))
-    return counts.groupBy(*unit, "subset").agg(F.sum("n").alias("n_rows"), class_json(cls, "n").alias("class_counts"))
+    of = lambda s: F.col("subset") == s
+    folder = F.concat(F.lit(f"{root}/"), F.concat_ws("/", *[F.concat(F.lit(f"{u}="), F.col(u).cast("string")) for u in unit]), F.lit("/subset="))
+    sides = ("train", "validation")
+    return counts.groupBy(*unit).agg(
+        *[F.coalesce(F.sum(F.when(of(s), F.col("n"))), F.lit(0).cast("bigint")).alias(f"n_{s}_natural") for s in sides],
+        *[class_json(cls, "n", of(s)).alias(f"{s}_class_count_json") for s in sides],
+    ).withColumns({f"{s}_path": F.concat(folder, F.lit(s)) for s in sides})
 
 
-def class_json(cls: str, n: str) -> Column:
-    """{class: n} text, classes in order; collects class counts, not rows."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(cls).cast("string"), F.lit("null")), F.col(n))))))
+def class_json(cls: str, n: str, where: Column | None = None) -> Column:
+    """{class: n} text, classes in order; collects class counts, not rows. A null class counts with one that is named null."""
+    entry = F.struct(F.coalesce(F.col(cls).cast("string"), F.lit("null")).alias("c"), F.col(n).cast("bigint").alias("n"))
+    rows = F.collect_list(entry if where is None else F.when(where, entry))
+    names = F.array_sort(F.array_distinct(F.transform(rows, lambda r: r["c"])))
+    total = lambda c: F.aggregate(F.filter(rows, lambda r: r["c"] == c), F.lit(0).cast("bigint"), lambda acc, r: acc + r["n"])
+    return F.to_json(F.map_from_arrays(names, F.transform(names, total)))
 
 
 def subset_distribution(assigned: DataFrame, unit: Sequence[str], cls: str) -> DataFrame:
-    counts = assigned.groupBy(*unit, "subset", cls).agg(F.count("*").alias("n"))
-    share = 100 * F.col("n") / F.sum("n").over(W.partitionBy(*unit, "subset"))
-    return counts.withColumn("percent", share)
+    """Count and share (a fraction) of each class within its unit's subset."""
+    counts = assigned.groupBy(*unit, "subset", cls).agg(F.count("*").alias("count"))
+    return counts.withColumn("percent", F.col("count") / F.sum("count").over(W.partitionBy(*unit, "subset")))
 
 
 def size_summary(assigned: DataFrame, stage: str, unit: Sequence[str]) -> DataFrame:

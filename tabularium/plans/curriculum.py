@@ -138,6 +138,6 @@ def build(
     _, _, combined = train_plan(assigned, key, cls, stages, mode)
     combined.write.mode("overwrite").partitionBy(*UNIT).parquet(places["train_plan"])
     metadata(assigned, key, cls, stages, mode).write.mode("overwrite").parquet(places["metadata"])
-    splits.subset_index(assigned, UNIT, cls).write.mode("overwrite").parquet(places["index"])
+    splits.subset_index(assigned, UNIT, cls, places["assignments"]).write.mode("overwrite").parquet(places["index"])
     splits.subset_distribution(assigned, UNIT, cls).write.mode("overwrite").parquet(places["distribution"])
     return places

@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
+def stored(spark: SparkSession, path: str, schema: T.StructType | str | None = None, kind: str = "parquet", **options: str) -> DataFrame | None:
+    """The table at a path, or nothing if there is none (or, without a schema, no file in it)."""
+    reader = spark.read.options(**options)
+    try:
+        return (reader.schema(schema) if schema is not None else reader).format(kind).load(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def fingerprint(files: DataFrame, key: str, content: str = "content") -> DataFrame:
     return files.select(key, F.length(content).cast("bigint").alias("size"), F.sha2(F.col(content), 256).alias("sha256"))
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tabularium.functions import scalars as S
+from tabularium.sources.files import stored
 
 # Accepted column aliases and image suffixes.
 PATH_ALIASES = ("path", "filepath", "file_path", "image_path", "img_path")
@@ -30,23 +32,20 @@ def scan_folder(spark: SparkSession, root: str, suffixes: Sequence[str] = IMAGE_
     """Files exactly two levels below ``root``; contents are never read. An empty folder gives no rows."""
     root = root.rstrip("/")
     depth = len(re.sub("^[a-z0-9]+:/+", "/", root).split("/")) + 2
-    try:
-        files = spark.read.format("binaryFile").load(f"{root}/*/*").select("path")
-    except Exception as error:  # no match for the glob
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    files = stored(spark, f"{root}/*/*", kind="binaryFile")
+    if files is None:
         return spark.createDataFrame([], MANIFEST)
+    files = files.select("path")
     # the pattern also lists below a matching folder
     files = files.where(F.size(F.split(F.regexp_replace("path", "^[a-z0-9]+:/+", "/"), "/")) == depth)
     return list_items(files, "path", suffixes)
 
 
 def scan_recursive(spark: SparkSession, root: str, pattern: str = "*.png") -> DataFrame:
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-        .load(root).select("path")
-    )
-    return list_items(files, "path", (pattern.lstrip("*").lower(),))
+    files = stored(spark, root, kind="binaryFile", recursiveFileLookup="true", pathGlobFilter=pattern)
+    if files is None:
+        return spark.createDataFrame([], MANIFEST)
+    return list_items(files.select("path"), "path", (pattern.lstrip("*").lower(),))
 
 
 def read_manifest(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -107,6 +106,45 @@ def load_final(manifest: DataFrame, listing: DataFrame) -> DataFrame:
     return manifest.orderBy("class", "filename", "path")
 
 
+def load_final_manifest(spark: SparkSession, path: str, fallback_dir: str, listing: DataFrame | None = None) -> DataFrame:
+    """The final manifest if it is stored, checked against ``listing`` (by default the files it names); else, with a warning, every PNG
+    below ``fallback_dir``. An error if there is neither."""
+    kind = "csv" if path.rsplit(".", 1)[-1].lower() in ("csv", "txt") else "parquet"
+    manifest = stored(spark, path, kind=kind, **({"header": "true"} if kind == "csv" else {}))
+    if manifest is not None:
+        return load_final(manifest, scan_recursive(spark, fallback_dir) if listing is None else listing)
+    found = scan_recursive(spark, fallback_dir).select("path", "class", "filename")
+    if not found.take(1):
+        raise ValueError(f"no manifest at {path} and no PNG below {fallback_dir}")
+    warnings.warn(f"no manifest at {path}: listing {fallback_dir}", stacklevel=2)
+    return found.orderBy("class", "filename", "path")
+
+
+# Columns of a feature file that are no features.
+FEATURE_METADATA = ("path", "class", "filename", "original_path")
+
+
+def load_final_feature_set(spark: SparkSession, first: str, second: str, manifest: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """The feature table at ``first``, or at ``second`` if there is none, and its numeric features, of which there must be one.
+
+    A row count other than the manifest's is a warning.
+    """
+    read = lambda p: stored(spark, p, kind="csv", header="true", inferSchema="true") if p.endswith(".csv") else stored(spark, p)
+    features = read(first)
+    features = read(second) if features is None else features
+    if features is None:
+        raise FileNotFoundError(f"no feature set at {first} or {second}")
+    require_columns(features, ("path", "class"))
+    if manifest is not None:
+        have, want = features.count(), manifest.count()
+        if have != want:
+            warnings.warn(f"{have} rows of features for {want} of the manifest", stacklevel=2)
+    names = numeric_columns(features, FEATURE_METADATA)
+    if not names:
+        raise ValueError("no numeric feature")
+    return features, names
+
+
 def missing_paths(manifest: DataFrame, listing: DataFrame) -> DataFrame:
     return manifest.join(listing.select("path"), "path", "left_anti").select("path")
 
@@ -134,6 +172,21 @@ def select_unit(df: DataFrame, **filters) -> DataFrame:
     return df
 
 
+def natural_manifest(spark: SparkSession, root: str, stage_id: int, repeat_id: int = 0, fold_id: int = 0, subset: str = "train") -> DataFrame:
+    """One unit's subset before balancing: its own folder if the subsets were exported, else the rows of the assignment table."""
+    own = stored(spark, subset_path(f"{root}/subsets", stage_id, repeat_id, fold_id, subset))
+    if own is not None:
+        return own
+    assigned = stored(spark, f"{root}/assignments")
+    if assigned is None:
+        raise FileNotFoundError(f"neither subsets nor assignments below {root}")
+    return select_unit(assigned, stage_id=stage_id, repeat_id=repeat_id, fold_id=fold_id, subset=subset).drop("stage_id", "repeat_id", "fold_id", "subset")
+
+
+def subset_path(root: str, stage_id, repeat_id, fold_id, subset: str) -> str:
+    return f"{root}/stage_id={stage_id}/repeat_id={repeat_id}/fold_id={fold_id}/subset={subset}"
+
+
 def union_all(spark: SparkSession, frames: Sequence[DataFrame], schema: T.StructType) -> DataFrame:
     """Union of per-stage frames by name; no frames give an empty one."""
     out = spark.createDataFrame([], schema)
@@ -169,13 +222,7 @@ def prune_results(done: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
 def extract_incrementally(manifest: DataFrame, results_path: str, key: str, job, force: bool = False) -> DataFrame:
     """Run ``job`` on the missing keys only, append, and check that every manifest key has a result."""
     spark = manifest.sparkSession
-    done = None
-    if not force:
-        try:
-            done = spark.read.parquet(results_path)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
+    done = None if force else stored(spark, results_path)
     todo = manifest if done is None else pending(manifest, done, key)
     job(todo).write.mode("overwrite" if done is None else "append").parquet(results_path)
     result = prune_results(spark.read.parquet(results_path), manifest, key)

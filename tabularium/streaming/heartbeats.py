@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabularium.functions import scalars as S
 from tabularium.operators.tables import fold_heartbeats
+from tabularium.sources.files import stored
 
 
 def current_state(beats: DataFrame, overwrite: Sequence[str], sticky: Sequence[str]) -> DataFrame:
@@ -75,12 +76,9 @@ def mark_once(out: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         first = batch.groupBy("task_id").agg(F.min(F.struct("last_seen_at", "stale_marked_at")).alias("_m"))
         first = first.select("task_id", "_m.last_seen_at", "_m.stale_marked_at")
-        try:
-            known = batch.sparkSession.read.parquet(out).where(F.col("batch_id") < batch_id).select("task_id")
-            first = first.join(known, "task_id", "left_anti")
-        except Exception as error:  # nothing marked so far
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
+        known = stored(batch.sparkSession, out)
+        if known is not None:
+            first = first.join(known.where(F.col("batch_id") < batch_id).select("task_id"), "task_id", "left_anti")
         first.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return write
