@@ -72,9 +72,7 @@ FROM v JOIN c USING (label)
 """)
 def plain_mahalanobis(t):
     """Over two sums, of the odd and of the even dimensions, so that SQL can invert the covariance."""
-    total = lambda odd: F.aggregate(F.filter("x", lambda v, i: i % 2 == odd), F.lit(0.0), lambda a, v: a + v)
-    rows = vectors(t).withColumn("x", F.array(total(0), total(1)))
-    return outliers.mahalanobis(rows, "label", "x", 2, "distance").select("vec_id", "label", F.round("distance", 6).alias("distance"))
+    return outliers.mahalanobis(two_sums(t), "label", "x", 2, "distance").select("vec_id", "label", F.round("distance", 6).alias("distance"))
 
 
 @query("robust_mahalanobis", "M5")
@@ -117,6 +115,63 @@ def reconstruction_errors(t):
     return outliers.pca_reconstruction(vectors(t), "label", "x", 64).drop("x")
 
 
+TWO = """
+WITH v AS (SELECT vec_id, label, list_sum(CAST(embedding[1:64:2] AS DOUBLE[])) AS x, list_sum(CAST(embedding[2:64:2] AS DOUBLE[])) AS y FROM embeddings)
+"""
+
+
+def two_sums(t):
+    total = lambda odd: F.aggregate(F.filter("x", lambda v, i: i % 2 == odd), F.lit(0.0), lambda a, v: a + v)
+    return vectors(t).withColumn("x", F.array(total(0), total(1)))
+
+
+@query("two_feature_reconstruction", "M8", TWO + """
+, c AS (SELECT label, avg(x) AS mx, avg(y) AS my, 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS a FROM v GROUP BY 1),
+e AS (SELECT vec_id, label, pow(cos(a) * (y - my) - sin(a) * (x - mx), 2) / 2 AS e FROM v JOIN c USING (label))
+SELECT vec_id, label, round(e, 6) AS error, e >= quantile_cont(e, 0.95::DOUBLE) OVER (PARTITION BY label) AS flagged FROM e
+""")
+def two_feature_reconstruction(t):
+    """With two features the component that is dropped is the minor axis, whose angle SQL can say."""
+    rows = outliers.pca_reconstruction(two_sums(t), "label", "x", 2)
+    return rows.select("vec_id", "label", F.round("pca_reconstruction_error", 6).alias("error"), F.col("flag_pca_reconstruction").alias("flagged"))
+
+
+@query("two_feature_loadings", "M3", """
+WITH r AS (SELECT abs(corr(l_quantity, l_tax)) AS r FROM lineitem), f AS (SELECT unnest(['l_quantity', 'l_tax']) AS feature)
+SELECT feature, 1 AS component, round(sqrt(0.5), 6) AS loading, round((1 + r) / 2, 6) AS explained, round((1 + r) / 2, 6) AS cumulative FROM f, r
+UNION ALL SELECT feature, 2, round(sqrt(0.5), 6), round((1 - r) / 2, 6), 1.0 FROM f, r
+""")
+def two_feature_loadings(t):
+    """Loadings (by size), explained and cumulative shares of two residual features."""
+    _, loadings = matrix.hybrid_pca(t.lineitem, ["l_orderkey"], ["l_discount"], ["l_quantity", "l_tax"], 2)
+    return loadings.select("feature", "component", F.round(F.abs("loading"), 6).alias("loading"), F.round("explained", 6).alias("explained"), F.round("cumulative", 6).alias("cumulative"))
+
+
+@query("two_class_discriminant", "M4", """
+WITH z AS (SELECT l_orderkey, l_linenumber, l_linestatus AS c, (l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER () AS x, (l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_pop(l_extendedprice) OVER () AS y FROM lineitem),
+g AS (SELECT c, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy FROM z GROUP BY 1),
+s AS (SELECT sum(n * xx) / sum(n) AS xx, sum(n * yy) / sum(n) AS yy, sum(n * xy) / sum(n) AS xy, max(mx) FILTER (WHERE c = 'F') - max(mx) FILTER (WHERE c = 'O') AS dx, max(my) FILTER (WHERE c = 'F') - max(my) FILTER (WHERE c = 'O') AS dy FROM g),
+w AS (SELECT (yy * dx - xy * dy) AS a, (xx * dy - xy * dx) AS b, xx, yy, xy FROM s),
+u AS (SELECT a / sqrt(a * a * xx + 2 * a * b * xy + b * b * yy) AS a, b / sqrt(a * a * xx + 2 * a * b * xy + b * b * yy) AS b FROM w)
+SELECT l_orderkey, l_linenumber, round(abs(a * x + b * y), 3) AS ld1_size, count(*) AS n_equal FROM z, u GROUP BY ALL
+""")
+def two_class_discriminant(t):
+    """With two classes the axis is the difference of means over the within-class scatter (up to sign)."""
+    keys = ["l_orderkey", "l_linenumber"]
+    plane = matrix.discriminant_plane(t.lineitem, keys, "l_linestatus", ["l_quantity", "l_extendedprice"], 1)
+    return plane.groupBy(*keys, F.round(F.abs("ld1"), 3).alias("ld1_size")).agg(F.count("*").alias("n_equal"))
+
+
+@query("isolation_flag_counts", "M7 X4", """
+SELECT label, count(*) AS n_rows, true AS in_range, count(*) - CAST(ceil(0.95 * (count(*) - 1)) AS BIGINT) AS n_flagged FROM embeddings GROUP BY label
+""")
+def isolation_flag_counts(t):
+    """Scores lie between 0 and 1, and those at or above the 95 % quantile of their class are flagged."""
+    s = F.col("isolation_forest_score")
+    rows = outliers.isolation_forest(vectors(t), "vec_id", "label", "x")
+    return rows.groupBy("label").agg(F.count("*").alias("n_rows"), F.bool_and((s > 0) & (s < 1)).alias("in_range"), F.count_if("flag_isolation_forest").alias("n_flagged"))
+
+
 @query("quantile_flags", "M10", """
 SELECT event_id, event_type, value >= quantile_cont(value, 0.95) OVER (PARTITION BY event_type) AS flagged FROM events
 """)

@@ -129,6 +129,23 @@ def vif_pruning(t):
     return stats.prune_by_vif(rows, rows.columns)
 
 
+@query("three_feature_pruning", "A11", """
+WITH g AS (SELECT sum(x * x) AS xx, sum(y * y) AS yy, sum(z * z) AS zz, sum(x * y) AS xy, sum(x * z) AS xz, sum(y * z) AS yz
+           FROM (SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_tax AS DOUBLE) AS z FROM lineitem)),
+v AS (SELECT 'l_quantity' AS feature, 1 / (1 - (xy * xy * zz - 2 * xy * xz * yz + xz * xz * yy) / (yy * zz - yz * yz) / xx) AS vif FROM g
+ UNION ALL SELECT 'l_extendedprice', 1 / (1 - (xy * xy * zz - 2 * xy * yz * xz + yz * yz * xx) / (xx * zz - xz * xz) / yy) FROM g
+ UNION ALL SELECT 'l_tax', 1 / (1 - (xz * xz * yy - 2 * xz * yz * xy + yz * yz * xx) / (xx * yy - xy * xy) / zz) FROM g),
+worst AS (SELECT * FROM v ORDER BY vif DESC LIMIT 1),
+pair AS (SELECT v.feature, CASE (SELECT feature FROM worst) WHEN 'l_quantity' THEN 1 / (1 - yz * yz / (yy * zz)) WHEN 'l_extendedprice' THEN 1 / (1 - xz * xz / (xx * zz)) ELSE 1 / (1 - xy * xy / (xx * yy)) END AS vif
+         FROM v, g WHERE v.feature <> (SELECT feature FROM worst))
+SELECT feature, 1 AS removed_at, round(vif, 6) AS vif, false AS kept FROM worst UNION ALL SELECT feature, NULL, round(vif, 6), true FROM pair
+""")
+def three_feature_pruning(t):
+    """Of three features the worst goes, and two stay, whatever their factor; SQL says the normal equations of two regressors."""
+    rows = t.lineitem.select(*[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_extendedprice", "l_tax")])
+    return stats.prune_by_vif(rows, rows.columns, threshold=1.0, min_features=2).withColumn("vif", F.round("vif", 6))
+
+
 ANOVA_SQL = union_features("""
 SELECT '{f}' AS feature, round((sum(n * (m - g) * (m - g)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))), 6) AS f_value FROM (
   SELECT *, sum(n * m) OVER () / sum(n) OVER () AS g FROM (

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabularium.functions.tails import chi2_quantile
+from tabularium.operators.arrow import rows_of
 from tabularium.operators.matrix import fit_models, moments, score, whitening
 from tabularium.operators.robust import CLASS_BYTES, robust_models
 from tabularium.operators.skew import grouped_quantiles, match, small_table, take_smallest
@@ -112,89 +113,91 @@ def _grow(data: np.ndarray, rng: np.random.Generator) -> list[tuple]:
     return [tuple(n) for n in nodes]
 
 
+FOREST = "roots array<int>, feature array<int>, cut array<double>, lo array<int>, hi array<int>, depth array<double>"
+SLICE_ROWS = 50_000  # rows that meet a forest in one call
+
+
+def flattened(trees: list[list[tuple]]) -> dict[str, list]:
+    """Trees end to end as arrays; children are places in the arrays."""
+    out: dict[str, list] = {k: [] for k in ("roots", "feature", "cut", "lo", "hi", "depth")}
+    for nodes in trees:
+        base = len(out["feature"])
+        out["roots"].append(base)
+        for feature, cut, lo, hi, depth in nodes:
+            for k, v in zip(("feature", "cut", "lo", "hi", "depth"), (feature, cut, base + lo, base + hi, depth), strict=True):
+                out[k].append(v)
+    return out
+
+
+def path_lengths(data: np.ndarray, forest: dict[str, np.ndarray]) -> np.ndarray:
+    """Sum over the trees of each row's path length."""
+    total = np.zeros(len(data))
+    for root in forest["roots"]:
+        at = np.full(len(data), root)
+        live = np.flatnonzero(forest["feature"][at] >= 0)
+        while len(live):
+            node = at[live]
+            goes = data[live, forest["feature"][node]] <= forest["cut"][node]
+            at[live] = np.where(goes, forest["lo"][node], forest["hi"][node])
+            live = live[forest["feature"][at[live]] >= 0]
+        total += forest["depth"][at]
+    return total
+
+
 def isolation_forest(
     df: DataFrame, key: str, cls: str, x: str, trees: int = 200, subsample: int = 256, contamination: float = 0.05,
-    min_rows: int = 10, seed: int = 42, groves: int = 8, classes_per_pass: int = 8,
+    min_rows: int = 10, seed: int = 42, groves: int = 8, slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """(…, isolation_forest_score, flag): larger is more isolated; classes below ``min_rows`` score 0.
 
-    Trees are grown in parallel and draw from a pool of ``trees * subsample`` hashed rows per class. Rows
-    meet the forests of ``classes_per_pass`` classes at a time through a broadcast of known size.
+    Trees are grown in parallel and draw from a pool of ``trees * subsample`` hashed rows per class. A grove is one row of arrays. Rows
+    go by class and slice of their key to the class's groves, so that a class of any size is met in calls of bounded size, all classes in
+    one scan, and no forest passes the driver. Vectors with missing or infinite components score null.
     """
-    sizes, _ = small_table(df.groupBy(cls).agg(F.count("*").alias("_n")))
+    p = len((df.select(x).where(F.col(x).isNotNull()).first() or [[]])[0])
+    sizes = df.groupBy(cls).agg(F.count("*").alias("_n"))
+    sizes, _ = small_table(sizes)
     pool_rows = trees * subsample
     hashed = F.md5(F.concat_ws("|", F.lit(f"forest{seed}"), F.col(key).cast("string")))
-    pool = take_smallest(df, [cls], sizes.withColumn("_want", F.lit(pool_rows)), "_want", hashed, [F.col(key)])
+    whole = df.where((F.size(x) == p) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
+    pool = take_smallest(whole, [cls], sizes.where(F.col("_n") >= min_rows).withColumn("_want", F.lit(pool_rows)), "_want", hashed, [F.col(key)])
     pool = pool.select(cls, x, hashed.alias("_order"), F.explode(F.sequence(F.lit(0), F.lit(groves - 1))).alias("_grove"))
-    kind = df.schema[cls].dataType.simpleString()
+    kind, names = df.schema[cls].dataType.simpleString(), df.columns
 
-    def plant(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_order")
-        data, grove, name = np.stack(part[x].to_numpy()), int(part["_grove"].iloc[0]), part[cls].iloc[0]
+    def plant(part: pa.Table) -> pa.Table:
+        part = part.sort_by("_order")
+        data, grove, name = rows_of(part, x, p), part.column("_grove")[0].as_py(), part.column(cls)[0].as_py()
         take = min(subsample, len(data))
-        out = []
+        grown = []
         for tree in range(grove, trees, groves):
             digest = hashlib.md5(f"{seed}|{name}|{tree}".encode()).digest()
             rng = np.random.default_rng(int.from_bytes(digest[:8], "big"))
-            rows = rng.choice(len(data), take, replace=False)
-            for i, node in enumerate(_grow(data[rows], rng)):
-                out.append((name, tree, i, *node))
-        return pd.DataFrame(out, columns=[cls, "tree", "node", "feature", "cut", "lo", "hi", "depth"])
-
-    forest = cut_lineage(pool.groupBy(cls, "_grove").applyInPandas(
-        plant, f"`{cls}` {kind}, tree INT, node INT, feature INT, cut DOUBLE, lo INT, hi INT, depth DOUBLE"
-    ))
-    scores = []
-    spark = df.sparkSession
-    numbered = sizes.where(F.col("_n") >= min_rows).select(cls).orderBy(cls)
-    batch: list = []
-
-    def run(names: list) -> None:
-        wanted = F.broadcast(spark.createDataFrame([(n,) for n in names], f"`{cls}` {kind}"))
-        planted = match(forest, wanted, [cls]).toPandas()
-        grown = {}
-        for name, group in planted.groupby(cls, dropna=False):
-            grown[None if pd.isna(name) else name] = [
-                tuple(t.sort_values("node")[c].to_numpy() for c in ("feature", "cut", "lo", "hi", "depth"))
-                for _, t in group.groupby("tree")
-            ]
-        shared = spark.sparkContext.broadcast(grown)
-
-        def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for rows in batches:
-                value = np.zeros(len(rows))
-                for name, part in rows.reset_index(drop=True).groupby(cls, dropna=False):
-                    name = None if pd.isna(name) else name
-                    data = np.stack(part[x].to_numpy())
-                    depth = np.zeros(len(data))
-                    for feature, cut, lo, hi, length in shared.value[name]:
-                        at = np.zeros(len(data), dtype=int)
-                        while True:
-                            live = feature[at] >= 0
-                            if not live.any():
-                                break
-                            f = feature[at[live]]
-                            goes = data[live, f] <= cut[at[live]]
-                            at[live] = np.where(goes, lo[at[live]], hi[at[live]])
-                        depth += length[at]
-                    scale = float(average_path(min(subsample, int(part["_n"].iloc[0]))))
-                    value[part.index] = 2.0 ** (-(depth / trees) / scale)
-                yield rows.drop(columns=["_n"]).assign(isolation_forest_score=value)
-
-        rows = match(match(df, sizes, [cls]), wanted, [cls])
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-        scores.append(rows.mapInPandas(walk, f"{schema}, isolation_forest_score DOUBLE"))
-
-    for row in numbered.toLocalIterator():
-        batch.append(row[0])
-        if len(batch) == classes_per_pass:
-            run(batch)
-            batch = []
-    if batch:
-        run(batch)
-    tiny = match(df, sizes, [cls]).where(F.col("_n") < min_rows).drop("_n").withColumn("isolation_forest_score", F.lit(0.0))
-    both = reduce(DataFrame.unionByName, [*scores, tiny.select(*df.columns, "isolation_forest_score")])
-    return quantile_flag(both, cls, "isolation_forest_score", 1 - contamination, "flag_isolation_forest", min_rows)
+            grown.append(_grow(data[rng.choice(len(data), take, replace=False)], rng))
+        flat = flattened(grown)
+        arrays = [pa.array([flat[k]], pa.list_(pa.float64() if k in ("cut", "depth") else pa.int32())) for k in flat]
+        return pa.Table.from_arrays([part.column(cls)[:1], part.column("_grove")[:1], *arrays], [cls, "_grove", *flat])
+
+    forest = cut_lineage(pool.groupBy(cls, "_grove").applyInArrow(plant, f"`{cls}` {kind}, _grove int, {FOREST}"))
+    parts = F.ceil(F.col("_n") / slice_rows).cast("int")
+    met = match(df, sizes.select(cls, "_n", parts.alias("_slices")), [cls]).withColumn("_slice", F.pmod(F.xxhash64(F.col(key)), F.col("_slices")).cast("int"))
+    everywhere = match(forest, sizes.select(cls, parts.alias("_slices")), [cls]).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
+
+    def walk(rows: pa.Table, groves: pa.Table) -> pa.Table:
+        data = rows_of(rows, x, p)
+        good = np.isfinite(data).all(1)
+        depth = np.zeros(len(data))
+        for i in range(groves.num_rows):
+            arrays = {k: groves.column(k)[i].values.to_numpy(zero_copy_only=False) for k in ("roots", "feature", "cut", "lo", "hi", "depth")}
+            depth[good] += path_lengths(data[good], arrays)
+        value = np.zeros(len(data))
+        if groves.num_rows:
+            scale = float(average_path(min(subsample, rows.column("_n")[0].as_py())))
+            value = np.where(good, 2.0 ** (-(depth / trees) / scale), np.nan)
+        return rows.select(names).append_column("isolation_forest_score", pa.array(value, mask=np.isnan(value)))
+
+    schema = T.StructType([*df.schema.fields, T.StructField("isolation_forest_score", T.DoubleType())])
+    scored = met.groupBy(cls, "_slice").cogroup(everywhere.groupBy(cls, "_slice")).applyInArrow(walk, schema)
+    return quantile_flag(scored, cls, "isolation_forest_score", 1 - contamination, "flag_isolation_forest", min_rows)
 
 
 def consensus(df: DataFrame, flags: Sequence[str] = FLAGS) -> DataFrame:

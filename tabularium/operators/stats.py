@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from tabularium.functions.scalars import finite
 from tabularium.functions.tails import digamma, f_tail_udf
+from tabularium.operators import radix
 from tabularium.operators.binned import bin_edges, class_sums
 from tabularium.operators.skew import grouped_quantiles, match, small_table, value_ranks
 
@@ -134,17 +135,37 @@ def outlier_summary(df: DataFrame, cls: str, feats: Sequence[str], multiplier: f
 
 
 def correlations(df: DataFrame, feats: Sequence[str]) -> DataFrame:
-    """Pearson matrix in long form over pairs of finite values, one pass over the table."""
-    df = finite_only(df, feats)
-    pairs = list(combinations(feats, 2))
-    row = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)],
-                 *[F.when(F.stddev_samp(f) > 0, 1.0).alias(f"d{i}") for i, f in enumerate(feats)])
-    cells = [(a, b, F.col(f"c{i}")) for i, (a, b) in enumerate(pairs)]
-    cells += [(b, a, c) for a, b, c in cells]
-    cells += [(f, f, F.col(f"d{i}")) for i, f in enumerate(feats)]
-    return row.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), c.alias("r")) for a, b, c in cells
-    ])))
+    """Pearson matrix in long form over pairs of finite values, one pass over the table.
+
+    A task sends five p x p matrices of sums (of a pair's rows, values, squares and products), whatever its rows; they are added by position.
+    """
+    feats, p = list(feats), len(feats)
+    wide = df.select(*[F.col(f).cast("double").alias(f) for f in feats])
+    few = wide.limit(64).toArrow()
+    centre = np.array([x[np.isfinite(x)].mean() if np.isfinite(x).any() else 0.0 for x in (radix.numbers(few, f) for f in feats)])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, p, p))
+        for table in radix.chunks(batches):
+            x = np.stack([radix.numbers(table, f) for f in feats], 1) - centre
+            good = np.isfinite(x)
+            x, there = np.where(good, x, 0.0), good.astype(float)
+            total += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["m"])
+
+    places = wide.mapInArrow(partial, "m array<double>").select(F.posexplode("m").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v"))
+    name = lambda at: F.element_at(F.array(*[F.lit(f) for f in feats]), at.cast("int") + 1)
+    i, j, kind = F.col("pos") % (p * p) / p, F.col("pos") % p, F.col("pos") / (p * p)
+    cells = places.select(F.floor(i).cast("int").alias("i"), j.cast("int").alias("j"), F.floor(kind).cast("int").alias("kind"), "v")
+    other = cells.where("kind IN (1, 2)").select(F.col("j").alias("i"), F.col("i").alias("j"), (F.col("kind") + 3).alias("kind"), "v")
+    at = {k: F.sum(F.when(F.col("kind") == k, F.col("v"))) for k in range(6)}
+    n, sx, qx, xy, sy, qy = (at[k].alias(a) for k, a in zip(range(6), ("n", "sx", "qx", "xy", "sy", "qy"), strict=True))
+    pairs = cells.unionByName(other).groupBy("i", "j").agg(n, sx, qx, xy, sy, qy)
+    spread = lambda q, s: F.col(q) - F.col(s) * F.col(s) / F.col("n")
+    vx, vy, floor = spread("qx", "sx"), spread("qy", "sy"), F.lit(1e-13)
+    varies = (F.col("n") > 1) & (vx > floor * F.col("qx")) & (vy > floor * F.col("qy"))
+    r = F.when(F.col("i") == F.col("j"), 1.0).otherwise((F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(vx * vy))
+    return pairs.select(name(F.col("i")).alias("feature_a"), name(F.col("j")).alias("feature_b"), F.when(varies, r).alias("r"))
 
 
 def _square(long: DataFrame, feats: Sequence[str], value: str) -> np.ndarray:
@@ -358,10 +379,10 @@ def centroid_proximity(df: DataFrame, cls: str, feats: Sequence[str]) -> DataFra
         F.coalesce((F.col(f) - F.avg(f).over(every)) / F.nullif(F.stddev_pop(f).over(every), F.lit(0.0)), F.lit(0.0)).alias(f)
         for f in feats
     ])
-    z, _ = small_table(z)
+    z, small = small_table(z)
     other = z.select(F.col(cls).alias("other"), *[F.col(f).alias(f"o_{f}") for f in feats])
     square = reduce(lambda a, b: a + b, [(F.col(f) - F.col(f"o_{f}")) ** 2 for f in feats])
-    return z.join(F.broadcast(other), F.col(cls) < F.col("other")).select(cls, "other", F.sqrt(square).alias("distance"))
+    return z.join(F.broadcast(other) if small else other, F.col(cls) < F.col("other")).select(cls, "other", F.sqrt(square).alias("distance"))
 
 
 def calinski_harabasz(df: DataFrame, cls: str, feats: Sequence[str]) -> DataFrame:

@@ -208,3 +208,52 @@ def test_squares_add_up(spark):
     for r in errors:
         values = np.linalg.eigvalsh(np.cov(np.array([x[2] for x in rows if x[1] == r.cls]).T, bias=True))
         assert r.e == pytest.approx(values[: 5 - math.ceil(0.7 * 5)].sum() / 5)
+
+
+def walked_depth(nodes, row):
+    at = 0
+    while nodes[at][0] >= 0:
+        at = nodes[at][2] if row[nodes[at][0]] <= nodes[at][1] else nodes[at][3]
+    return nodes[at][4]
+
+
+def test_flattened_forests_walk_like_their_trees():
+    rng = np.random.default_rng(1)
+    data = rng.normal(size=(300, 3))
+    data[5] = data[6]
+    trees = [outliers._grow(data[rng.choice(300, 64, replace=False)], rng) for _ in range(12)]
+    flat = {k: np.array(v) for k, v in outliers.flattened(trees).items()}
+    want = [sum(walked_depth(t, row) for t in trees) for row in data]
+    np.testing.assert_allclose(outliers.path_lengths(data, flat), want)
+
+
+@pytest.mark.parametrize("slice_rows", [50_000, 37])
+def test_isolation_of_a_hot_class_in_slices(spark, slice_rows):
+    """One class holds most rows; scores do not depend on slices, and odd vectors have none."""
+    rng = np.random.default_rng(2)
+    rows = [(i, None if i % 9 == 0 else "big" if i % 9 else "x", (rng.normal(size=3) + (30 if i == 100 else 0)).tolist()) for i in range(600)]
+    rows += [(1000 + i, "tiny", [0.0, 1.0, float(i)]) for i in range(4)] + [(2000, "big", None), (2001, "big", [math.inf, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "k long, cls string, x array<double>").repartition(5)
+    got = {r.k: r for r in outliers.isolation_forest(df, "k", "cls", "x", trees=40, subsample=64, slice_rows=slice_rows).collect()}
+    assert len(got) == len(rows) and got[2000].isolation_forest_score is None and got[2001].isolation_forest_score is None
+    assert all(got[1000 + i].isolation_forest_score == 0.0 and not got[1000 + i].flag_isolation_forest for i in range(4))
+    scores = {k: r.isolation_forest_score for k, r in got.items() if k < 1000}
+    assert max((k for k in scores if got[k].cls == "big"), key=scores.get) == 100 and got[100].flag_isolation_forest
+    assert all(0 < s < 1 for s in scores.values())
+    known = test_isolation_of_a_hot_class_in_slices.__dict__.setdefault("scores", scores)
+    assert known == scores
+
+
+def test_correlations_with_holes(spark):
+    rng = np.random.default_rng(3)
+    df = pd.DataFrame(rng.normal(size=(500, 4)) + 1e6, columns=list("abcd"))
+    df["b"] = df["a"] * 2 + rng.normal(size=500)
+    df["e"] = 3.0
+    df.loc[::7, "c"] = np.nan
+    df.loc[::11, "d"] = np.inf
+    got = {(r.feature_a, r.feature_b): r.r for r in stats.correlations(spark.createDataFrame(df).repartition(4), list("abcde")).collect()}
+    want = df.replace(np.inf, np.nan).corr()
+    for a in "abcd":
+        for b in "abcd":
+            assert got[a, b] == pytest.approx(want.loc[a, b], abs=1e-9)
+    assert len(got) == 25 and got["e", "e"] is None and got["a", "e"] is None
