@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabularium.operators.skew import join_unique, small_table
@@ -107,11 +108,73 @@ def near_pairs(
     )
 
 
-def mark_near(df: DataFrame, key: str, bits: str, order: Sequence[str], threshold: int, blocks: int | None = None) -> DataFrame:
+FEW_EDGES = 2_000_000  # undecided pairs that one task settles in order
+ROUNDS = 3  # rounds of local minima before their progress is looked at
+
+
+def _in_order(edges: DataFrame) -> DataFrame:
+    """Ends that are dropped, by walking pairs in the order of their late end; a partition holds whole components and only what it has dropped."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone: set[int] = set()
+        for batch in batches:
+            out = []
+            for early, late in zip(batch.column("early").to_pylist(), batch.column("late").to_pylist(), strict=True):
+                if early not in gone and late not in gone:
+                    gone.add(late)
+                    out.append(late)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["late"])
+
+    return edges.sortWithinPartitions("late_pos", "late").select("early", "late").mapInArrow(walk, "late long")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the least node of the part that pairs (early, late) connect, by least labels and shortcuts, which double their reach."""
+    both = edges.select(F.col("early").alias("node"), F.col("late").alias("other")).unionByName(edges.select(F.col("late").alias("node"), F.col("early").alias("other")))
+    both = cut_lineage(both.distinct())
+    labels = cut_lineage(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component")))
+    while True:
+        near = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
+        step = labels.join(near, "node").select("node", F.least("component", "near").alias("now"), F.col("component").alias("was"))
+        jump = labels.select(F.col("node").alias("now"), F.col("component").alias("then"))
+        after = cut_lineage(step.join(jump, "now").select("node", F.least("now", "then").alias("component"), "was"))
+        labels = after.drop("was")
+        if not after.where("component <> was").limit(1).count():
+            return labels
+
+
+def dropped(edges: DataFrame, few: int = FEW_EDGES, rounds: int = ROUNDS) -> DataFrame:
+    """Late ends of pairs (early, late, late_pos) whose early end, or another's, is retained: the first-in-order independent set's complement.
+
+    While there are more than ``few`` undecided pairs, rounds settle all local minima at once: an early end that is late in no
+    undecided pair is retained, and what it touches is dropped. Where that does not bring them down, components of few pairs are
+    settled in order inside tasks, and only larger ones go on. What is left when few pairs are undecided is settled in one task.
+    """
+    parts, n = [], edges.count()
+    while n > few:
+        before = n
+        for _ in range(rounds):
+            kept = edges.join(edges.select(F.col("late").alias("early")).distinct(), "early", "left_anti")
+            gone = cut_lineage(kept.select("late").distinct())
+            parts.append(gone)
+            edges = cut_lineage(edges.join(gone, "late", "left_anti").join(gone.withColumnRenamed("late", "early"), "early", "left_anti"))
+        n = edges.count()
+        if few < n and 2 * n > before:
+            placed = edges.join(components(edges).withColumnRenamed("node", "early"), "early")
+            sizes = placed.groupBy("component").agg(F.count("*").alias("_n"))
+            large = cut_lineage(sizes.where(F.col("_n") > few).select("component"))
+            parts.append(cut_lineage(_in_order(placed.join(large, "component", "left_anti").repartition("component"))))
+            edges = cut_lineage(placed.join(large, "component", "left_semi").drop("component"))
+            n = edges.count()
+    if n:
+        parts.append(cut_lineage(_in_order(edges.coalesce(1))))
+    return reduce(DataFrame.unionByName, parts) if parts else edges.select("late")
+
+
+def mark_near(df: DataFrame, key: str, bits: str, order: Sequence[str], threshold: int, blocks: int | None = None, few: int = FEW_EDGES) -> DataFrame:
     """Greedy near-duplicate marking: a row duplicates the first earlier *retained* row within the threshold.
 
-    Rows of one hash behave alike, so pairs are sought between distinct hashes only. Rounds repeat
-    until nothing is undecided; the earliest undecided hash is always settled, so they end.
+    Rows of one hash behave alike, so pairs are sought between distinct hashes only.
     """
     position = F.struct(*[F.col(c) for c in order], F.col(key))
     heads = cut_lineage(
@@ -119,35 +182,19 @@ def mark_near(df: DataFrame, key: str, bits: str, order: Sequence[str], threshol
     )
     pairs = near_pairs(heads, bits, bits, threshold, blocks)
     pos = heads.select(F.col(bits).alias("_h"), F.col("_pos"))
-    ordered = (
+    first = F.col("_pa") < F.col("_pb")
+    edges = cut_lineage(
         pairs.join(pos.select(F.col("_h").alias("a"), F.col("_pos").alias("_pa")), "a")
         .join(pos.select(F.col("_h").alias("b"), F.col("_pos").alias("_pb")), "b")
         .select(
-            F.when(F.col("_pa") < F.col("_pb"), F.col("a")).otherwise(F.col("b")).alias("early"),
-            F.least("_pa", "_pb").alias("early_pos"),
-            F.when(F.col("_pa") < F.col("_pb"), F.col("b")).otherwise(F.col("a")).alias("late"),
+            F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.least("_pa", "_pb").alias("early_pos"),
+            F.when(first, F.col("b")).otherwise(F.col("a")).alias("late"), F.greatest("_pa", "_pb").alias("late_pos"),
         )
     )
-    edges = cut_lineage(ordered)
-    undecided = edges
-    rounds = []
-    while undecided.limit(1).count():
-        # an early end that is late in no undecided pair is retained; what it touches is a duplicate
-        late = undecided.select(F.col("late").alias("early")).distinct()
-        kept = undecided.join(late, "early", "left_anti")
-        gone = cut_lineage(kept.select("late").distinct())
-        rounds.append(gone)
-        undecided = cut_lineage(
-            undecided.join(gone, "late", "left_anti").join(gone.withColumnRenamed("late", "early"), "early", "left_anti")
-        )
-    heads = heads.withColumn("_own", F.col("_pos")[key])
-    if not rounds:
-        heads = heads.withColumn("_rep", F.col("_own"))
-    else:
-        gone = reduce(DataFrame.unionByName, rounds)
-        retained = edges.join(gone.withColumnRenamed("late", "early"), "early", "left_anti")
-        by = retained.groupBy(F.col("late").alias(bits)).agg(F.min("early_pos")[key].alias("_target"))
-        heads = heads.join(by, bits, "left").withColumn("_rep", F.coalesce("_target", "_own"))
+    gone = dropped(edges.select("early", "late", "late_pos"), few)
+    retained = edges.join(gone.withColumnRenamed("late", "early"), "early", "left_anti")
+    by = retained.groupBy(F.col("late").alias(bits)).agg(F.min("early_pos")[key].alias("_target"))
+    heads = heads.join(by, bits, "left").withColumn("_rep", F.coalesce("_target", F.col("_pos")[key]))
     marked = join_unique(df, heads.select(bits, "_rep", "_copies"), [bits], "_copies")
     return (
         marked.withColumn("is_duplicate", F.col(key) != F.col("_rep"))
