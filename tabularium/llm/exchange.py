@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabularium.llm.common import mix, parts
+from tabularium.llm.common import mix, parts, release
 
 U = np.uint64
 ONE = U(1)
@@ -43,7 +43,8 @@ def packed(block: int, keys: np.ndarray, ids: np.ndarray | None, n: int) -> pa.T
 
 
 def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Keys, the row that each came from, and their ids."""
+    """Keys, the row that each came from, and their ids. Opens work on a bucket, so freed memory is given back first."""
+    release()
     raw = table.column("keys").to_pylist()
     keys = np.frombuffer(b"".join(raw), U)
     owner = np.repeat(np.arange(len(raw)), [len(r) // 8 for r in raw])
