@@ -31,6 +31,11 @@ from tabularium.llm.units import Memo, UnitEncoder
 _OTHER = regex.compile(r"[^\x00-\u024F]")  # beyond these, libraries may class characters by different tables
 
 
+def _is_word(text: str) -> bool:
+    """Latin letters, after a space or not: the pattern leaves them in one piece."""
+    return text[1:].isalpha() and (text[0] == " " or text[0].isalpha()) and max(text) <= "\u024F"
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str, special: bool) -> Callable[[list[str]], list[bytes]]:
     """Ids by the tokenizers library. Texts that hold an added token's string go to it whole. Units of Latin letters are split by its pattern first, so that a word is encoded once
@@ -66,16 +71,13 @@ def _encoder(path: str, special: bool) -> Callable[[list[str]], list[bytes]]:
     if latin.get("type") != "ByteLevel" or latin.get("add_prefix_space") or tokenizer.normalizer is not None:
         return apart(UnitEncoder(by_library))
 
-    def of_pieces(pieces: list[str]) -> list[bytes]:
-        return [array("I", [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(shown))]).tobytes() for p in pieces]
+    def of_piece(piece: str) -> bytes:
+        return array("I", [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(shown))]).tobytes()
 
-    memo = Memo(of_pieces, 120_000)
+    known = Memo(of_piece, 300_000).__getitem__
 
     def encode_all(texts: list[str]) -> list[bytes]:
-        parts = [None if _OTHER.search(t) else split.findall(t) for t in texts]
-        found = memo.filled({p for part in parts if part is not None for p in part})
-        rest = iter(by_library([t for t, part in zip(texts, parts, strict=True) if part is None]))
-        return [next(rest) if part is None else b"".join(map(found.__getitem__, part)) for part in parts]
+        return [of_piece(t) if _is_word(t) else by_library([t])[0] if _OTHER.search(t) else b"".join(map(known, split.findall(t))) for t in texts]
 
     return apart(UnitEncoder(encode_all))
 

@@ -1,17 +1,17 @@
-"""Operator 3, substring dedup: every document is parsed into factors that occur in documents with smaller ids.
+"""Operator 3, substring dedup: windows of every document are looked up in blocks of references, smaller ids first.
 
 Documents are dealt into blocks. Each block's word windows form the reference index, which lives in buckets by hash:
-a bucket knows for every window the smallest document that holds it. A document is then parsed greedily, relative to
-that index: from the first window that an earlier document holds, a factor runs on while windows keep the same reference; at its
-end, windows that reach across the boundary are looked up themselves and may open the next factor. Words under factors (never
-shorter than the window) are duplicate spans.
+a bucket knows for every window the smallest document that holds it. In a document, neighbouring windows that name the same
+smallest document are joined to one factor, and the words under factors (never shorter than the window) are duplicate spans. A factor is not
+extended in its reference: no positions are kept, so its windows need not follow one another there. The removed words are the same.
 
 Most windows occur once, so blocks first exchange anchors: the smallest hash among a window's short word runs, equal in equal
 windows and chosen about once in five words. Only windows whose anchor another block has are sent. Windows, not documents,
 are compared, each block sends a window once, and pairs of documents are never formed.
 
-Windows are compared by a 64-bit hash and an independent bucket number, not by their bytes. Null ids stand after all
-others, equal ids do not remove from each other. Null and empty texts have no words. Other columns stay beside their row.
+Windows are compared by one 63-bit hash, not by their bytes. Null ids stand after all
+others, equal ids do not remove from each other. Null and empty texts have no words; a very long text is one row of its block. Other columns stay
+beside their row.
 """
 
 from __future__ import annotations

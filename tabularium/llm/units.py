@@ -26,56 +26,47 @@ def segments(text: str) -> Iterator[str]:
     yield text[start:] if start else text
 
 
-class Memo:
-    """Values of short strings, the latest asked for: up to ``limit`` of them or ``most`` bytes, twice. Long ones last for one call."""
+class Memo(dict):
+    """Values of short strings, made when they are first asked for: the latest up to ``limit`` of them or ``most`` bytes, twice. Long ones are not kept."""
 
-    def __init__(self, make: Callable[[list[str]], list[bytes]], limit: int, most: int = 8 << 20):
+    def __init__(self, make: Callable[[str], bytes], limit: int, most: int = 24 << 20):
+        super().__init__()
         self.make, self.limit, self.most, self.held = make, limit, most, 0
-        self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.long: list[str] = []
 
-    def filled(self, wanted: set[str]) -> dict[str, bytes]:
-        for k in self.long:
-            self.new.pop(k, None)
-        if len(self.new) > self.limit or self.held > self.most:
-            self.old, self.new, self.held = self.new, {}, 0
-        new, old, missing = self.new, self.old, []
-        for k in wanted.difference(new):
-            if (v := old.get(k)) is None:
-                missing.append(k)
-            else:
-                new[k] = v
-        new.update(zip(missing, self.make(missing), strict=True))
-        self.long = [k for k in missing if len(k) > 48]
-        self.held += sum(len(k) + len(new[k]) for k in missing if len(k) <= 48)
-        return new
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 48:
+            if len(self) >= self.limit or self.held > self.most:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            self[key] = value
+            self.held += len(key) + len(value)
+        return value
 
 
 class UnitEncoder:
-    """``encode_all(list of str) -> list of bytes`` for whole texts, with memos of units."""
+    """``encode_all(list of str) -> list of bytes`` for whole texts, with a memo of units."""
 
-    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], limit: int = 120_000):
+    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], limit: int = 200_000):
         self.encode_all = encode_all
-        self.memo = Memo(lambda units: encode_all([u[1:] if u[:1] == "\0" else " " + u for u in units]), limit)
+        self.first = Memo(lambda unit: encode_all([unit])[0], limit // 8)  # opens a stretch, without a space
+        self.memo = Memo(lambda unit: encode_all([" " + unit])[0], limit)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Encoded bytes of each text."""
-        plan: list[list] = []
-        wanted: set[str] = set()
-        whole: list[str] = []
+        known = self.memo.__getitem__
+        out = []
         for text in texts:
-            steps: list = []
+            steps: list[bytes] = []
             for part in segments(text):
-                if "\0" in part or _CROWDED.search(part):
-                    steps.append(len(whole))
-                    whole.append(part)
+                if _CROWDED.search(part):
+                    steps += self.encode_all([part])
                     continue
                 units = part.split(" ")
-                units[0] = "\0" + units[0]  # opens without a space; told apart from units that follow one
-                wanted.update(units)
-                steps.append(units)
-            plan.append(steps)
-        found = self.memo.filled(wanted)
-        done = self.encode_all(whole)
-        return [b"".join(done[s] if isinstance(s, int) else b"".join(map(found.__getitem__, s)) for s in steps) for steps in plan]
+                steps.append(self.first[units[0]])
+                steps += map(known, units[1:])
+            out.append(b"".join(steps))
+        return out
