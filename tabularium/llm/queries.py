@@ -14,7 +14,7 @@ from tabularium.llm.common import shared_dir
 from tabularium.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op1_secrets": twins.SECRETS, "op3_substrings": twins.SUBSTRINGS, "op7_jaccard": twins.JACCARD, "op10_warc": twins.WARC, "op13_middle": twins.MIDDLE}
+ORACLES: dict[str, str] = {"op1_secrets": twins.SECRETS, "op3_substrings": twins.SUBSTRINGS, "op7_jaccard": twins.JACCARD, "op10_warc": twins.WARC, "op11_turns": twins.TURNS, "op13_middle": twins.MIDDLE}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):

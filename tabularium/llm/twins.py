@@ -59,3 +59,41 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', middle) ELSE concat('<S>', suffix, '<P>', prefix, '<M>', middle) END) AS output_sha256,
   sha256(t) AS restored_sha256 FROM p
 """
+
+# States (n: nothing yet), insertions before a row, and edits of a row: letter, initial it needs, state after, cost.
+_INSERTS = [(q, "I" * n, *x) for q, chain in (("n", "ua"), ("s", "ua"), ("u", "au"), ("a", "ua")) for n, x in ((0, (q, "")), (1, (chain[0], chain[:1])), (2, (chain[1], chain)))]
+_EDITS = [*[(q, "D", "", q, 4) for q in "nsua"], ("n", "K", "s", "s", 0), *[(q, "K", i, i, 0) for q, i in ("nu", "su", "ua", "au")], *[(q, "R", "", i, 3) for q, i in ("nu", "su", "ua", "au")]]
+_BLANKS = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
+_SHOWN = "concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))"
+_NAMED = "CASE {} WHEN 'u' THEN 'user' ELSE 'assistant' END"
+TURNS = f"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce(list_prepend(4294967295, list_transform(string_split({_SHOWN}, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 20 AS f FROM conversations, tab),
+dam AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM raw, range(2) AS copies(c) WHERE f <> 0 AND (c = 0 OR f = 3)),
+num AS (SELECT *, left(role, 1) AS init, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(length(role), ':', role, ':', text))) AS i,
+  rtrim(text, {_BLANKS}) AS solid FROM dam),
+flt AS MATERIALIZED (SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  coalesce(lag(init) OVER (PARTITION BY conv_id ORDER BY i) || init NOT IN ('su', 'ua', 'au'), false) AS wrong FROM num),
+ins(q, letters, q2, added) AS (VALUES {', '.join(str(x) for x in _INSERTS)}), edit(q, op, needs, q3, price) AS (VALUES {', '.join(str(x) for x in _EDITS)}),
+walk(conv_id, i, q, cost, audit, done) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 'n', 0, '', CAST([] AS VARCHAR[]) FROM flt
+  UNION ALL
+  SELECT conv_id, i, q, cost, audit, done FROM (
+    SELECT w.conv_id, r.i, e.q3 AS q, w.cost + 3 * length(n.letters) + e.price + CASE WHEN op <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END AS cost, w.audit || n.letters || e.op AS audit,
+      w.done || list_transform(list_filter(string_split(n.added, ''), lambda x: x <> ''), lambda x: {_NAMED.format('x')} || ':')
+        || CASE op WHEN 'D' THEN CAST([] AS VARCHAR[]) WHEN 'K' THEN [r.role || ':' || r.text] ELSE [{_NAMED.format('e.q3')} || ':' || r.text] END AS done
+    FROM walk w JOIN ins n ON n.q = w.q JOIN flt r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1 JOIN edit e ON e.q = n.q2
+    WHERE (op = 'D' OR fault NOT IN ('blank', 'duplicate')) AND (op <> 'K' OR e.needs = r.init))
+  QUALIFY row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) = 1),
+ends AS (SELECT w.conv_id, w.cost + 3 * length(n.letters) AS cost, w.audit || n.letters AS audit,
+    array_to_string(w.done || list_transform(list_filter(string_split(n.added, ''), lambda x: x <> ''), lambda x: {_NAMED.format('x')} || ':'), chr(10)) AS body
+  FROM walk w JOIN ins n ON n.q = w.q AND n.q2 IN ('n', 'a') JOIN (SELECT conv_id, max(i) AS i FROM flt GROUP BY 1) m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i
+  QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + 3 * length(n.letters), w.audit || n.letters) = 1),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+  count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE wrong) AS illegal FROM flt GROUP BY 1)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
