@@ -127,14 +127,17 @@ def build(
 ) -> dict[str, str]:
     """Write assignments and combined plans partitioned by unit, then the small tables beside them.
 
-    No ``source`` (rows of one origin share it; the key if not given) may be on both sides of a unit.
+    No ``source`` may be on both sides of a unit: rows of one origin share it. It defaults to the manifest's ``source_id``; without either
+    there is nothing to guard, since a key has one place in a unit.
     """
     spark = dev.sparkSession
     splits.require_two_classes(dev, cls)
     places = {n: f"{out}/{n}" for n in ("assignments", "train_plan", "metadata", "index", "distribution")}
     assignments(dev, key, cls, stages).write.mode("overwrite").partitionBy(*UNIT, "subset").parquet(places["assignments"])
     assigned = spark.read.parquet(places["assignments"])
-    require_no_overlap(assigned, UNIT, source or key, "subset")
+    source = source or ("source_id" if "source_id" in dev.columns else None)
+    if source is not None:
+        require_no_overlap(assigned, UNIT, source, "subset")
     _, _, combined = train_plan(assigned, key, cls, stages, mode)
     combined.write.mode("overwrite").partitionBy(*UNIT).parquet(places["train_plan"])
     metadata(assigned, key, cls, stages, mode).write.mode("overwrite").parquet(places["metadata"])

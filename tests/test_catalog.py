@@ -10,11 +10,13 @@ from tabularium import catalog
 from tabularium.session import TABLES
 from tools.check import normal
 
-FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 SAMPLE = (
     "univariate_outlier_summary", "class_statistics", "exact_duplicates", "near_duplicates", "global_split", "repeated_folds", "curriculum_metadata",
     "balanced_feature_ranking", "neighbour_information", "local_outlier_factor", "silhouette_samples", "label_metrics", "early_stops_with_delta",
     "epoch_diagnostics", "dispatcher_status", "worker_signals", "silence_events", "heartbeat_fold", "task_states", "checkpoint_slots",
+    "stage_reset", "natural_manifests", "subset_index", "subset_distribution", "final_manifest_fallback", "isolation_flag_counts", "two_feature_reconstruction",
+    "two_feature_loadings", "two_class_discriminant", "three_feature_pruning", "binned_information", "feature_correlations", "bootstrap_resamples", "average_ranks",
     "streamed_heartbeats", "streamed_silence_events", "streamed_task_states", "streamed_early_stops", "identifiers", "incremental_extraction",
 )
 NAMES = sorted(catalog.QUERIES) if os.environ.get("ALL_QUERIES") else SAMPLE
