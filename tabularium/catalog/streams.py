@@ -11,7 +11,7 @@ from tabularium.catalog.scans import scratch
 from tabularium.catalog.tables import STATE_SQL, action_log
 from tabularium.fixtures import cte, view
 from tabularium.sources import logs
-from tabularium.streaming import heartbeats, replay, stateful
+from tabularium.streaming import heartbeats, once, replay, stateful
 
 
 def beats(t, closing: bool = False):
@@ -57,9 +57,11 @@ SELECT worker_uid AS task_id, epoch_us(min(ts)) + 900000000 AS stale_us FROM g W
 def streamed_stale_tasks(t):
     """First time each task fell silent for more than 15 minutes while running; here a worker is a task."""
     rows = heartbeats.stale_tasks(beats(t, closing=True).withColumnRenamed("task_id", "unused").withColumnRenamed("worker_uid", "task_id"))
-    out = scratch(t.spark, "stale")
-    replay.drain_batches(rows, heartbeats.mark_once(out), scratch(t.spark, "ck"), "append")
-    return t.spark.read.parquet(out).where("task_id <> ''").select("task_id", F.unix_micros("stale_marked_at").alias("stale_us"))
+    silent = scratch(t.spark, "silent")
+    replay.drain(rows, silent, scratch(t.spark, "ck"))
+    with once.state_on_disk(t.spark):
+        found = replay.drain(once.mark_once(replay.open_stream(t.spark, silent, rows.schema)), scratch(t.spark, "stale"), scratch(t.spark, "ck"))
+    return found.where("task_id <> ''").select("task_id", F.unix_micros("stale_marked_at").alias("stale_us"))
 
 
 @query("streamed_task_states", "ST4 K4", STATE_SQL)
@@ -86,8 +88,9 @@ def streamed_once_per_trial(t):
     rows = t.events.selectExpr("user_id * 100 + CAST(date_part('day', ts) AS BIGINT) AS trial", "CAST(ts AS TIMESTAMP) AS ts")
     folder = scratch(t.spark, "reports")
     replay.write_slices(rows, folder, "ts")
-    once = heartbeats.once_per_trial(replay.open_stream(t.spark, folder, rows.schema))
-    return replay.drain(once, scratch(t.spark, "once"), scratch(t.spark, "ck")).select("trial")
+    with once.state_on_disk(t.spark):
+        first = once.once_per_trial(replay.open_stream(t.spark, folder, rows.schema))
+        return replay.drain(first, scratch(t.spark, "once"), scratch(t.spark, "ck")).select("trial")
 
 
 @query("streamed_epoch_log", "ST6 S14", "SELECT user_id AS task_id, count(*) AS n_rows, round(sum(value), 4) AS total_loss FROM events GROUP BY 1")

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabularium.functions import scalars as S
 from tabularium.operators.tables import fold_heartbeats
-from tabularium.sources.files import stored
 
 
 def current_state(beats: DataFrame, overwrite: Sequence[str], sticky: Sequence[str]) -> DataFrame:
@@ -65,32 +64,11 @@ def silence_events(beats: DataFrame, stale: int = 120, offline: int = 300, delay
 
 
 def stale_tasks(beats: DataFrame, minutes: int = 15, delay: str = "0 seconds") -> DataFrame:
-    """Every silence of a running task longer than ``minutes``; ``mark_once`` keeps a task's first."""
+    """Every silence of a running task longer than ``minutes``; ``once.mark_once`` keeps a task's first."""
     quiet = _closed_sessions(beats, "task_id", minutes * 60, delay).where("status = 'RUNNING'")
     return quiet.select("task_id", "last_seen_at", (F.col("last_seen_at") + F.expr(f"INTERVAL {minutes} MINUTES")).alias("stale_marked_at"))
 
 
-def mark_once(out: str):
-    """Sink for ``stale_tasks``: a task already marked by an earlier batch is not marked again."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        first = batch.groupBy("task_id").agg(F.min(F.struct("last_seen_at", "stale_marked_at")).alias("_m"))
-        first = first.select("task_id", "_m.last_seen_at", "_m.stale_marked_at")
-        known = stored(batch.sparkSession, out)
-        if known is not None:
-            first = first.join(known.where(F.col("batch_id") < batch_id).select("task_id"), "task_id", "left_anti")
-        first.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
-    return write
-
-
-def once_per_trial(reports: DataFrame, delay: str | None = None) -> DataFrame:
-    """Exactly-once result reports. Every trial is remembered for ever, or, to bound the state, for ``delay`` of event time."""
-    if delay is None:
-        return reports.dropDuplicates(["trial"])
-    return reports.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["trial"])
-
-
 def health_now(state: DataFrame, now) -> DataFrame:
     age = F.timestamp_diff("SECOND", F.col("last_seen_at"), now)
     return state.withColumn("health", S.health(age))
