@@ -1,99 +1,208 @@
 """Exact nearest neighbours inside each class, block against block.
 
-Rows are assigned to cells around a few pivots of their class. A cell only meets the cells that the
-triangle inequality cannot exclude, and cells are divided into slices, so each task compares two
-slices of bounded size and sends k candidates per row - never the pairs themselves.
+Every row keeps its distances to a few pivots of its class. Rows are sorted by their nearest pivots and the distance to the nearest, so
+rings of like rows lie together, and cut into blocks. A block's rows first meet each other, which bounds how far each row's k-th
+neighbour can be. By the triangle inequality the ranges of pivot distances bound from below how near a row can be to a block; only
+rows that the bound lets through are sent there. A task compares bounded numbers of rows and sends k candidates per row, never the pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from tabularium.operators.matrix import minus, square_sum
+from tabularium.operators.arrow import classes_of, rows_of
+from tabularium.operators.blocks import ordered
+from tabularium.operators.matrix import square_sum
 from tabularium.operators.skew import match, small_table, take_smallest
 from tabularium.session import cut_lineage
 
 SLICE_ROWS = 4_096
+PIVOTS = 16
+ASKING = 64  # blocks that share a copy of the block they ask
+CELLS = 4_000_000  # numbers of a matrix in a task
+VECTOR = pa.list_(pa.float64())
+EXACT = 200_000  # pairs whose distances are taken from the differences at once
 
 
-def _cells(df: DataFrame, key: str, cls: str, x: str, slice_rows: int) -> DataFrame:
-    sizes = df.groupBy(cls).agg(F.count("*").alias("_n"))
-    slices = F.ceil(F.col("_n") / slice_rows)
-    pivots_wanted = F.least(slices, F.ceil(8 * F.sqrt(slices))).cast("bigint")  # a pivot a slice, then with the root
-    quotas = sizes.select(cls, pivots_wanted.alias("_pivots"))
-    pivots = take_smallest(
-        df, [cls], quotas, "_pivots", F.md5(F.concat_ws("|", F.lit("pivot"), F.col(key).cast("string"))), [F.col(key)]
-    ).groupBy(cls).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(x).alias("x")))).alias("_pivots"))
-    near = F.array_min(F.transform(
-        "_pivots", lambda p, i: F.struct(F.sqrt(square_sum(minus(p["x"], F.col(x)))).alias("d"), i.alias("i"))
-    ))
-    placed = match(df, small_table(pivots)[0], [cls]).withColumn("_near", near).select(
-        key, cls, x, F.col("_near.i").alias("_cell"), F.col("_near.d").alias("_d"),
-        F.element_at("_pivots", F.col("_near.i") + 1)["x"].alias("_pivot"),
+def _vectors(table: pa.Table, x: str) -> np.ndarray:
+    rows = table.column(x).combine_chunks()
+    return rows_of(table, x, len(rows[0]) if len(rows) else 0)
+
+
+def _beside(left: DataFrame, right: DataFrame, by: Sequence[str]):
+    """Cogroups of two frames that may descend from the same columns."""
+    return left.groupBy(*by).cogroup(right.select(*[F.col(c).alias(c) for c in right.columns]).groupBy(*by))
+
+
+def _nearest(p: np.ndarray, q: np.ndarray, k: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place in ``q`` and distance of the ``k`` nearest of each row, ties by place; without ``bound``, ``q`` is ``p`` and a row skips itself.
+
+    A matrix product finds who may be among them, with a margin for its rounding, and differences give their distances.
+    """
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    pp, qq = (p * p).sum(1), (q * q).sum(1)
+    margin = 1e-10 * (pp.max(initial=0.0) + qq.max(initial=0.0))
+    most = min(k, len(q) - (bound is None))
+    step = max(1, CELLS // max(1, len(q)))
+    for at in range(0, len(p) if most > 0 else 0, step):
+        near = pp[at : at + step, None] + qq[None, :] - 2 * (p[at : at + step] @ q.T)
+        if bound is None:
+            near[np.arange(len(near)), at + np.arange(len(near))] = np.inf
+        limit = np.partition(near, most - 1, axis=1)[:, most - 1] + 2 * margin
+        if bound is not None:
+            limit = np.minimum(limit, (bound[at : at + step] * (1 + 1e-9)) ** 2 + 2 * margin)
+        row, col = np.nonzero(near <= limit[:, None])
+        dist = np.concatenate([np.sqrt(((p[at + row[i : i + EXACT]] - q[col[i : i + EXACT]]) ** 2).sum(-1)) for i in range(0, len(row), EXACT)] or [np.zeros(0)])
+        order = np.lexsort((col, dist, row))
+        row, col, dist = row[order], col[order], dist[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append((at + row[kept], col[kept], dist[kept]))
+    return tuple(np.concatenate(part) for part in zip(*out, strict=True))
+
+
+def _placed(df: DataFrame, key: str, cls: str, x: str) -> DataFrame:
+    """(c, a, x). Rows whose vector is null, or holds a null or no finite number, are left out."""
+    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return df.select(F.col(cls).alias("c"), F.col(key).alias("a"), F.col(x).cast("array<double>").alias("x")).where(finite)
+
+
+def _rings(rows: DataFrame, slice_rows: int) -> DataFrame:
+    """The rows with ``to``, their distances to the pivots, and their block."""
+    sizes = rows.groupBy("c").agg(F.count("*").alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / (8 * slice_rows)).cast("int"))
+    sizes, _ = small_table(sizes)
+    drawn = F.md5(F.concat_ws("|", F.lit("pivot"), F.col("a").cast("string")))
+    pivots = take_smallest(rows, ["c"], sizes.select("c", F.lit(PIVOTS).alias("_most")), "_most", drawn, [F.col("a")])
+    part = F.pmod(F.xxhash64("a"), F.col("_parts")).cast("int").alias("part")
+    mine = match(rows, sizes, ["c"]).select("c", part, "a", "x")
+    marks = match(pivots.select("c", "a", "x"), sizes, ["c"]).select("c", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), "a", "x")
+    schema = rows.schema.simpleString()[len("struct<"):-1] + ",`to` array<double>,ring int,d double"
+
+    def place(one: pa.Table, two: pa.Table) -> pa.Table:
+        p, q = _vectors(one, "x"), _vectors(two.sort_by("a"), "x")
+        to = np.sqrt(np.stack([((p - mark) ** 2).sum(1) for mark in q], 1)) if len(p) else np.zeros((0, len(q)))
+        order = np.argsort(to, axis=1, kind="stable")[:, :3]
+        ring = sum((order[:, i] * (PIVOTS + 1) ** (2 - i) for i in range(order.shape[1])), np.zeros(len(p), np.int64))
+        lists = pa.ListArray.from_arrays(np.arange(0, to.size + 1, max(1, len(q)), dtype=np.int32)[: len(p) + 1], to.ravel())
+        columns = [one.column("c"), one.column("a"), one.column("x").cast(VECTOR), lists, pa.array(ring, pa.int32()), pa.array(to.min(1, initial=np.inf))]
+        return pa.Table.from_arrays(columns, ["c", "a", "x", "to", "ring", "d"])
+
+    placed = _beside(mine, marks, ["c", "part"]).applyInArrow(place, schema)
+    bits = max(0, int(math.log2(slice_rows)))
+    return ordered(placed, "c", ["ring", "d", "a"]).select("c", "a", "x", "to", F.shiftright("at", bits).alias("block"))
+
+
+def _own(rings: DataFrame, k: int) -> DataFrame:
+    """Rows after they have met their own block, with the bound on their k-th distance. ``found`` holds a row's candidates, nearest first;
+    ``n``, ``reach``, ``low`` and ``high`` the block's size, largest bound and ranges of pivot distances, once a block."""
+    kind, group = rings.schema["a"].dataType.simpleString(), rings.schema["c"].dataType.simpleString()
+    shape = f"c {group}, block long, a {kind}, x array<double>, to array<double>, bound double, found array<struct<b:{kind},distance:double>>, n long, reach double, low array<double>, high array<double>"
+
+    def own(table: pa.Table) -> pa.Table:
+        table = table.sort_by("a")
+        p, to = _vectors(table, "x"), _vectors(table, "to")
+        row, col, dist = _nearest(p, p, k)
+        cuts = np.searchsorted(row, np.arange(len(p) + 1))
+        full = np.diff(cuts) >= k
+        bound = np.full(len(p), np.inf)
+        bound[full] = dist[cuts[1:][full] - 1]
+        found = pa.StructArray.from_arrays([table.column("a").combine_chunks().take(pa.array(col)), pa.array(dist)], ["b", "distance"])
+        once = [None] * (len(p) - 1)
+        columns = [
+            table.column("c"), table.column("block"), table.column("a"), table.column("x").cast(VECTOR), table.column("to").cast(VECTOR), pa.array(bound),
+            pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), found), pa.array([len(p), *once], pa.int64()), pa.array([bound.max(), *once], pa.float64()),
+            pa.array([to.min(0), *once], VECTOR), pa.array([to.max(0), *once], VECTOR),
+        ]
+        return pa.Table.from_arrays(columns, ["c", "block", "a", "x", "to", "bound", "found", "n", "reach", "low", "high"])
+
+    return rings.groupBy("c", "block").applyInArrow(own, shape)
+
+
+def _asks(met: DataFrame) -> DataFrame:
+    """The rows sent to each other block."""
+    kind, group = met.schema["a"].dataType.simpleString(), met.schema["c"].dataType.simpleString()
+    boxes = met.where("n IS NOT NULL").select("c", "block", "reach", "low", "high")
+    stripes, _ = small_table(boxes.groupBy("c").agg(F.ceil(F.count("*") / 1_024).cast("int").alias("_stripes")))
+    boxes = match(boxes, stripes, ["c"])
+    mine = boxes.withColumn("stripe", F.pmod(F.xxhash64("block"), F.col("_stripes")).cast("int")).drop("_stripes")
+    theirs = boxes.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.col("_stripes") - 1))).drop("_stripes")
+
+    def near_blocks(one: pa.Table, two: pa.Table) -> pa.Table:
+        low, high, reach = _vectors(one, "low"), _vectors(one, "high"), one.column("reach").to_numpy()
+        there, above = _vectors(two, "low"), _vectors(two, "high")
+        names, others = one.column("block").to_numpy(), two.column("block").to_numpy()
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        step = max(1, CELLS // max(1, len(others)))
+        for at in range(0, len(names), step):
+            part = slice(at, at + step)
+            gap = np.zeros((len(names[part]), len(others)))
+            for i in range(low.shape[1]):
+                np.maximum(gap, there[None, :, i] - high[part, None, i], out=gap)
+                np.maximum(gap, low[part, None, i] - above[None, :, i], out=gap)
+            row, col = np.nonzero((gap <= reach[part, None] * (1 + 1e-9) + 1e-9) & (names[part, None] != others[None, :]))
+            left.append(at + row)
+            right.append(col)
+        row, col = pa.array(np.concatenate(left)), pa.array(np.concatenate(right))
+        columns = [one.column("c").take(row), one.column("block").take(row), *[two.column(c).take(col) for c in ("block", "low", "high")]]
+        return pa.Table.from_arrays(columns, ["c", "block", "other", "low", "high"])
+
+    meets = cut_lineage(
+        _beside(mine, theirs, ["c", "stripe"]).applyInArrow(near_blocks, f"c {group}, block long, other long, low array<double>, high array<double>")
     )
-    return placed
+    shares = meets.groupBy("c", "other").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("_shares"))
+    dealt = match(meets, shares, ["c", "other"]).withColumn("share", F.pmod(F.xxhash64("block"), F.col("_shares")).cast("int"))
+
+    def ask(one: pa.Table, two: pa.Table) -> pa.Table:
+        to, bound, low, high = _vectors(one, "to"), one.column("bound").to_numpy(), _vectors(two, "low"), _vectors(two, "high")
+        row = [np.flatnonzero(np.maximum(a - to, to - b).max(1, initial=0.0) <= bound * (1 + 1e-9) + 1e-9) for a, b in zip(low, high, strict=True)]
+        col = pa.array(np.repeat(np.arange(len(low)), [len(r) for r in row]))
+        row = pa.array(np.concatenate([np.zeros(0, np.int64), *row]))
+        columns = [*[two.column(c).take(col) for c in ("c", "other", "share", "_shares")], *[one.column(c).take(row) for c in ("a", "x", "bound")]]
+        return pa.Table.from_arrays(columns, ["c", "block", "share", "shares", "a", "x", "bound"])
+
+    asking = _beside(met.select("c", "block", "a", "x", "to", "bound"), dealt, ["c", "block"])
+    return asking.applyInArrow(ask, f"c {group}, block long, share int, shares int, a {kind}, x array<double>, bound double")
 
 
 def neighbours(df: DataFrame, key: str, cls: str, x: str, k: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(class, a, b, distance, place): the ``k`` nearest rows b of every row a, ties by key."""
-    base = cut_lineage(_cells(df.select(key, cls, x), key, cls, x, slice_rows))
-    # in a cell of more than k rows every row has k neighbours within twice the radius
-    summary = base.groupBy(cls, "_cell").agg(
-        F.count("*").alias("_n"), F.max("_d").alias("_radius"), F.first("_pivot").alias("_pivot")
-    )
-    cells, _ = small_table(summary.withColumn("_slices", F.ceil(F.col("_n") / slice_rows).cast("int")))
-    mine = cells.select(cls, F.col("_cell").alias("i"), F.col("_n").alias("_ni"), F.col("_radius").alias("_ri"),
-                        F.col("_pivot").alias("_pi"), F.col("_slices").alias("_si"))
-    theirs = cells.select(cls, F.col("_cell").alias("j"), F.col("_radius").alias("_rj"),
-                          F.col("_pivot").alias("_pj"), F.col("_slices").alias("_sj"))
-    apart = F.sqrt(square_sum(minus(F.col("_pi"), F.col("_pj"))))
-    reach = F.when(F.col("_ni") > k, 2 * F.col("_ri")).otherwise(float("inf"))
-    meet, _ = small_table(
-        match(mine, theirs, [cls]).where(apart - F.col("_ri") - F.col("_rj") <= reach + 1e-9)
-        .select(cls, "i", "j", "_si", "_sj")
-    )
-    left = match(base, meet.withColumnRenamed("i", "_cell"), [cls, "_cell"]).select(
-        F.col(cls).alias("c"), F.col("_cell").alias("i"), F.col("j").alias("j"), F.pmod(F.xxhash64(key), F.col("_si")).cast("int").alias("s"),
-        F.explode(F.sequence(F.lit(0), F.col("_sj") - 1)).alias("t"), F.col(key).alias("a"), F.col(x).alias("x"),
-    )
-    right = match(base, meet.withColumnRenamed("j", "_cell"), [cls, "_cell"]).select(
-        F.col(cls).alias("c"), F.col("i").alias("i"), F.col("_cell").alias("j"), F.explode(F.sequence(F.lit(0), F.col("_si") - 1)).alias("s"),
-        F.pmod(F.xxhash64(key), F.col("_sj")).cast("int").alias("t"), F.col(key).alias("b"), F.col(x).alias("x"),
-    )
-    unit = ["c", "i", "j", "s", "t"]
-    key_type, cls_type = df.schema[key].dataType.simpleString(), df.schema[cls].dataType.simpleString()
-
-    def meeting(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        if one.empty or two.empty:
-            return pd.DataFrame({"c": [], "a": [], "b": [], "distance": []})
-        two = two.sort_values("b", kind="stable")
-        p, q = np.stack(one["x"].to_numpy()), np.stack(two["x"].to_numpy())
-        a, b = one["a"].to_numpy(), two["b"].to_numpy()
-        out = []
-        step = max(1, 2_000_000 // max(1, q.size))
-        for at in range(0, len(p), step):
-            d = np.sqrt(((p[at : at + step, None, :] - q[None, :, :]) ** 2).sum(-1))
-            d[a[at : at + step, None] == b[None, :]] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(best)), best.shape[1])
-            cols = best.ravel()
-            dist = d[rows, cols]
-            ok = np.isfinite(dist)
-            out.append(pd.DataFrame({"a": a[at + rows[ok]], "b": b[cols[ok]], "distance": dist[ok]}))
-        result = pd.concat(out)
-        result.insert(0, "c", one["c"].iloc[0])
-        return result
-
-    found = left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInPandas(
-        meeting, f"c {cls_type}, a {key_type}, b {key_type}, distance DOUBLE"
-    ).withColumnRenamed("c", cls)
+    rows = _placed(df, key, cls, x)
+    if (rows.groupBy("c").count().agg(F.max("count")).first()[0] or 0) <= slice_rows:  # each class is a block, and there is no other to ask
+        met = _own(rows.withColumns({"to": F.array(F.lit(0.0)), "block": F.lit(0).cast("long")}), k)
+        found = met.select(F.col("c").alias(cls), "a", F.posexplode("found").alias("at", "f"))
+        return found.select(cls, "a", "f.b", "f.distance", (F.col("at") + 1).alias("place"))
+    met = cut_lineage(_own(_rings(rows, slice_rows), k))
+    asks = cut_lineage(_asks(met))
+    kind, group = met.schema["a"].dataType.simpleString(), met.schema["c"].dataType.simpleString()
+    asked = asks.select("c", "block", "share").distinct()
+    there = match(met.select("c", "block", "a", "x"), asked, ["c", "block"])
+
+    def answer(one: pa.Table, two: pa.Table) -> pa.Table:
+        two = two.sort_by("a")
+        row, col, dist = _nearest(_vectors(one, "x"), _vectors(two, "x"), k, one.column("bound").to_numpy()) if one.num_rows and two.num_rows else (np.zeros(0, np.int64),) * 3
+        columns = [one.column("c").take(pa.array(row)), one.column("a").take(pa.array(row)), two.column("a").take(pa.array(col)), pa.array(dist, pa.float64())]
+        return pa.Table.from_arrays(columns, ["c", "a", "b", "distance"])
+
+    far = _beside(asks, there, ["c", "block", "share"]).applyInArrow(answer, f"c {group}, a {kind}, b {kind}, distance double")
+    found = met.select("c", "a", F.explode("found").alias("f")).select("c", "a", "f.b", "f.distance").unionByName(far)
     place = F.row_number().over(W.partitionBy("a").orderBy("distance", "b"))
-    return found.withColumn("place", place).where(F.col("place") <= k)
+    return found.withColumn("place", place).where(F.col("place") <= k).withColumnRenamed("c", cls)
+
+
+def comparisons(df: DataFrame, key: str, cls: str, x: str, k: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """(class, compared, pairs): how many ordered pairs ``neighbours`` compares, and how many there are."""
+    met = cut_lineage(_own(_rings(_placed(df, key, cls, x), slice_rows), k))
+    asks = _asks(met)
+    sizes = met.where("n IS NOT NULL").select("c", "block", "n")
+    sent = match(asks.groupBy("c", "block").agg(F.count("*").alias("_asks")), sizes, ["c", "block"]).select("c", (F.col("_asks") * F.col("n")).alias("done"), F.lit(0).cast("long").alias("n"))
+    own = sizes.select("c", (F.col("n") * (F.col("n") - 1)).alias("done"), "n")
+    total = own.unionByName(sent).groupBy("c").agg(F.sum("done").alias("compared"), F.sum("n").alias("n"))
+    return total.select(F.col("c").alias(cls), "compared", (F.col("n") * (F.col("n") - 1)).alias("pairs"))
 
 
 def local_outlier_factor(df: DataFrame, key: str, cls: str, x: str, k_max: int = 20, min_rows: int = 5) -> DataFrame:
@@ -121,40 +230,45 @@ def local_outlier_factor(df: DataFrame, key: str, cls: str, x: str, k_max: int =
 def silhouette(df: DataFrame, key: str, cls: str, x: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Exact Euclidean silhouette of every row.
 
-    A mean of distances does not decompose, so every pair is computed, as in the definition; a task
-    takes two slices and sends one partial sum per row. ``silhouette_squared`` is the linear-cost form.
+    A mean of distances does not decompose, so every pair is computed, as in the definition. Slices of all rows are numbered round a
+    circle; each meets those up to half the circle ahead, so each unordered pair of rows is computed once, and both rows' sums are
+    sent. ``silhouette_squared`` is the linear-cost form.
     """
-    sizes = df.groupBy(cls).agg(F.count("*").alias("_n"))
-    sizes, _ = small_table(sizes.withColumn("_slices", F.ceil(F.col("_n") / slice_rows).cast("int")))
-    base = match(df.select(key, cls, x), sizes, [cls]).withColumn(
-        "_slice", F.pmod(F.xxhash64(key), F.col("_slices")).cast("int")
-    )
-    slices = sizes.select(F.col(cls).alias("_oc"), F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_os"))
-    slices, _ = small_table(slices)
-    # the list of slices is short (rows / slice_rows); each slice is sent to each other slice once
-    listed = slices.agg(F.collect_list(F.struct("_oc", "_os")).alias("_all"))
-    left = base.join(F.broadcast(listed)).select(
-        F.col(cls).alias("c"), F.col("_slice").alias("s"), F.explode("_all").alias("_o"), F.col(key).alias("a"), F.col(x).alias("x")
-    ).select("c", "s", F.col("_o._oc").alias("oc"), F.col("_o._os").alias("os"), "a", "x")
-    right = base.join(F.broadcast(listed)).select(
-        F.col(cls).alias("oc"), F.col("_slice").alias("os"), F.explode("_all").alias("_o"), F.col(x).alias("x")
-    ).select(F.col("_o._oc").alias("c"), F.col("_o._os").alias("s"), "oc", "os", "x")
-    unit = ["c", "s", "oc", "os"]
-    kt, ct = df.schema[key].dataType.simpleString(), df.schema[cls].dataType.simpleString()
-
-    def meeting(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        if one.empty or two.empty:
-            return pd.DataFrame({"a": [], "c": [], "oc": [], "total": []})
-        p, q = np.stack(one["x"].to_numpy()), np.stack(two["x"].to_numpy())
-        total = np.zeros(len(p))
-        step = max(1, 2_000_000 // max(1, q.size))
-        for at in range(0, len(p), step):
-            total[at : at + step] = np.sqrt(((p[at : at + step, None, :] - q[None, :, :]) ** 2).sum(-1)).sum(1)
-        return pd.DataFrame({"a": one["a"], "c": one["c"], "oc": two["oc"].iloc[0], "total": total})
-
-    sums = left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInPandas(
-        meeting, f"a {kt}, c {ct}, oc {ct}, total DOUBLE"
-    ).groupBy("a", "c", "oc").agg(F.sum("total").alias("total"))
+    sizes, _ = small_table(df.groupBy(cls).agg(F.count("*").alias("_n")))
+    count = max(1, math.ceil(df.count() / slice_rows))
+    base = df.select(F.col(key).alias("a"), F.col(cls).alias("c"), F.col(x).cast("array<double>").alias("x"), F.pmod(F.xxhash64(key), F.lit(count)).cast("int").alias("s"))
+    base = cut_lineage(base)
+    half = count // 2  # with an even number of slices the opposite one is met from the lower half only
+    steps = F.sequence(F.lit(0), F.lit(half) if count % 2 else F.when(F.col("s") < half, half).otherwise(max(0, half - 1)))
+    ahead = base.withColumn("step", F.explode(steps))
+    behind = base.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(half)))).withColumn("s", F.pmod(F.col("s") - F.col("step"), F.lit(count)).cast("int"))
+    if count % 2 == 0:
+        behind = behind.where(F.col("step").eqNullSafe(0) | (F.col("step") < half) | (F.col("s") < half))
+    kind, group = base.schema["a"].dataType.simpleString(), base.schema["c"].dataType.simpleString()
+
+    def meeting(one: pa.Table, two: pa.Table) -> pa.Table:
+        same = bool(one.num_rows) and one.column("step")[0].as_py() == 0
+        totals = []
+        if one.num_rows and two.num_rows:
+            p, q = _vectors(one, "x"), _vectors(two, "x")
+            (mine, names), (theirs, others) = classes_of(one, "c"), classes_of(two, "c")
+            member, other = np.eye(len(names))[mine], np.eye(len(others))[theirs]
+            to_them, to_us = np.zeros((len(p), len(others))), np.zeros((len(q), len(names)))
+            step = max(1, 2_000_000 // max(1, q.size))
+            for at in range(0, len(p), step):
+                d = np.sqrt(((p[at : at + step, None, :] - q[None, :, :]) ** 2).sum(-1))
+                to_them[at : at + step] = d @ other
+                to_us += d.T @ member[at : at + step]
+            totals = [(one, mine, names, to_them, others)] if same else [(one, mine, names, to_them, others), (two, theirs, others, to_us, names)]
+        parts = []
+        for table, own, known, sums, classes in totals:
+            row, col = np.divmod(np.arange(sums.size), len(classes))
+            columns = [table.column("a").take(pa.array(row)), pa.array(known, one.schema.field("c").type).take(pa.array(own[row])), pa.array(classes, one.schema.field("c").type).take(pa.array(col)), pa.array(sums.ravel())]
+            parts.append(pa.Table.from_arrays(columns, ["a", "c", "oc", "total"]))
+        empty = pa.schema([one.schema.field("a"), one.schema.field("c"), one.schema.field("c").with_name("oc"), ("total", pa.float64())]).empty_table()
+        return pa.concat_tables(parts) if parts else empty
+
+    sums = _beside(ahead, behind, ["s", "step"]).applyInArrow(meeting, f"a {kind}, c {group}, oc {group}, total DOUBLE").groupBy("a", "c", "oc").agg(F.sum("total").alias("total"))
     return _from_sums(sums, sizes.select(F.col(cls).alias("oc"), F.col("_n").alias("n")), key, cls)
 
 

@@ -155,7 +155,32 @@ def test_neighbours(points, slice_rows):
         assert list(part["b"]) == [j for _, j in want]
 
 
-@pytest.mark.parametrize("slice_rows", [25, 4096])
+def test_neighbours_compare_few_pairs_of_clustered_rows(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 16)) * 20
+    x = centres[rng.integers(0, 40, 4_000)] + rng.normal(size=(4_000, 16)) * 0.3
+    df = spark.createDataFrame([(i, "hot", [float(v) for v in p]) for i, p in enumerate(x)], "id BIGINT, cls STRING, x ARRAY<DOUBLE>")
+    done = knn.comparisons(df, "id", "cls", "x", 5, 64).first()
+    assert done["pairs"] == 4_000 * 3_999 and done["compared"] < done["pairs"] / 10
+    got = knn.neighbours(df, "id", "cls", "x", 5, 64).groupBy("a").agg(F.array_sort(F.collect_list("b")).alias("b")).toPandas()
+    d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1) - 2 * x @ x.T, 0))
+    np.fill_diagonal(d, np.inf)
+    assert len(got) == 4_000
+    assert all(list(b) == sorted(np.argsort(d[a])[:5]) for a, b in zip(got["a"], got["b"], strict=True))
+
+
+def test_neighbours_of_rows_without_vectors_and_of_equal_rows(spark):
+    rows = [(1, None, [0.0, 1.0]), (2, None, [0.0, 2.0]), (3, "a", None), (4, "a", [float("nan"), 0.0]), (5, "a", [1.0, None]), (6, "a", [1.0, 1.0])]
+    rows += [(i, "b", [3.0, 3.0]) for i in range(10, 40)]
+    df = spark.createDataFrame(rows, "id BIGINT, cls STRING, x ARRAY<DOUBLE>")
+    got = sorted((r["a"], r["place"], r["b"]) for r in knn.neighbours(df, "id", "cls", "x", 2, 4).collect())
+    assert got[:2] == [(1, 1, 2), (2, 1, 1)]
+    assert got[2:] == [(i, n, b) for i in range(10, 40) for n, b in enumerate([j for j in (10, 11, 12) if j != i][:2], 1)]
+    assert knn.neighbours(df.limit(0), "id", "cls", "x", 2).columns == ["cls", "a", "b", "distance", "place"]
+    assert knn.neighbours(df.limit(0), "id", "cls", "x", 2).count() == 0
+
+
+@pytest.mark.parametrize("slice_rows", [25, 40, 81, 4096])
 def test_silhouette(points, slice_rows):
     cls, x, df = points
     got = knn.silhouette(df, "id", "cls", "x", slice_rows).toPandas().set_index("id")["silhouette"]
