@@ -70,6 +70,20 @@ def readiness_report(t):
     return relate.readiness(t.events, ["event_id", "ts", "worker_uid", "value", "metadata"]).join(F.broadcast(rows))
 
 
+@query("policy_readiness", "Q5", """
+WITH p AS (SELECT p_size AS stage_no, p_type AS model_type, count(*) AS k_folds, CASE WHEN count(*) > 1 THEN max(p_retailprice) END AS tuning_limit FROM part GROUP BY ALL),
+w AS (SELECT unnest([3, 4, 5, 99]) AS stage_no)
+SELECT w.stage_no, p.model_type, p.k_folds, p.tuning_limit,
+  CASE WHEN p.stage_no IS NULL THEN 'MISSING' WHEN p.tuning_limit IS NULL THEN 'INCOMPLETE' ELSE 'OK' END AS state
+FROM w LEFT JOIN p ON p.stage_no = w.stage_no
+""")
+def policy_readiness(t):
+    """Policies of stages 3, 4, 5 and of one that has none; here sizes are stages and types are models."""
+    limit = F.when(F.count("*") > 1, F.max("p_retailprice"))
+    policies = t.part.groupBy(F.col("p_size").alias("stage_no"), F.col("p_type").alias("model_type")).agg(F.count("*").alias("k_folds"), limit.alias("tuning_limit"))
+    return relate.policy_listing(policies, "stage_no", [3, 4, 5, 99], ["k_folds", "tuning_limit"])
+
+
 @query("count_gates", "Q6", """
 SELECT (SELECT count(*) FROM documents) AS n_manifest, (SELECT count(*) FROM labels) AS n_features, (SELECT count(*) FROM documents) = (SELECT count(*) FROM labels) AS equal
 """)

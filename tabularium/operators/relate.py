@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabularium.session import cut_lineage
+
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
@@ -93,6 +95,29 @@ def readiness(df: DataFrame, required: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "name STRING, state STRING")
 
 
+def policy_listing(policies: DataFrame, stage: str, wanted: Sequence[int], required: Sequence[str]) -> DataFrame:
+    """The policies of the wanted stages, each OK, or INCOMPLETE if a required setting is null; a stage without a policy is MISSING.
+
+    The wanted stages are few and are sent to the policies; a stage named twice is listed once, policies of a null stage are not listed.
+    """
+    kind = policies.schema[stage].dataType.simpleString()
+    stages = F.broadcast(policies.sparkSession.createDataFrame([(w,) for w in sorted(set(wanted))], "_stage BIGINT").select(F.col("_stage").cast(kind).alias(stage)))
+    found = cut_lineage(policies.join(stages, stage, "left_semi"))
+    whole = F.lit(True)
+    for name in required:
+        whole &= F.col(name).isNotNull()
+    listed = found.withColumn("state", F.when(whole, "OK").otherwise("INCOMPLETE"))
+    absent = stages.join(found.select(stage).distinct(), stage, "left_anti").withColumn("state", F.lit("MISSING"))
+    return listed.unionByName(absent, allowMissingColumns=True)
+
+
+def column_listing(df: DataFrame, required: Sequence[str]) -> DataFrame:
+    """Type and nullability of each required column beside its readiness; null for a missing one."""
+    have = {f.name: f for f in df.schema}
+    rows = [(n, have[n].dataType.simpleString() if n in have else None, have[n].nullable if n in have else None, "OK" if n in have else "MISSING") for n in required]
+    return df.sparkSession.createDataFrame(rows, "name STRING, data_type STRING, nullable BOOLEAN, state STRING")
+
+
 def require_same_count(left: DataFrame, right: DataFrame, what: str) -> None:
     counts = left.agg(F.count("*").alias("n")).unionAll(right.agg(F.count("*").alias("n"))).collect()
     if counts[0][0] != counts[1][0]:

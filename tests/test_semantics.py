@@ -386,3 +386,14 @@ def test_moments_do_not_cancel_far_from_zero(spark):
     n, mean, cov = matrix.unpack(matrix.moments(df, "c", "x", 2).toPandas(), 2)
     want = np.array([r[1] for r in rows])
     assert n == 60 and np.allclose(mean, want.mean(0), rtol=1e-15) and np.allclose(cov, np.cov((want - 1e8).T, bias=True), rtol=1e-9)
+
+
+def test_policies_of_wanted_stages_are_listed(spark):
+    rows = [(3, "a", 5), (3, "b", None), (4, "a", 2), (7, "a", 1), (None, "a", 1)]
+    df = spark.createDataFrame(rows, "stage INT, model STRING, folds INT")
+    got = relate.policy_listing(df, "stage", [3, 4, 5, 5], ["folds"])
+    assert got.columns == ["stage", "model", "folds", "state"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(3, "a", 5, "OK"), (3, "b", None, "INCOMPLETE"), (4, "a", 2, "OK"), (5, None, None, "MISSING")], key=repr)
+    assert {r["state"] for r in relate.policy_listing(df.limit(0), "stage", [3], ["folds"]).collect()} == {"MISSING"}
+    listed = relate.column_listing(df, ["folds", "size"]).collect()
+    assert [tuple(r) for r in listed] == [("folds", "int", True, "OK"), ("size", None, None, "MISSING")]
