@@ -159,7 +159,7 @@ SELECT stage_id, repeat_id, fold_id, CAST(any_value(target_unique) AS BIGINT) AS
 FROM sizes GROUP BY ALL
 """)
 def curriculum_metadata(t):
-    return curriculum.metadata(assigned(t), KEY, CLS).select(
+    return curriculum.metadata_of(curriculum.class_counts(development(t), KEY, CLS), CLS).select(
         *UNIT, "target_unique_equal_cap", "n_train_unique_after_balance", "n_augmented_rows", "actual_per_class"
     )
 

@@ -116,6 +116,18 @@ def item_folds(df: DataFrame, key: str, cls: str, n_splits, n_repeats=1, seed=42
     return match(ranked, starts, [*by, cls]).withColumn("item_fold", fold).drop("_rank", "_start")
 
 
+def fold_counts(counts: DataFrame, cls: str, n: str, n_splits, by: Sequence[str] = ()) -> DataFrame:
+    """(by, cls, fold_id, subset, n) of ``item_folds`` from class counts alone: classes follow each other, and items go round the folds."""
+    by, total = list(by), F.col(n).cast("bigint")
+    before = W.partitionBy(*by).orderBy(F.col(cls).asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(total).over(before), F.lit(0).cast("bigint"))
+    every = counts.select(*by, cls, total.alias("_n"), start.alias("_start"), _column(n_splits).alias("_k")).withColumn("fold_id", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    upto = lambda place: F.floor((place - 1 - F.col("fold_id")) / F.col("_k"))
+    inside = (upto(F.col("_start") + F.col("_n")) - upto(F.col("_start"))).cast("bigint")
+    sides = F.array(F.struct(F.lit("validation").alias("subset"), inside.alias("n")), F.struct(F.lit("train").alias("subset"), (F.col("_n") - inside).alias("n")))
+    return every.select(*by, cls, "fold_id", F.inline(sides)).where("n > 0")
+
+
 def folds(df: DataFrame, key: str, cls: str, n_splits, n_repeats=1, seed=42, by: Sequence[str] = ()) -> DataFrame:
     """Long form: every item in every fold of every repeat, validation exactly once per repeat."""
     items = item_folds(df, key, cls, n_splits, n_repeats, seed, by)
@@ -146,7 +158,11 @@ def balance(
 
 
 def balance_targets(train: DataFrame, cls: str, unit: Sequence[str], cap: int, mode: str) -> DataFrame:
-    counts = train.groupBy(*unit, cls).agg(F.count("*").alias("n"))
+    return unique_targets(train.groupBy(*unit, cls).agg(F.count("*").alias("n")), unit, cap, mode)
+
+
+def unique_targets(counts: DataFrame, unit: Sequence[str], cap: int, mode: str) -> DataFrame:
+    """Class counts ``n`` per unit with ``target_unique`` and ``take_n``, what balancing asks for and gets."""
     smallest = F.min("n").over(W.partitionBy(*unit))
     target = F.least(F.lit(cap), smallest) if mode == "equal_unique_cap" else F.lit(cap)
     return counts.withColumn("target_unique", target.cast("bigint")).withColumn(

@@ -54,12 +54,8 @@ def stage_table(spark: SparkSession, stages=STAGES, n_classes: int = 10) -> Data
     return table.withColumn("target_per_class", target).withColumn("target_total", F.col("target_per_class") * n_classes)
 
 
-def assignments(dev: DataFrame, key: str, cls: str, stages=STAGES) -> DataFrame:
-    """Every (stage, repeat, fold, item) with its subset, for all stages in one pass.
-
-    Development rows meet the short list of stages, each stage keeps its share by quota, and the kept
-    rows - written once, since holdout and fold stages both read them - get their subset.
-    """
+def _kept(dev: DataFrame, key: str, cls: str, stages) -> tuple[DataFrame, DataFrame]:
+    """Rows each stage keeps, and those of holdout stages with their subset."""
     for s in stages:
         if s.cv_mode not in ("holdout", "kfold", "repeated_kfold"):
             raise ValueError(f"unknown cv_mode {s.cv_mode}")
@@ -77,10 +73,19 @@ def assignments(dev: DataFrame, key: str, cls: str, stages=STAGES) -> DataFrame:
         many.where("_dev < 100"), key, cls, F.expr("total * _dev div 100"), F.col("_seed"), ["stage_id", "_dev"]
     )
     kept = cut_lineage(partial.unionByName(many.where("_dev = 100")))
-    extra = [n for n in names if n != "stage_id"]
     held = splits.holdout_validation(
         kept.where("_holdout"), key, cls, F.expr("(total * _val + 99) div 100"), F.col("_seed"), ["stage_id", "_val"]
     )
+    return kept, held
+
+
+def assignments(dev: DataFrame, key: str, cls: str, stages=STAGES) -> DataFrame:
+    """Every (stage, repeat, fold, item) with its subset, for all stages in one pass.
+
+    Development rows meet the short list of stages, each stage keeps its share by quota, and the kept
+    rows - written once, since holdout and fold stages both read them - get their subset.
+    """
+    kept, held = _kept(dev, key, cls, stages)
     folded = splits.folds(
         kept.where("not _holdout"), key, cls, F.col("_splits"), F.col("_repeats"), F.col("_seed"), ["stage_id"]
     )
@@ -89,6 +94,17 @@ def assignments(dev: DataFrame, key: str, cls: str, stages=STAGES) -> DataFrame:
     return held.select(*columns, fraction).unionByName(folded.select(*columns, fraction))
 
 
+def class_counts(dev: DataFrame, key: str, cls: str, stages=STAGES) -> DataFrame:
+    """Class counts ``n`` of every unit's subsets. Those of folds follow from each stage's counts, so no item is placed to count it."""
+    kept, held = _kept(dev, key, cls, stages)
+    held = held.groupBy(*UNIT, "subset", cls).agg(F.count("*").alias("n"))
+    per = kept.where("not _holdout").groupBy("stage_id", "_splits", "_repeats", cls).agg(F.count("*").alias("_total"))
+    folded = splits.fold_counts(per, cls, "_total", F.col("_splits"), ["stage_id", "_repeats"])
+    folded = folded.withColumn("repeat_id", F.explode(F.sequence(F.lit(0), F.col("_repeats") - 1)))
+    columns = [*UNIT, "subset", cls, "n"]
+    return held.select(*columns).unionByName(folded.select(*columns))
+
+
 def train_plan(assigned: DataFrame, key: str, cls: str, stages=STAGES, mode: str = "equal_unique_cap", seed: int = 42):
     """(balanced originals, augmentation rows, combined) for every unit at once."""
     spark = assigned.sparkSession
@@ -102,9 +118,14 @@ def train_plan(assigned: DataFrame, key: str, cls: str, stages=STAGES, mode: str
 
 def metadata(assigned: DataFrame, key: str, cls: str, stages=STAGES, mode: str = "equal_unique_cap") -> DataFrame:
     """One row per unit. Sizes of the plan follow from class counts, so no plan row is built to count it."""
-    spark = assigned.sparkSession
+    return metadata_of(assigned.groupBy(*UNIT, "subset", cls).agg(F.count("*").alias("n")), cls, stages, mode)
+
+
+def metadata_of(counts: DataFrame, cls: str, stages=STAGES, mode: str = "equal_unique_cap") -> DataFrame:
+    """``metadata`` from ``class_counts``."""
+    spark = counts.sparkSession
     cap = stages[0].max_unique_per_class
-    sizes = splits.balance_targets(assigned.where("subset = 'train'"), cls, UNIT, cap, mode)
+    sizes = splits.unique_targets(counts.where("subset = 'train'"), UNIT, cap, mode)
     table = stage_table(spark, stages)
     joined = sizes.join(F.broadcast(table), "stage_id").withColumn(
         "_extra", F.greatest(F.col("target_per_class") - F.col("take_n"), F.lit(0))

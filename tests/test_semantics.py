@@ -397,3 +397,12 @@ def test_policies_of_wanted_stages_are_listed(spark):
     assert {r["state"] for r in relate.policy_listing(df.limit(0), "stage", [3], ["folds"]).collect()} == {"MISSING"}
     listed = relate.column_listing(df, ["folds", "size"]).collect()
     assert [tuple(r) for r in listed] == [("folds", "int", True, "OK"), ("size", None, None, "MISSING")]
+
+
+def test_class_counts_agree_with_assigned_items(spark):
+    rows = [(i, None if i % 11 == 0 else "hot" if i % 3 else f"c{i % 5}") for i in range(400)]
+    df = spark.createDataFrame(rows, "id BIGINT, cls STRING")
+    unit = [*curriculum.UNIT, "subset", "cls"]
+    want = curriculum.assignments(df, "id", "cls").groupBy(*unit).count()
+    got = curriculum.class_counts(df, "id", "cls")
+    assert sorted(map(tuple, got.select(*unit, "n").collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
