@@ -60,7 +60,7 @@ def streamed_stale_tasks(t):
     silent = scratch(t.spark, "silent")
     replay.drain(rows, silent, scratch(t.spark, "ck"))
     with once.state_on_disk(t.spark):
-        found = replay.drain(once.mark_once(replay.open_stream(t.spark, silent, rows.schema)), scratch(t.spark, "stale"), scratch(t.spark, "ck"))
+        found = replay.drain(once.mark_once(replay.open_written(t.spark, silent, rows.schema)), scratch(t.spark, "stale"), scratch(t.spark, "ck"))
     return found.where("task_id <> ''").select("task_id", F.unix_micros("stale_marked_at").alias("stale_us"))
 
 

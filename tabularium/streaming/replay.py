@@ -26,6 +26,12 @@ def open_stream(spark: SparkSession, folder: str, schema, files: int = 4) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
+def open_written(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """Stream over what another query writes. A trigger takes as many files as a trigger of the writer may leave, one a partition, so that
+    there are no more triggers than the writer had, however many files lie there."""
+    return open_stream(spark, folder, schema, max(4, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def drain(rows: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run to the end of the available input into Parquet and read the result back."""
     query = (

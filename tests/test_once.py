@@ -72,3 +72,16 @@ def test_a_task_is_marked_once(spark, tmp_path, given):
     beats([(5, 110, "RUNNING")])
     beats([(3, 200, "RUNNING")])
     assert run(schema) == [(1, 0), (3, 10), *four, (5, 110)]
+
+
+def test_a_written_folder_is_read_in_no_more_triggers_than_it_was_written_in(spark, tmp_path):
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for trigger in range(3):
+        spark.range(100 * trigger, 100 * trigger + 100).withColumn("task_id", F.col("id") % 40).selectExpr(
+            "task_id", "timestamp_seconds(id) AS last_seen_at", "timestamp_seconds(id + 900) AS stale_marked_at"
+        ).repartition(2 * partitions if trigger == 0 else partitions).write.mode("append").parquet(f"{tmp_path}/silent")
+    schema = spark.read.parquet(f"{tmp_path}/silent").schema
+    with once.state_on_disk(spark):
+        got = replay.drain(once.mark_once(replay.open_written(spark, f"{tmp_path}/silent", schema)), f"{tmp_path}/out", f"{tmp_path}/ck")
+    assert sorted(r["task_id"] for r in got.collect()) == list(range(40))
+    assert len([f for f in (tmp_path / "ck" / "commits").iterdir() if f.name.isdigit()]) <= 4  # of 16 files
