@@ -66,6 +66,23 @@ def _nearest(p: np.ndarray, q: np.ndarray, k: int, bound: np.ndarray | None = No
     return tuple(np.concatenate(part) for part in zip(*out, strict=True))
 
 
+def _distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """All distances, by a matrix product; pairs so close that its rounding would show are taken from the differences."""
+    centre = q.mean(0)
+    a, b = p - centre, q - centre
+    aa, bb = (a * a).sum(1), (b * b).sum(1)
+    square = a @ (-2 * b.T)
+    square += aa[:, None]
+    square += bb
+    least = 1e-5 * (aa.max(initial=0.0) + bb.max(initial=0.0))
+    if not square.min(initial=np.inf) > least:
+        row, col = np.nonzero(~(square > least))  # also what is no number
+        for i in range(0, len(row), EXACT):
+            of = row[i : i + EXACT], col[i : i + EXACT]
+            square[of] = ((p[of[0]] - q[of[1]]) ** 2).sum(-1)
+    return np.sqrt(square, out=square)
+
+
 def _placed(df: DataFrame, key: str, cls: str, x: str) -> DataFrame:
     """(c, a, x). Rows whose vector is null, or holds a null or no finite number, are left out."""
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -254,9 +271,9 @@ def silhouette(df: DataFrame, key: str, cls: str, x: str, slice_rows: int = SLIC
             (mine, names), (theirs, others) = classes_of(one, "c"), classes_of(two, "c")
             member, other = np.eye(len(names))[mine], np.eye(len(others))[theirs]
             to_them, to_us = np.zeros((len(p), len(others))), np.zeros((len(q), len(names)))
-            step = max(1, 2_000_000 // max(1, q.size))
+            step = max(1, CELLS // 16 // max(1, len(q)))  # stays in a core's cache
             for at in range(0, len(p), step):
-                d = np.sqrt(((p[at : at + step, None, :] - q[None, :, :]) ** 2).sum(-1))
+                d = _distances(p[at : at + step], q)
                 to_them[at : at + step] = d @ other
                 to_us += d.T @ member[at : at + step]
             totals = [(one, mine, names, to_them, others)] if same else [(one, mine, names, to_them, others), (two, theirs, others, to_us, names)]

@@ -1,6 +1,7 @@
 """The building blocks against brute force, with a hot group and every large-input path forced."""
 
 import hashlib
+import time
 
 import numpy as np
 import pandas as pd
@@ -200,3 +201,27 @@ def test_neighbour_information_blocks(rows):
         stats.neighbour_information(long, ["feature"], "cls", 3, block).first()["information"] for block in (7, 200_000)
     ]
     assert abs(values[0] - values[1]) < 1e-9
+
+
+def test_distances_by_products_are_those_by_differences():
+    rng = np.random.default_rng(3)
+    q = np.concatenate([rng.normal(size=(200, 16)), rng.normal(size=(50, 16)) * 1e-9])
+    p = np.concatenate([q[:20], q[:20] + 1e-7, q[-30:]])
+    for shift in (0.0, 1e6):
+        want = np.sqrt((((p + shift)[:, None] - (q + shift)[None]) ** 2).sum(-1))
+        np.testing.assert_allclose(knn._distances(p + shift, q + shift), want, rtol=1e-9, atol=0)
+    q[3], q[4, 2], p[0, 1] = np.nan, np.inf, -np.inf
+    with np.errstate(invalid="ignore"):
+        np.testing.assert_array_equal(knn._distances(p, q), np.sqrt(((p[:, None] - q[None]) ** 2).sum(-1)))
+
+
+def test_distances_by_products_cost_less():
+    rng = np.random.default_rng(4)
+    q = rng.normal(size=(4096, 64))
+    start = time.process_time()
+    knn._distances(q[:512], q)
+    fast = time.process_time() - start
+    start = time.process_time()
+    for at in range(0, 512, 8):
+        np.sqrt(((q[at : at + 8, None, :] - q[None, :, :]) ** 2).sum(-1))
+    assert fast < time.process_time() - start
