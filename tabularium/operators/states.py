@@ -63,12 +63,21 @@ def walk(action: np.ndarray, worker: np.ndarray, start: np.ndarray, size: np.nda
     return status, owner, taken, applied
 
 
-def rows_of(action: np.ndarray, worker: np.ndarray, names: list) -> list[list]:
-    """The table of one stretch. A row: status, whether the owner is named, owner, then status, whether the owner stays, owner, take-overs, applied."""
-    known = np.append(np.unique(worker[OWNED[action] & (worker >= 0)]), OTHER)
-    before, owner = (x.ravel() for x in np.meshgrid(OPEN, known, indexing="ij"))
-    zero = np.zeros(len(before), np.int64)
-    return [row(*r, names) for r in zip(before, owner, *walk(action, worker, zero, zero + len(action), before, owner), strict=True)]
+def tables_of(action: np.ndarray, worker: np.ndarray, start: np.ndarray, size: np.ndarray, names: list) -> list[list]:
+    """The tables of stretches that lie one after the other, walked side by side from every status and owner that matters. A row of a table:
+    status, whether the owner is named, owner, then status, whether the owner stays, owner, take-overs, applied."""
+    at = np.repeat(np.arange(len(start)), size)
+    named = OWNED[action] & (worker >= 0)
+    pairs = np.unique(np.stack([at[named], worker[named]], 1), axis=0)
+    of, known = np.append(pairs[:, 0], np.arange(len(start))), np.append(pairs[:, 1], np.full(len(start), OTHER))
+    order = np.argsort(of, kind="stable")
+    of, owner = np.repeat(of[order], len(OPEN)), np.repeat(known[order], len(OPEN))
+    before = np.tile(OPEN, len(order))
+    found = zip(before.tolist(), owner.tolist(), *(x.tolist() for x in walk(action, worker, start[of], size[of], before, owner)), strict=True)
+    out: list[list] = [[] for _ in range(len(start))]
+    for i, one in zip(of.tolist(), found, strict=True):
+        out[i].append(row(*one, names))
+    return out
 
 
 def row(status, owner, status_after, owner_after, taken, applied, names: list) -> list:
@@ -142,7 +151,7 @@ def transition_tables(log: DataFrame, block_bits: int = BLOCK_BITS, fan_bits: in
     kind = log.schema[key].dataType.simpleString()
     action = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(a) for a in ACTIONS]), F.col("action")), F.lit(0)), F.lit(len(ACTIONS) + 1)) - 1
     rows = ordered(log.select(key, "ts", "event_id", action.cast("int").alias("action"), F.col("worker").cast("long").alias("worker")), key, ["ts", "event_id"])
-    schema = f"`{key}` {kind}, b long, n long, rows {ROW}"
+    schema = f"`{key}` {kind}, b long, n long, rows {ROW}, whole boolean"
 
     def sum_up(part: pa.Table) -> pa.Table:
         part = part.sort_by("at").combine_chunks()
@@ -150,15 +159,17 @@ def transition_tables(log: DataFrame, block_bits: int = BLOCK_BITS, fan_bits: in
         worker = np.nan_to_num(ids.indices.to_numpy(zero_copy_only=False).astype(float), nan=NOBODY).astype(np.int64)
         names = [*ids.dictionary.to_pylist()]
         start, size = stretches(classes_of(part, key)[0])
-        begin = walk(act, worker, start, size, np.zeros(len(start), np.int64), np.full(len(start), NOBODY))
-        flat = []
-        for i in range(len(start)):
-            if fresh and 0 < i < len(start) - 1:  # a task that lies in this block begins in it
-                flat.append([row(0, NOBODY, *(x[i] for x in begin), names)])
-            else:
+        whole = (np.arange(len(start)) > 0) & (np.arange(len(start)) < len(start) - 1)  # a task that lies in this block begins and ends in it
+        if fresh:
+            begin = walk(act, worker, start, size, np.zeros(len(start), np.int64), np.full(len(start), NOBODY))
+            flat = [[row(0, NOBODY, *one, names)] for one in zip(*(x.tolist() for x in begin), strict=True)]
+            for i in np.flatnonzero(~whole):
                 of = slice(start[i], start[i] + size[i])
-                flat.append(rows_of(act[of], worker[of], names))
-        return pa.table([part.column(key).take(pa.array(start)), part.column("b").take(pa.array(start)), pa.array(size.astype(np.int64)), pa.array(flat, _ROW)], [key, "b", "n", "rows"])
+                flat[i] = tables_of(act[of], worker[of], np.zeros(1, np.int64), size[i : i + 1], names)[0]
+        else:
+            flat = tables_of(act, worker, start, size, names)
+        columns = [part.column(key).take(pa.array(start)), part.column("b").take(pa.array(start)), pa.array(size.astype(np.int64)), pa.array(flat, _ROW), pa.array(whole)]
+        return pa.table(columns, [key, "b", "n", "rows", "whole"])
 
     def merge(part: pa.Table) -> pa.Table:
         part = part.sort_by("b")
@@ -167,5 +178,6 @@ def transition_tables(log: DataFrame, block_bits: int = BLOCK_BITS, fan_bits: in
             out = Table(r, n) if out is None else out.then(Table(r, n))
         return pa.table([part.column(key)[:1], part.column("b")[:1], pa.array([out.n], pa.int64()), pa.array([out.flat()], _ROW)], [key, "b", "n", "rows"])
 
-    parts = rows.withColumn("b", F.shiftright("at", block_bits)).groupBy("b").applyInArrow(sum_up, schema)
-    return merged(cut_lineage(parts), key, merge, fan_bits)
+    parts = cut_lineage(rows.withColumn("b", F.shiftright("at", block_bits)).groupBy("b").applyInArrow(sum_up, schema))
+    cut = merged(parts.where("not whole").drop("whole"), key, merge, fan_bits)  # at most two a block
+    return parts.where("whole").drop("whole").unionByName(cut)
