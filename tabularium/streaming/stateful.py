@@ -10,13 +10,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tabularium.operators.runs import falling_records
 from tabularium.operators.states import ROW, STATE, STATUSES, Table, transition_tables
-from tabularium.streaming.replay import drain_batches
+from tabularium.streaming.replay import drain_batches, open_stream, open_written
 
 
 def fold_triggers(stream: DataFrame, work: Callable[[DataFrame], DataFrame], key: str, folder: str, checkpoint: str) -> None:
@@ -29,8 +30,10 @@ def fold_triggers(stream: DataFrame, work: Callable[[DataFrame], DataFrame], key
     drain_batches(stream, write, checkpoint, "append")
 
 
-def folded_stream(spark: SparkSession, folder: str, schema: str, files: int = 16) -> DataFrame:
-    return spark.readStream.schema(schema + ", batch_id long").option("maxFilesPerTrigger", files).parquet(f"{folder}/*")
+def folded_stream(spark: SparkSession, folder: str, schema: str, files: int | None = None) -> DataFrame:
+    """Stream over folded triggers, one of them at a time or, by ``files``, in smaller shares."""
+    schema += ", batch_id long"
+    return open_written(spark, f"{folder}/*", schema) if files is None else open_stream(spark, f"{folder}/*", schema, files)
 
 
 TABLES = f"task_id BIGINT, n BIGINT, rows {ROW}"
@@ -41,23 +44,39 @@ def task_tables(batch: DataFrame) -> DataFrame:
     return transition_tables(batch).select("task_id", "n", "rows")
 
 
+BLOCK_BITS = 10  # tasks of consecutive numbers whose states share one value
+KEPT = np.dtype([("at", "<i8"), ("status", "i1"), ("owned", "?"), ("owner", "<i8"), ("hijacks", "<i8"), ("applied", "<i8"), ("rejected", "<i8")])
+
+
 def task_states(tables: DataFrame) -> DataFrame:
-    """State of each touched task after each trigger, with applied and rejected action counts, from a stream of ``task_tables``."""
+    """State of each touched task after each trigger, with applied and rejected action counts, from a stream of ``task_tables``.
+
+    A call of the state function costs more than a task does, so the states of a block of consecutive task numbers share one value.
+    """
+
+    def whole(x) -> int | None:
+        return None if x is None or x != x else int(x)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, owner, hijacks, applied, rejected = state.get if state.exists else ("WAITING", None, 0, 0, 0)
-        rows = sorted(((int(b), int(n), r) for part in batches for b, n, r in zip(part["batch_id"], part["n"], part["rows"], strict=True)), key=lambda r: r[0])
-        place, holder = STATUSES.index(status), None if owner is None or pd.isna(owner) else ("is", int(owner))
-        for _, n, table in rows:
-            place, holder, taken, done = Table([[None if x is None or pd.isna(x) else int(x) for x in row] for row in table], n).after(place, holder)
-            hijacks, applied, rejected = hijacks + taken, applied + done, rejected + n - done
-        current = (STATUSES[place], holder[1] if holder else None, hijacks, applied, rejected)
-        state.update(current)
-        out = pd.DataFrame([(key[0], *current)], columns=["task_id", "status", "owner", "hijack_count", "n_applied", "n_rejected"])
-        yield out.astype({"owner": "Int64"})
-
-    return tables.groupBy("task_id").applyInPandasWithState(
-        step, f"task_id BIGINT, {STATE}", "status STRING, owner BIGINT, hijacks BIGINT, applied BIGINT, rejected BIGINT", "update", GroupStateTimeout.NoTimeout
+        kept = {int(r[0]): tuple(r)[1:] for r in np.frombuffer(bytes(state.get[0]), KEPT).tolist()} if state.exists else {}
+        rows = []
+        for part in batches:
+            ids = [0] * len(part) if key[0] is None or pd.isna(key[0]) else part["task_id"].tolist()
+            rows += [(int(b), int(t), int(n), r) for b, t, n, r in zip(part["batch_id"], ids, part["n"], part["rows"], strict=True)]
+        touched = set()
+        for _, task, n, table in sorted(rows, key=lambda r: r[0]):
+            place, owned, owner, hijacks, applied, rejected = kept.get(task, (0, False, 0, 0, 0, 0))
+            function = Table([[whole(x) for x in row] for row in table], n)
+            place, holder, taken, done = function.after(place, ("is", owner) if owned else None)
+            kept[task] = (place, holder is not None, holder[1] if holder else 0, hijacks + taken, applied + done, rejected + n - done)
+            touched.add(task)
+        state.update((np.array([(t, *kept[t]) for t in sorted(kept)], KEPT).tobytes(),))
+        found = [(None if key[0] is None or pd.isna(key[0]) else t, STATUSES[k[0]], k[2] if k[1] else None, *k[3:]) for t in sorted(touched) for k in [kept[t]]]
+        out = pd.DataFrame(found, columns=["task_id", "status", "owner", "hijack_count", "n_applied", "n_rejected"], dtype=object)
+        yield out.astype({"task_id": "Int64", "owner": "Int64", "hijack_count": "int64", "n_applied": "int64", "n_rejected": "int64"})
+
+    return tables.withColumn("block", F.shiftright("task_id", BLOCK_BITS)).groupBy("block").applyInPandasWithState(
+        step, f"task_id BIGINT, {STATE}", "kept BINARY", "update", GroupStateTimeout.NoTimeout
     )
 
 

@@ -62,6 +62,29 @@ def test_streamed_task_states_equal_the_batch(spark, tmp_path):
     assert seen == walked(log)
 
 
+def test_states_of_tasks_follow_triggers_not_files(spark, tmp_path):
+    """Tasks of two blocks and without a number; a late trigger finds the states of the first ones."""
+    rng = random.Random(3)
+    tasks = [None, -5, *range(40), *range(5_000, 5_040), 1 << 50]
+    log = [(rng.choice(tasks), i // 3, i, rng.choice([*TRANSITIONS, "claim", "unknown"]), rng.choice([1, 2, None])) for i in range(900)]
+    df = spark.createDataFrame(log, "task_id long, ts long, event_id long, action string, worker long").withColumn("ts", F.timestamp_seconds("ts"))
+    places = [str(tmp_path / n) for n in ("in", "tables", "ck1", "ck2")]
+    replay.write_slices(df, places[0], "ts", slices=3, files=1)
+    stateful.fold_triggers(replay.open_stream(spark, places[0], df.schema, files=1), lambda b: stateful.task_tables(b).repartition(8), "task_id", places[1], places[2])
+    seen, touched = {}, []
+
+    def keep(batch, batch_id):
+        rows = batch.collect()
+        touched.append(len(rows))
+        seen.update({r.task_id: tuple(r)[1:] for r in rows})
+
+    replay.drain_batches(stateful.task_states(stateful.folded_stream(spark, places[1], stateful.TABLES)), keep, places[3])
+    assert seen == walked(log)
+    assert len(touched) <= 3  # as many as were folded
+    state = spark.read.format("statestore").option("path", places[3]).load()
+    assert state.count() == 5  # one value a block
+
+
 def stopped(values, patience, delta, sign):
     best, best_epoch, wait = None, None, 0
     for epoch, v in enumerate(values, 1):
