@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -13,9 +14,12 @@ from pyspark.sql import Window as W
 from tabularium.functions.scalars import finite
 from tabularium.functions.tails import digamma, f_tail_udf
 from tabularium.operators import radix
+from tabularium.operators.arrow import classes_of
 from tabularium.operators.binned import bin_edges, class_sums
 from tabularium.operators.skew import grouped_quantiles, match, small_table, value_ranks
 
+TASK_ROWS = 2_000_000  # values of a feature that one task sorts
+
 
 def class_distribution(df: DataFrame, cls: str) -> DataFrame:
     """Count and share per class, by class. The total is taken over the k class rows, not the table."""
@@ -306,16 +310,27 @@ def gain_from(cells: DataFrame, by: Sequence[str], cls: str) -> DataFrame:
 
 
 def neighbour_information(
-    long: DataFrame, by: Sequence[str], cls: str, k: int = 3, block: int = 200_000
+    long: DataFrame, by: Sequence[str], cls: str, k: int = 3, block: int = 200_000, task_rows: int = TASK_ROWS
 ) -> DataFrame:
     """Nearest-neighbour mutual information between the value and the class, never negative.
 
     For a row, r is the distance to its k-th neighbour inside its class and m the number of rows of
-    any class strictly closer than r (itself included; equal values when r = 0). Everything runs on
-    distinct (class, value) rows with multiplicities. Neighbours come from windows over blocks of
+    any class strictly closer than r (itself included; equal values when r = 0). A group of at most ``task_rows``
+    finite values is sorted in one task. Beyond that, everything runs on distinct (class, value) rows with multiplicities. Neighbours come from windows over blocks of
     consecutive ranks with k rows of overlap, and m from two prefix counts.
     """
     by = list(by)
+    if fits_in_tasks(long, by, task_rows):
+        kinds = [f"`{f.name}` {f.dataType.simpleString()}" for c in by for f in long.schema if f.name == c]
+
+        def score(part: pa.Table) -> pa.Table:
+            values = part.column("value").to_numpy()
+            order = np.argsort(values, kind="stable")
+            gain = neighbour_gain(values[order], classes_of(part, cls)[0][order], k)
+            one = 0 if math.isnan(gain) else 1
+            return pa.Table.from_arrays([*[part.column(c)[:one] for c in by], pa.array([gain][:one], pa.float64())], [*by, "information"])
+
+        return long.select(*by, cls, "value").groupBy(*by).applyInArrow(score, ", ".join([*kinds, "information double"]))
     group = [*by, cls]
     counts = long.groupBy(*group, "value").agg(F.count("*").alias("_c"))
     sizes = counts.groupBy(*group).agg(F.sum("_c").alias("_nc")).where("_nc > 1")
@@ -371,6 +386,81 @@ def neighbour_information(
     )
 
 
+def digammas(n: np.ndarray) -> np.ndarray:
+    """``digamma`` of whole numbers from 1: a sum below 16, else the asymptotic series."""
+    x = np.asarray(n, np.float64)
+    exact = np.concatenate([[0.0], np.cumsum(1 / np.arange(1, 16))]) - np.euler_gamma
+    return np.where(x < 16, exact[np.clip(x, 1, 16).astype(np.int64) - 1], np.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6) + 1 / (240 * x**8))
+
+
+def neighbour_gain(values: np.ndarray, classes: np.ndarray, k: int) -> float:
+    """``neighbour_information`` of one ascending column of finite values with its class numbers; NaN without a class of two rows."""
+    sizes = np.bincount(classes)
+    inside = sizes[classes] > 1
+    values, classes = values[inside], classes[inside]
+    if not len(values):
+        return math.nan
+    by_class = np.argsort(classes, kind="stable")
+    total, at = 0.0, 0
+    for size in np.bincount(classes).tolist():
+        v, at = values[by_class[at : at + size]], at + size
+        if not size:
+            continue
+        kk = min(k, size - 1)
+        ends = np.concatenate([np.full(kk, -np.inf), v, np.full(kk, np.inf)])  # r is the least reach of kk + 1 rows in a row
+        r = np.min([np.maximum(v - ends[j : j + size], ends[j + kk : j + kk + size] - v) for j in range(kk + 1)], axis=0)
+        near = np.searchsorted(values, v + r, "left") - np.searchsorted(values, v - r, "right")
+        same = np.searchsorted(values, v, "right") - np.searchsorted(values, v, "left")
+        m = np.maximum(np.where(r > 0, near, same), 1)
+        total += float((digammas(np.array(kk)) - digammas(np.array(size)) - digammas(m)).sum())
+    return max(float(digammas(np.array(len(values)))) + total / len(values), 0.0)
+
+
+def f_value(values: np.ndarray, classes: np.ndarray) -> float:
+    """One-way F of one column; 0 where it is not defined."""
+    n = np.bincount(classes)
+    known = n > 0
+    means = np.bincount(classes, values, len(n)) / np.maximum(n, 1)
+    within = np.bincount(classes, (values - means[classes]) ** 2, len(n)).sum()
+    grand = (n * means).sum() / max(1, n.sum())
+    between, groups = (n * (means - grand) ** 2).sum(), known.sum()
+    if groups < 2 or n.sum() == groups or within == 0:
+        return 0.0
+    return float(between / (groups - 1) / (within / (n.sum() - groups)))
+
+
+def sampled_scores(long: DataFrame, cls: str, size: int, k: int = 3) -> DataFrame:
+    """(sample, feature, f_value, information) of every sample in the bits of ``_mask``, from rows (feature, class, value, _mask).
+
+    A feature's finite values are sorted once, in one task, and each sample picks its rows from them: the caller sees that they are few enough.
+    """
+
+    def score(part: pa.Table) -> pa.Table:
+        values, mask = part.column("value").to_numpy(), part.column("_mask").to_numpy()
+        classes = classes_of(part, cls)[0]
+        order = np.argsort(values, kind="stable")
+        values, mask, classes = values[order], mask[order], classes[order]
+        rows = []
+        for b in range(size):
+            picked = (mask >> b) & 1 == 1
+            v, c = values[picked], classes[picked]
+            if len(v):
+                rows.append((b, f_value(v, c), neighbour_gain(v, c, k)))
+        rows = [r for r in rows if not math.isnan(r[2])]
+        name = part.column("feature")[0].as_py()
+        columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([name] * len(rows), pa.string()), *[pa.array([r[i] for r in rows], pa.float64()) for i in (1, 2)]]
+        return pa.Table.from_arrays(columns, ["sample", "feature", "f_value", "information"])
+
+    return long.groupBy("feature").applyInArrow(score, "sample int, feature string, f_value double, information double")
+
+
+def fits_in_tasks(long: DataFrame, by: Sequence[str], rows: int = TASK_ROWS) -> bool:
+    """Whether no group has more than ``rows`` values, and all are finite, so that one task may sort a group."""
+    odd = F.count_if(F.isnan("value") | (F.abs("value") == float("inf")))
+    most, odd = long.groupBy(*by).agg(F.count("*").alias("n"), odd.alias("odd")).agg(F.max("n"), F.sum("odd")).first()
+    return (most or 0) <= rows and not odd
+
+
 def centroid_proximity(df: DataFrame, cls: str, feats: Sequence[str]) -> DataFrame:
     """Pairwise distance of the k standardised class means (k rows, not table rows)."""
     means = finite_only(df, feats).groupBy(cls).agg(*[F.avg(f).alias(f) for f in feats])
