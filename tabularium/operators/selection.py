@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from tabularium.operators.binned import MOST_SAMPLES, bin_edges, class_sums
 from tabularium.operators.skew import last_taken, match, small_table
 from tabularium.operators.splits import seeded
-from tabularium.operators.stats import anova, f_from, gain_from, named_by, neighbour_information, unpivot
+from tabularium.operators.stats import TASK_ROWS, anova, f_from, fits_in_tasks, gain_from, named_by, neighbour_information, sampled_scores, unpivot
 from tabularium.session import cut_lineage, spread
 
 DIGITS = 10
@@ -68,6 +68,17 @@ def binned_scores(df: DataFrame, key: str, cls: str, feats: Sequence[str], n_boo
     return reduce(DataFrame.unionByName, parts)
 
 
+def _sampled(df: DataFrame, key: str, cls: str, feats: Sequence[str], n_bootstrap: int, max_per_class: int | None, seed: int, k: int) -> DataFrame:
+    """(bootstrap, feature, f_value, information) by neighbours: a value is shuffled once, with the mask of its resamples."""
+    parts, rows = [], spread(df.select(key, cls, *feats))
+    for first in range(0, n_bootstrap, MOST_SAMPLES):
+        size = min(MOST_SAMPLES, n_bootstrap - first)
+        marked = resample_masks(rows, key, cls, size, max_per_class, seed, first).where("_mask <> 0")
+        scores = sampled_scores(unpivot(marked, [cls, "_mask"], feats), cls, size, k)
+        parts.append(scores.withColumn("bootstrap", F.col("sample") + first).drop("sample"))
+    return cut_lineage(reduce(DataFrame.unionByName, parts))
+
+
 def average_rank(by: Sequence[str], value: str) -> Column:
     """Rank in descending order; ties share the mean rank. Rank and ties share one sort."""
     order = W.partitionBy(*by).orderBy(F.desc(value))
@@ -116,20 +127,22 @@ def rank_resamples(scores: DataFrame) -> DataFrame:
 
 def balanced_ranking(
     df: DataFrame, key: str, cls: str, feats: Sequence[str], n_bootstrap: int = 30, max_per_class: int | None = None,
-    k: int = 3, seed: int = 42, binned: int | None = None,
+    k: int = 3, seed: int = 42, binned: int | None = None, task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """F value and mutual information averaged over balanced resamples.
 
-    All resamples are scored together, grouped by (bootstrap, feature). ``binned`` swaps the
+    All resamples are scored together, grouped by (bootstrap, feature), or by feature alone while one has at most ``task_rows`` finite values. ``binned`` swaps the
     neighbour estimate for information gain over that many equal-frequency bins.
     """
     if binned:
         return rank_resamples(binned_scores(df, key, cls, feats, n_bootstrap, max_per_class, seed, binned))
+    if fits_in_tasks(unpivot(df, [cls], feats), ["feature"], task_rows):
+        return rank_resamples(_sampled(df, key, cls, feats, n_bootstrap, max_per_class, seed, k))
     drawn = cut_lineage(resample(df.select(key, cls, *feats), key, cls, n_bootstrap, max_per_class, seed))  # both scores read it
     long = unpivot(drawn, ["bootstrap", cls], feats)
     by = ["bootstrap", "feature"]
     f = anova(long, by, cls).select(*by, F.coalesce("f_value", F.lit(0.0)).alias("f_value"))
-    return rank_resamples(f.join(neighbour_information(long, by, cls, k), by))
+    return rank_resamples(f.join(neighbour_information(long, by, cls, k, task_rows=task_rows), by))
 
 
 def select_core(summary: DataFrame, top_k: int = 10, fallback: int = 1) -> DataFrame:

@@ -257,3 +257,18 @@ def test_correlations_with_holes(spark):
         for b in "abcd":
             assert got[a, b] == pytest.approx(want.loc[a, b], abs=1e-9)
     assert len(got) == 25 and got["e", "e"] is None and got["a", "e"] is None
+
+
+def test_neighbour_scores_in_tasks_equal_those_by_windows(spark):
+    """Ties, a class of one row, a null class and missing values; the values of a feature are met once for all resamples."""
+    rng = np.random.default_rng(12)
+    rows = [(i, "abc"[i % 3] if i % 10 else None, float(rng.normal() + i % 3), float(rng.integers(0, 5)), None if i % 7 == 0 else float(rng.random())) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, cls string, u double, v double, w double").repartition(3)
+    alone = df.unionByName(spark.createDataFrame([(999, "z", 0.5, 1.0, 0.5)], df.schema))
+    long = stats.unpivot(alone, ["cls"], ["u", "v", "w"])
+    got, want = ({r["feature"]: r["information"] for r in stats.neighbour_information(long, ["feature"], "cls", task_rows=n).collect()} for n in (1000, 0))
+    assert got.keys() == want.keys() == {"u", "v", "w"} and all(abs(got[f] - want[f]) < 1e-9 for f in got)
+    ranked = selection.balanced_ranking(df, "id", "cls", ["u", "v", "w"], 5)
+    wide = selection.balanced_ranking(df, "id", "cls", ["u", "v", "w"], 5, task_rows=0)
+    pd.testing.assert_frame_equal(ranked.toPandas(), wide.toPandas(), rtol=1e-8)
+    assert stats.fits_in_tasks(long, ["feature"]) and not stats.fits_in_tasks(long.withColumn("value", F.lit(float("nan"))), ["feature"])
