@@ -43,7 +43,7 @@ def resample_masks(df: DataFrame, key: str, cls: str, n_bootstrap: int = 30, max
 
 def resample(df: DataFrame, key: str, cls: str, n_bootstrap: int = 30, max_per_class: int | None = None, seed: int = 42) -> DataFrame:
     """The rows of every resample, with its number in ``bootstrap``."""
-    parts = []
+    parts, df = [], spread(df)  # thirty hashes a row are work for all cores, however small the file
     for first in range(0, n_bootstrap, MOST_SAMPLES):
         size = min(MOST_SAMPLES, n_bootstrap - first)
         marked = resample_masks(df, key, cls, size, max_per_class, seed, first)

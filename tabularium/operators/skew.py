@@ -118,7 +118,7 @@ def _boundary(
 
 
 def take_smallest(
-    df: DataFrame, by: Sequence[str], quotas: DataFrame, quota: str, hashed: Column, ties: Sequence[Column], digits: int = 4
+    df: DataFrame, by: Sequence[str], quotas: DataFrame, quota: str, hashed: Column, ties: Sequence[Column], digits: int = 3
 ) -> DataFrame:
     """The ``quota`` rows with the smallest hash in each group.
 
@@ -133,7 +133,7 @@ def take_smallest(
     return kept.where("_bucket < _cut").unionByName(edge).drop("_hash", "_bucket", "_cut", "_rest")
 
 
-def last_taken(df: DataFrame, by: Sequence[str], quotas: DataFrame, quota: str, hashed: Column, key: str, digits: int = 4) -> DataFrame:
+def last_taken(df: DataFrame, by: Sequence[str], quotas: DataFrame, quota: str, hashed: Column, key: str, digits: int = 3) -> DataFrame:
     """The last (hash, key) that ``take_smallest`` would take in each group, as ``_last``."""
     by = list(by)
     df, cuts = _boundary(df, by, quotas, quota, hashed, digits)

@@ -272,3 +272,10 @@ def test_neighbour_scores_in_tasks_equal_those_by_windows(spark):
     wide = selection.balanced_ranking(df, "id", "cls", ["u", "v", "w"], 5, task_rows=0)
     pd.testing.assert_frame_equal(ranked.toPandas(), wide.toPandas(), rtol=1e-8)
     assert stats.fits_in_tasks(long, ["feature"]) and not stats.fits_in_tasks(long.withColumn("value", F.lit(float("nan"))), ["feature"])
+
+
+def test_resamples_of_one_partition_are_drawn_on_all_cores(spark):
+    df = spark.range(300).selectExpr("id", "id % 3 AS cls").coalesce(1)
+    drawn = selection.resample(df, "id", "cls", 4)
+    assert drawn.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert drawn.count() == 4 * 300
