@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabularium.operators import splits
 from tabularium.operators.relate import require_no_overlap
-from tabularium.session import cut_lineage
+from tabularium.session import cut_lineage, spread
 
 UNIT = ["stage_id", "repeat_id", "fold_id"]
 
@@ -68,7 +68,7 @@ def _kept(dev: DataFrame, key: str, cls: str, stages) -> tuple[DataFrame, DataFr
     ]
     names = ("stage_id", "_dev", "_val", "_seed", "_holdout", "_splits", "_repeats")
     listed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows])
-    many = dev.select("*", F.inline(listed))
+    many = spread(dev).select("*", F.inline(listed))  # a row is hashed for each of its units, so a small file is work for all cores
     partial = splits.stratified_pick(
         many.where("_dev < 100"), key, cls, F.expr("total * _dev div 100"), F.col("_seed"), ["stage_id", "_dev"]
     )
