@@ -92,3 +92,51 @@ def test_query(spark):
     got = sorted(tuple(r) for r in queries.op7_jaccard(spark, folder).collect())
     assert got == brute(rows, 4, 85)
     assert any(c != d for d, _, c in got)
+
+
+def family(n, words, edits, seed=5):
+    """Copies of one text with so many words of each replaced by words of its own: alike, and unlinked with enough edits."""
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        w = [f"w{j}" for j in range(words)]
+        for k in r.sample(range(words), edits(i)):
+            w[k] = f"own{i}x{k}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_alike_but_unlinked_documents_are_not_paired(spark, monkeypatch):
+    rows = family(160, 300, lambda i: 7 + i % 4)
+    verified, before = [], jaccard.linked
+    monkeypatch.setattr(jaccard, "linked", lambda pairs, *rest: (verified.append(pairs.count()), before(pairs, *rest))[1])
+    got = sorted(tuple(r) for r in jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85).collect())
+    assert got == brute(rows, 4, 85)
+    assert len({c for _, _, c in got}) == len(rows)
+    assert sum(verified) < 2 * len(rows)
+
+
+def test_family_round_the_threshold_and_a_long_text(spark):
+    rows = family(90, 200, lambda i: i % 6)
+    long = [f"v{i}" for i in range(30_000)]
+    rows += [(500, " ".join(long)), (501, " ".join(long[1000:])), (502, " ".join(long[9000:]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in jaccard.join_components(df, 4, 85).collect()) == brute(rows, 4, 85)
+
+
+def test_an_id_with_two_texts_joins_their_classes(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
+    df = spark.createDataFrame([(7, a), (7, b), (3, b), (9, a)], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard.join_components(df, 4, 85).collect()} == {(7, 3), (3, 3), (9, 3)}
+
+
+def test_shared_counts_and_part_counts():
+    r = np.random.default_rng(1)
+    for wide in (2, 3):
+        x = r.integers(0, 1 << 8 * wide, 1000)
+        assert (jaccard.unplaned(jaccard.planes(x, wide), wide) == x).all()
+    a, b = (r.integers(0, 1 << 63, 700, dtype=np.uint64) for _ in range(2))
+    b[:600] = a[:600]
+    one, two = (jaccard.part_counts(np.sort(x), np.array([0, 700])).view(np.uint8).astype(int) for x in (a, b))
+    step = (one - two) % 256
+    assert 0 < np.minimum(step, 256 - step).sum() <= 200
