@@ -14,6 +14,9 @@ def rows_of(table: pa.Table | pa.RecordBatch, x: str, p: int) -> np.ndarray:
         column = column.combine_chunks()
         column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
     fits = pc.fill_null(pc.equal(pc.list_value_length(column), p), False).to_numpy(zero_copy_only=False)
+    if fits.all() and p:  # one copy
+        flat = column.flatten()
+        return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, p)
     out = np.full((len(column), p), np.nan)
     if fits.any():
         out[fits] = column.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, p)

@@ -24,7 +24,7 @@ from tabularium.session import cut_lineage
 
 SLICE_ROWS = 4_096
 PIVOTS = 16
-ASKING = 64  # blocks that share a copy of the block they ask
+ASKING = 8  # blocks that share a copy of the block they ask; their rows meet it in one task
 CELLS = 4_000_000  # numbers of a matrix in a task
 VECTOR = pa.list_(pa.float64())
 EXACT = 200_000  # pairs whose distances are taken from the differences at once

@@ -25,6 +25,7 @@ from tabularium.operators.matrix import MODEL, near_centre, whitening
 from tabularium.operators.skew import match, small_table
 
 CLASS_BYTES = 64 << 20
+SLICE_ROWS = 8_192  # rows of a class worked on at once in its task
 STARTS = 3
 STILL = 1e-9
 QUARTILES = 1.3489795003921634  # range between the quartiles of a standard normal
@@ -43,13 +44,28 @@ def volume(rows: np.ndarray) -> float:
     return float(-np.log((rows ** 2).sum(1)).sum())
 
 
+def sliced(n: int) -> Iterator[slice]:
+    """Runs of rows, so that what is made of them stays small beside a class."""
+    return (slice(i, i + SLICE_ROWS) for i in range(0, n, SLICE_ROWS))
+
+
 def distances(data: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    return (((data - model[0]) @ model[1].T) ** 2).sum(1)
+    out = np.empty(len(data))
+    for at in sliced(len(data)):
+        out[at] = (((data[at] - model[0]) @ model[1].T) ** 2).sum(1)
+    return out
 
 
-def fitted(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mean = data.mean(0)
-    return mean, white((data - mean).T @ (data - mean) / len(data))
+def fitted(data: np.ndarray, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Model of the rows that the mask keeps, of all without one."""
+    kept = np.ones(len(data), bool) if kept is None else kept
+    n = np.count_nonzero(kept)
+    mean = sum(data[at][kept[at]].sum(0) for at in sliced(len(data))) / n
+    cov = np.zeros((data.shape[1],) * 2)
+    for at in sliced(len(data)):
+        off = data[at][kept[at]] - mean
+        cov += off.T @ off
+    return mean, white(cov / n)
 
 
 def scale_of(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -75,15 +91,19 @@ def first_models(middle: np.ndarray, scale: np.ndarray, scatters: list[np.ndarra
 def fit_here(data: np.ndarray, support: float, max_steps: int) -> tuple[np.ndarray, np.ndarray]:
     """Final centre and whitening rows of one class."""
     p = data.shape[1]
-    low, middle, high = np.quantile(data, [0.25, 0.5, 0.75], axis=0)
+    low, middle, high = np.stack([np.quantile(data[:, i], [0.25, 0.5, 0.75]) for i in range(p)], axis=1)
     scale = scale_of(low, high)
+    scatters = [np.zeros((p, p)), np.zeros((p, p))]
+    for at in sliced(len(data)):
+        for total, t in zip(scatters, transforms((data[at] - middle) / scale), strict=True):
+            total += t.T @ t
     best = None
-    for start in first_models(middle, scale, [t.T @ t / len(t) for t in transforms((data - middle) / scale)]):
+    for start in first_models(middle, scale, [total / len(data) for total in scatters]):
         d = distances(data, start)
-        model = fitted(data[d <= np.quantile(d, 0.5)])
+        model = fitted(data, d <= np.quantile(d, 0.5))
         for step in range(max_steps):
             d = distances(data, model)
-            before, model = volume(model[1]), fitted(data[d <= np.quantile(d, support)])
+            before, model = volume(model[1]), fitted(data, d <= np.quantile(d, support))
             if step and abs(volume(model[1]) - before) < STILL:
                 break
         else:
@@ -92,7 +112,7 @@ def fit_here(data: np.ndarray, support: float, max_steps: int) -> tuple[np.ndarr
             best = model
     d = distances(data, best)
     middle_d = np.quantile(d, 0.5) / chi2_quantile(0.5, p)
-    return fitted(data[d / middle_d < chi2_quantile(0.975, p)]) if middle_d > 0 else fitted(data)
+    return fitted(data, d / middle_d < chi2_quantile(0.975, p) if middle_d > 0 else None)
 
 
 def _summed(rows: DataFrame, n: int, size: int) -> np.ndarray:

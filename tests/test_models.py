@@ -279,3 +279,23 @@ def test_resamples_of_one_partition_are_drawn_on_all_cores(spark):
     drawn = selection.resample(df, "id", "cls", 4)
     assert drawn.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert drawn.count() == 4 * 300
+
+
+def test_memory_of_a_class_fitted_in_one_task():
+    import tracemalloc
+
+    data = np.random.default_rng(4).normal(size=(60_000, 32))
+    data[:900] *= 7
+    tracemalloc.start()
+    centre, rows = robust.fit_here(data, 0.75, 30)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * data.nbytes  # copies of the class are not held
+    near = robust.distances(data, (centre, rows))
+    assert np.percentile(near[:900], 5) > np.percentile(near[900:], 95)
+
+
+def test_rows_that_ask_a_block_together_are_bounded():
+    from tabularium.operators import knn
+
+    assert knn.ASKING * knn.SLICE_ROWS * 64 * 8 <= 20 << 20  # bytes of vectors of 64 numbers
