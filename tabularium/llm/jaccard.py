@@ -17,8 +17,9 @@ Keys first go round as bare hashes, so that only documents that share enough of
 least by the shingles that either has alone, and by the differences of how many shared ones they have in each of 16 parts of the universe;
 pairs that this puts too far apart are never formed. What is left is verified on the sets, in rounds: first each document meets, of the
 smallest ids in its keys, the one with most common keys; then documents outside the largest component of a key meet that component's
-smallest id, again and again while this joins enough; at last all pairs across components that share enough keys. Pairs are not expanded inside
-a component, and no link between components is lost.
+smallest id, again and again while this joins enough; at last all pairs across components that share a key. There a finer bound counts
+the parts, of 512, in which the numbers of shared shingles differ in parity, and a pair is formed under one of its keys where both sets
+tell which, not under each. Pairs are not expanded inside a component, and no link between components is lost.
 
 Shingles are compared by 64-bit hashes. Null and empty texts, and texts of white space, have no shingles and are alone, as are null
 ids (component null). Rows of one id count as one document and get the same component. Other columns are not read.
@@ -45,6 +46,10 @@ BROADCAST_ROWS = 200_000  # rows of three numbers: under 10 MB
 FEW_IDS = 500_000  # ids that are broadcast, 4 MB
 SLICE_ROWS = 1 << 16  # rows of a slice, so that 16 bits number them
 PARTS = 16  # parts of the universe in which shared shingles are counted, modulo 256
+BITS = 512  # parts of the universe in which they are counted modulo 2, for the last round
+LEAST_KEYS = 8  # searching keys of a set that tell where a pair is formed, if two sets have one of them in common
+SKETCH_ROWS = 50_000  # rows of 150 bytes that are broadcast, 8 MB
+QS = [f"q{k}" for k in range(BITS // 64)]
 HEAD_ROUNDS = 4  # rounds in which documents meet one other at most, before all pairs
 
 
@@ -337,9 +342,23 @@ def part_counts(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.bincount(at, minlength=rows * PARTS).astype(np.uint8).reshape(rows, PARTS).view("<i8")
 
 
+def parities(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether each set has an odd number of shingles in each of 512 parts of the universe: 64 parts a column."""
+    rows = len(first) - 1
+    place = (mix(tokens + U(0x1B873593)) % U(BITS)).astype(np.int64)
+    out = np.zeros((rows, BITS // 64), "<i8")
+    for low in range(0, rows, 4096):
+        high = min(rows, low + 4096)
+        at = np.repeat(np.arange(high - low), np.diff(first[low:high + 1])) * BITS + place[first[low]:first[high]]
+        odd = (np.bincount(at, minlength=(high - low) * BITS) & 1).astype(np.uint8)
+        out[low:high] = np.packbits(odd.reshape(high - low, BITS), axis=1).view("<i8")
+    return out
+
+
 def candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows (id, n, tokens, s, p0, p1, keys, needs) of sets that share enough keys; a key's lowest bit tells that it searches."""
-    empty = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("s", pa.int64()), ("p0", pa.int64()), ("p1", pa.int64()), ("keys", pa.list_(pa.int64())), ("needs", pa.list_(pa.int32()))]).empty_table()
+    """Rows (id, n, tokens, s, p0, p1, keys, needs, q0 ... q7, least_keys) of sets that share enough keys; a key's lowest bit tells that it searches."""
+    sketch = [(c, pa.int64()) for c in QS]
+    empty = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("s", pa.int64()), ("p0", pa.int64()), ("p1", pa.int64()), ("keys", pa.list_(pa.int64())), ("needs", pa.list_(pa.int32())), *sketch, ("least_keys", pa.list_(pa.int64()))]).empty_table()
 
     def finish(table: pa.Table, tokens: np.ndarray, first: np.ndarray, hit) -> pa.Table:
         if hit is None:
@@ -357,13 +376,18 @@ def candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
         cuts = np.searchsorted(doc, np.arange(len(first)))
         flagged = (keys | search.astype(U)).view(np.int64)
         at = np.flatnonzero(np.diff(cuts))
-        kept, lanes = table.take(pa.array(at)), part_counts(tokens, first)[at]
+        kept, lanes, odd = table.take(pa.array(at)), part_counts(tokens, first)[at], parities(tokens, first)[at]
+        order = np.lexsort((keys, doc))
+        order = order[search[order]]
+        low = np.searchsorted(doc[order], np.arange(len(first)))
+        high, least = np.minimum(low[:-1] + LEAST_KEYS, low[1:]), keys[order].view(np.int64)
         return pa.Table.from_arrays([
             kept.column("id"), kept.column("n"), kept.column("tokens"), pa.array(np.diff(first)[at]), pa.array(lanes[:, 0]), pa.array(lanes[:, 1]),
             pa.array([flagged[cuts[i]:cuts[i + 1]] for i in at], pa.list_(pa.int64())), pa.array([need[cuts[i]:cuts[i + 1]].astype(np.int32) for i in at], pa.list_(pa.int32())),
+            *(pa.array(odd[:, k]) for k in range(len(QS))), pa.array([least[low[i]:high[i]] for i in at], pa.list_(pa.int64())),
         ], schema=empty.schema)
 
-    schema = "id long, n long, tokens binary, s long, p0 long, p1 long, keys array<long>, needs array<int>"
+    schema = f"id long, n long, tokens binary, s long, p0 long, p1 long, keys array<long>, needs array<int>, {', '.join(f'{c} long' for c in QS)}, least_keys array<long>"
     return _met(sets, lambda tokens, first: signatures(tokens, first, num, den), finish, schema)
 
 
@@ -378,6 +402,32 @@ def near(num: int, den: int) -> Column:
     return ((den + num) * s >= num * n) & ((den + num) * apart <= (den - num) * n)
 
 
+def nearer(num: int, den: int) -> Column:
+    """As ``near``, by parities: sets that differ in the parity of a part differ there by one shingle at least."""
+    n, s = F.col("n") + F.col("head.n"), F.least("s", "head.s")
+    apart = n - F.col("s") - F.col("head.s")
+    for c in QS:
+        apart = apart + F.bit_count(F.col(c).bitwiseXOR(F.col(f"head.{c}")))
+    return ((den + num) * s >= num * n) & ((den + num) * apart <= (den - num) * n)
+
+
+def across(met: DataFrame, sketches: DataFrame, own: list[str], num: int, den: int) -> DataFrame:
+    """Pairs (a < b) of documents that share a key but no component, and whose sets may link.
+
+    ``met`` has rows of keys with their component and the ``head`` of their key's largest component. Sets with a common key among
+    their least searching ones, as nearly all linked sets have, form their pair under the smallest of those, others under each key.
+    """
+    met = met.join(F.broadcast(sketches) if sketches.count() <= SKETCH_ROWS else sketches, ["id", *own])
+    beside = [*own, *QS, "least_keys", "search", "component"]
+    outside = met.filter("component <> head.component").select("key", F.struct("id", *beside).alias("head"))
+    others = met.select("key", "id", *beside, F.col("head.component").alias("main"))
+    apart = (F.col("component") != F.col("head.component")) & ((F.col("component") == F.col("main")) | (F.col("id") > F.col("head.id")))
+    both = F.array_intersect("least_keys", "head.least_keys")
+    once = (F.size(both) == 0) | (F.col("key") == F.array_min(both))
+    met = others.join(outside, "key").filter(apart & (F.col("search") | F.col("head.search")) & nearer(num, den) & once)
+    return met.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b"))
+
+
 def join_components(df: DataFrame, size: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_shingles, component_id (smallest id reachable by links den * common >= num * union)."""
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -420,13 +470,10 @@ def join_components(df: DataFrame, size: int = 5, num: int = 80, den: int = 100,
         if met.isEmpty():
             break
         last = rounds == HEAD_ROUNDS
-        outside = met.filter("component <> head.component")
         if last:
-            inside = F.col("component") == F.col("main")
-            others = met.select("key", "id", *own, "search", "need", "component", F.col("head.component").alias("main"))
-            pairs = common(others.join(outside.select("key", as_head), "key").filter((F.col("component") != F.col("head.component")) & (inside | (F.col("id") > F.col("head.id")))))
+            pairs = across(met, found.select("id", *own, *QS, "least_keys"), own, num, den).distinct()
         else:
-            pairs = common(outside).groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
+            pairs = common(met.filter("component <> head.component")).groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
         pairs = staged(pairs.select("a", "b"))
         links = pairs if pairs.isEmpty() else staged(linked(pairs, sets, num, den))
         if not links.isEmpty():

@@ -140,3 +140,35 @@ def test_shared_counts_and_part_counts():
     one, two = (jaccard.part_counts(np.sort(x), np.array([0, 700])).view(np.uint8).astype(int) for x in (a, b))
     step = (one - two) % 256
     assert 0 < np.minimum(step, 256 - step).sum() <= 200
+
+
+def test_parities_bound_the_difference_from_below():
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (0, 1, 40, 300, 3000)]
+    sets.append(np.sort(np.concatenate([sets[3][30:], r.integers(0, 1 << 63, 20, dtype=np.uint64)])))
+    first = np.append(0, np.cumsum([len(x) for x in sets]))
+    odd = jaccard.parities(np.concatenate(sets), first)
+    apart = [[int(np.bitwise_count((a ^ b).view(np.uint64)).sum()) for b in odd] for a in odd]
+    for a, row in zip(sets, apart, strict=True):
+        for b, least in zip(sets, row, strict=True):
+            assert least <= len(np.setxor1d(a, b)) and least % 2 == len(np.setxor1d(a, b)) % 2
+    assert apart[3][5] > 40
+
+
+def test_last_round_forms_a_pair_once_and_few_beyond_the_bound(spark, monkeypatch):
+    rows = [(1000 + i, t) for i, t in family(120, 160, lambda i: 3 + i % 3, seed=11)]  # most differ by a little more than linked sets
+    rows += [(d - 1000, t.replace("w", "v")) for d, t in rows[::2]]
+    formed, before = [], jaccard.across
+
+    def across(*args):
+        pairs = before(*args)
+        formed.append((pairs.count(), pairs.distinct().count()))
+        return pairs
+
+    monkeypatch.setattr(jaccard, "across", across)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(tuple(r) for r in jaccard.join_components(df, 4, 85).collect())
+    assert got == brute(rows, 4, 85)
+    sets = [(d, shingles(t, 4)) for d, t in rows]
+    linked = sum(100 * len(s & t) >= 85 * len(s | t) for i, (_, s) in enumerate(sets) for _, t in sets[:i])
+    assert formed and all(rows <= 1.05 * pairs + 2 and pairs <= linked for rows, pairs in formed)
