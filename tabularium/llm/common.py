@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SLICE_BYTES = 4 << 20  # text worked on at once inside a task
@@ -54,8 +56,29 @@ def _trim():
         return lambda pad: 0
 
 
+_OWNERS: dict[Callable[[], None], int | None] = {}  # what empties a cache: the stage whose tasks fill it
+
+
+def _stage() -> int | None:
+    context = TaskContext.get()
+    return context.stageId() if context else None
+
+
+def kept_for_stage(empty: Callable[[], None]) -> None:
+    """Tasks of this stage fill a cache that ``empty`` empties. A reused Python worker keeps it for them, and for no other stage."""
+    release()
+    _OWNERS[empty] = _stage()
+
+
 def release() -> None:
-    """Give back what earlier slices and batches freed: a reused Python worker would keep it, beside the next task's."""
+    """Give back caches of other stages, and what earlier slices and batches freed: a reused Python worker would keep it, beside the next task's."""
+    stage = _stage()
+    past = [empty for empty, owner in _OWNERS.items() if owner != stage]
+    for empty in past:
+        del _OWNERS[empty]
+        empty()
+    if past:
+        gc.collect()
     _trim()(0)
     pa.default_memory_pool().release_unused()
 

@@ -26,6 +26,7 @@ from tabularium.llm.common import SLICE_BYTES, _BYTE, mix, runs_hash, slices, ut
 
 BUCKETS = 1 << 16
 AFFIX = 4
+WORDS = 8192  # distinct words whose features are held at once
 SEGMENT = 256  # words that forward-backward treats side by side
 HERE = SLICE_BYTES // 2  # text worked on at once: every distinct word brings dozens of features
 _LETTER = np.zeros(256, bool)  # after lower-casing; parts of longer characters count as letters
@@ -87,6 +88,14 @@ def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     return index, inverse
 
 
+def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' bytes end to end, their starts and ends there."""
+    lengths = ends - starts
+    stops = np.cumsum(lengths)
+    begins = stops - lengths
+    return data[np.arange(int(lengths.sum())) + np.repeat(starts - begins, lengths)], begins, stops
+
+
 def summed(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(owner, values[:, k], n) for k in range(values.shape[1])], axis=1)
 
@@ -144,8 +153,9 @@ def marginals(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray) ->
         backward[at] = state[:k]
         v = (state[:k] * local[at]) @ move.T
         state[:k] = v / v.sum(axis=1, keepdims=True)
-    out = forward * backward
-    return out / out.sum(axis=1, keepdims=True)
+    forward *= backward
+    forward /= forward.sum(axis=1, keepdims=True)
+    return forward
 
 
 @dataclass(frozen=True)
@@ -158,8 +168,12 @@ class Field:
 
     def emissions(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         index, inverse = distinct_words(data, starts, ends)
-        owner, bucket = features(data, starts[index], ends[index])
-        return summed(owner, self.weights[bucket], len(index))[inverse]
+        sums = np.empty((len(index), len(self.labels)))
+        for low in range(0, len(index), WORDS):
+            some = index[low:low + WORDS]
+            owner, bucket = features(*gathered(data, starts[some], ends[some]))
+            sums[low:low + WORDS] = summed(owner, self.weights[bucket], len(some))
+        return sums[inverse]
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         data, offsets = lowered(column)

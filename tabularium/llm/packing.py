@@ -24,7 +24,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tabularium.llm.common import slices
+from tabularium.llm.common import kept_for_stage, slices
 from tabularium.llm.units import Memo, UnitEncoder
 
 
@@ -153,6 +153,7 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, least: int = 64, e
     end = np.array([end_id], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_for_stage(_encoder.cache_clear)
         encode = _encoder(tokenizer, special)
         bins = Bins(capacity, least, TaskContext.get().partitionId() << 36)
         kind = None

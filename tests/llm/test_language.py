@@ -1,4 +1,5 @@
 import itertools
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -62,6 +63,24 @@ def test_edge_texts(spark, field):
     assert [r.doc_id for r in language.keep_identified(df, field, 0.4).orderBy("doc_id").collect()] == [1, 2]
 
 
+def test_emissions_do_not_depend_on_runs_of_words(field, monkeypatch):
+    texts = pa.array(["the cat sat on the mat and der hund", None, "", "x" * 300_000, "katze 'it's' été nicht the"] * 3)
+    want = field.predict(texts)
+    monkeypatch.setattr(language, "WORDS", 3)
+    got = field.predict(texts)
+    assert got[0] == want[0] and (got[1] == want[1]).all()
+
+
+def test_features_of_many_distinct_words_are_not_held_at_once(field):
+    text = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17_576)}wort" for i in range(200_000))
+    column = pa.array([text])
+    tracemalloc.start()
+    field.predict(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
+
+
 def test_code_switch_lies_between(field):
     _, score = field.predict(pa.array(["the cat sat on the mat and der hund und die katze mit", "the cat sat on the mat"]))
     assert score[0] < 0.8 < score[1]

@@ -3,10 +3,11 @@ import zlib
 from collections import defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tabularium.llm import packing, queries
+from tabularium.llm import common, packing, queries
 from tabularium.session import table
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +51,29 @@ def test_pieces_of_awkward_texts(spark):
     assert check(packing.pack(df, PATH).collect(), dict(enumerate(TEXTS))) < 0.02
 
 
+def test_other_stages_do_not_keep_the_memo(monkeypatch):
+    held = packing._encoder.cache_info
+    common.release()
+    for stage, left in ((1, 1), (1, 1), (2, 0)):
+        monkeypatch.setattr(common, "_stage", lambda stage=stage: stage)
+        if stage == 1:
+            common.kept_for_stage(packing._encoder.cache_clear)
+            packing._encoder(PATH, False)(["a word"])
+        common.release()
+        assert held().currsize == left
+
+
+def test_memo_of_a_stage_in_its_workers(spark):
+    def count(batches):
+        common.release()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([packing._encoder.cache_info().currsize] * batch.num_rows, pa.int64())], ["n"])
+
+    df = spark.createDataFrame([(i, f"some words {i}") for i in range(64)], "doc_id long, text string").repartition(8)
+    assert packing.pack(df, PATH).count() == 64
+    assert {r.n for r in df.select("doc_id").mapInArrow(count, "n long").collect()} == {0}
+
+
 def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "one two")] * 3, "doc_id long, text string")
     out = packing.pack(df, PATH).collect()
